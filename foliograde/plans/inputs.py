@@ -412,3 +412,12 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e % 7).cast("string"), F.lit('}, 5]}}'))
     return table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props").select(
         e.cast("string").alias("doc_id"), json_text.alias("freeform"))
+
+
+def part_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon table derived from the nations and part names: word beginnings as keywords."""
+    names = table(spark, sf_dir, "part", F.explode(F.split("p_name", " ")).alias("w"))
+    return names.select(
+        F.concat(F.lit("kind_"), F.substring("w", 1, 1)).alias("doc_type"),
+        F.lower(F.substring("w", 1, 3)).alias("keyword"),
+        F.ascii("w").alias("priority")).distinct()
