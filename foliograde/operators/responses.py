@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliograde import fixed_values as fv
+from foliograde.functions.once import with_once
 from foliograde.functions.record import FreeRecord
 from foliograde.schemas import KEY_DEFAULTS, RECORD_TYPES
 
@@ -84,16 +85,16 @@ def parse_typed(df: DataFrame, response: str = "response",
 
     Only the struct of the document's ``doc_type`` is filled, and only if the reply parses.
     """
-    df = df.withColumn("_reply", parsed_object(F.col(response)))
+    df = with_once(df, {"_reply": parsed_object(F.col(response))})
     ok = F.lit(False)
     for name, schema in record_types.items():
         ok = F.when((F.col("doc_type") == name) & F.col("_reply").isNotNull(),
                     acceptable(F.col("_reply"), schema)).otherwise(ok)
-    df = df.withColumn("typed_ok", F.coalesce(ok, F.lit(False)))
-    for name, schema in record_types.items():
-        df = df.withColumn(name, F.when(F.col("typed_ok") & (F.col("doc_type") == name),
-                                        typed_record(F.col("_reply"), schema)))
-    return df.drop("_reply")
+    df = with_once(df, {"typed_ok": F.coalesce(ok, F.lit(False))})
+    return with_once(df, {
+        name: F.when(F.col("typed_ok") & (F.col("doc_type") == name),
+                     typed_record(F.col("_reply"), schema))
+        for name, schema in record_types.items()}).drop("_reply")
 
 
 # --- outcome ------------------------------------------------------------------------------
@@ -107,7 +108,7 @@ def extract(df: DataFrame, response: str = "response", fallback: str = "fallback
     and ``extraction_error``.  An unknown type fails without looking at the replies.
     """
     df = parse_typed(df, response, record_types)
-    df = df.withColumn("_span", braced(F.col(fallback)))
+    df = with_once(df, {"_span": braced(F.col(fallback))})
     known = F.coalesce(F.col("doc_type").isin(list(record_types)), F.lit(False))
     usable = F.try_parse_json("_span").isNotNull()
     method = (
@@ -116,7 +117,7 @@ def extract(df: DataFrame, response: str = "response", fallback: str = "fallback
         .when(usable, fv.METHOD_FALLBACK)
         .otherwise(fv.METHOD_FAILED)
     )
-    df = df.withColumn("extraction_method", method)
+    df = with_once(df, {"extraction_method": method})
     failed = F.col("extraction_method") == fv.METHOD_FAILED
     return (
         df.withColumn("freeform", F.when(

@@ -46,7 +46,7 @@ def publish(df: DataFrame, *ids: str,
     ok = F.col("error").isNull()
     no_names = F.array().cast("array<string>")
     quality = F.coalesce("ocr_quality", F.lit(fv.DEFAULT_OCR_QUALITY))
-    checked = F.struct("validation.passed_rules", "validation.failed_rules", "validation.notes")
+    checked = F.struct("passed_rules", "failed_rules", F.col("rule_notes").alias("notes"))
     broken = F.struct(
         no_names.alias("passed_rules"),
         F.array(F.lit(fv.PROCESSING_ERROR_RULE)).alias("failed_rules"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliograde import fixed_values as fv
 from foliograde.functions import confidence as cf
 from foliograde.functions import text as tx
+from foliograde.functions.once import with_once
 from foliograde.functions.record import FreeRecord
 from foliograde.operators.responses import parsed_object
 from foliograde.session import small_rows
@@ -33,10 +34,9 @@ def keyword_scores(lower_text: Column, lexicon: Lexicon = fv.ROUTING_KEYWORDS) -
 def add_keyword_scores(df: DataFrame, text: str = "text",
                        lexicon: Lexicon = fv.ROUTING_KEYWORDS) -> DataFrame:
     """Add ``score_<type>`` columns and ``words``."""
-    df = df.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    for doc_type, total in keyword_scores(F.col("_lower"), lexicon).items():
-        df = df.withColumn(f"score_{doc_type}", total)
-    return df.withColumn("words", tx.word_count(F.col("_lower"))).drop("_lower")
+    df = with_once(df, {"_lower": F.lower(F.coalesce(F.col(text), F.lit("")))})
+    scores = {f"score_{t}": s for t, s in keyword_scores(F.col("_lower"), lexicon).items()}
+    return with_once(df, {**scores, "words": tx.word_count(F.col("_lower"))}).drop("_lower")
 
 
 def decide(df: DataFrame, types: list[str], prefix: str = "keyword_") -> DataFrame:
@@ -53,12 +53,13 @@ def decide(df: DataFrame, types: list[str], prefix: str = "keyword_") -> DataFra
     density = F.col("_best") / F.greatest(F.lit(1.0), F.col("words") / fv.WORDS_PER_KEYWORD)
     head, tail = fv.KEYWORD_REASON
     return (
-        df.withColumn(f"{prefix}doc_type", winner)
-        .withColumn(f"{prefix}confidence", F.when(F.col("_best") == 0, 0.0).otherwise(
-            F.least(F.lit(fv.KEYWORD_CONFIDENCE_CAP), density)))
-        .withColumn(f"{prefix}reasoning", F.when(F.col("_best") == 0, fv.NO_KEYWORDS).otherwise(
-            F.concat(F.lit(head), F.col("_best").cast("string"), F.lit(tail))))
-        .drop("_best", "words", *[f"score_{t}" for t in types])
+        df.withColumns({
+            f"{prefix}doc_type": winner,
+            f"{prefix}confidence": F.when(F.col("_best") == 0, 0.0).otherwise(
+                F.least(F.lit(fv.KEYWORD_CONFIDENCE_CAP), density)),
+            f"{prefix}reasoning": F.when(F.col("_best") == 0, fv.NO_KEYWORDS).otherwise(
+                F.concat(F.lit(head), F.col("_best").cast("string"), F.lit(tail))),
+        }).drop("_best", "words", *[f"score_{t}" for t in types])
     )
 
 
@@ -185,8 +186,8 @@ def route(df: DataFrame, responses: DataFrame | None, doc_id: str = "doc_id", te
         df = df.join(responses.select(doc_id, F.col("response").alias("_response")), doc_id, "left")
         empty = F.struct(F.lit(fv.UNKNOWN).alias("doc_type"), F.lit(0.0).alias("confidence"),
                          F.lit(fv.NO_TEXT_CONTENT).alias("reasoning"))
-        df = df.withColumn("_model", F.when(~tx.has_text(F.col(text)), empty).otherwise(
-            read_routing_response(F.col("_response"), list(lexicon)))).drop("_response")
+        df = with_once(df, {"_model": F.when(~tx.has_text(F.col(text)), empty).otherwise(
+            read_routing_response(F.col("_response"), list(lexicon)))}).drop("_response")
     df = route_by_keywords(df, text, lexicon, prefix="_kw_") if use_fallback else df
 
     def pick(part: str) -> Column:
@@ -198,8 +199,9 @@ def route(df: DataFrame, responses: DataFrame | None, doc_id: str = "doc_id", te
             F.col(f"_kw_{part}"))
 
     return (
-        df.withColumn("doc_type", pick("doc_type"))
-        .withColumn("routing_confidence", pick("confidence"))
-        .withColumn("routing_reasoning", pick("reasoning"))
-        .drop("_model", "_kw_doc_type", "_kw_confidence", "_kw_reasoning")
+        df.withColumns({
+            "doc_type": pick("doc_type"),
+            "routing_confidence": pick("confidence"),
+            "routing_reasoning": pick("reasoning"),
+        }).drop("_model", "_kw_doc_type", "_kw_confidence", "_kw_reasoning")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliograde import fixed_values as fv
 from foliograde.functions import confidence as cf
 from foliograde.functions.confidence import Weights
+from foliograde.functions.once import with_once
 
 
 def rule_status(key: Column, passed: Column, failed: Column) -> Column:
@@ -22,7 +23,7 @@ def rule_status(key: Column, passed: Column, failed: Column) -> Column:
     )
 
 
-def score_leaves(leaves: Column, validation: Column, ocr_quality: Column,
+def score_leaves(leaves: Column, passed: Column, failed: Column, ocr_quality: Column,
                  weights: Weights = Weights()) -> Column:
     """Leaves with their ``confidence``."""
     return F.transform(leaves, lambda f: F.struct(
@@ -30,7 +31,7 @@ def score_leaves(leaves: Column, validation: Column, ocr_quality: Column,
         cf.field_confidence(
             F.coalesce(f["llm_conf"], cf.estimate(f["value"], f["falsy"])),
             ocr_quality,
-            rule_status(f["key"], validation["passed_rules"], validation["failed_rules"]),
+            rule_status(f["key"], passed, failed),
             weights,
         ).alias("confidence"),
     ))
@@ -83,12 +84,13 @@ def score(df: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """Add ``scored`` (leaves with confidence), ``confidences``, ``avg_field_confidence`` and
     ``overall_confidence``.
 
-    Needs ``leaves``, ``validation``, ``ocr_quality`` and ``extraction_method``.
+    Needs ``leaves``, ``passed_rules``, ``failed_rules``, ``ocr_quality`` and ``extraction_method``.
     """
-    df = df.withColumn("scored", score_leaves(
-        F.col("leaves"), F.col("validation"), F.col("ocr_quality"), weights))
+    df = with_once(df, {"scored": score_leaves(
+        F.col("leaves"), F.col("passed_rules"), F.col("failed_rules"), F.col("ocr_quality"), weights)})
     df = df.withColumn("confidences", F.transform("scored", lambda f: f["confidence"]))
-    df = df.withColumn("avg_field_confidence", F.when(F.size("scored") > 0, mean(F.col("confidences")))
-                       .otherwise(fv.DEFAULT_FIELD_CONFIDENCE))
-    return df.withColumn("overall_confidence", adjusted(
-        F.col("avg_field_confidence"), F.col("validation.failed_rules"), F.col("extraction_method")))
+    average = F.when(F.size("scored") > 0, mean(F.col("confidences"))).otherwise(
+        fv.DEFAULT_FIELD_CONFIDENCE)
+    df = with_once(df, {"avg_field_confidence": average})
+    return with_once(df, {"overall_confidence": adjusted(
+        F.col("avg_field_confidence"), F.col("failed_rules"), F.col("extraction_method"))})

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from foliograde import fixed_values as fv
 from foliograde.functions import text as tx
+from foliograde.functions.once import with_once
 from foliograde.functions.record import FreeRecord, TypedRecord
 from foliograde.schemas import RECORD_TYPES
 
@@ -199,20 +200,23 @@ def free_record(freeform: Column) -> Column:
 
 def validate(df: DataFrame, rules: dict[str, list[Rule]] = RULES,
              record_types: dict[str, T.StructType] = RECORD_TYPES, freeform: bool = True) -> DataFrame:
-    """Add ``rules`` and ``validation`` to a table of extracted records.
+    """Add the outcome of all rules to a table of extracted records.
+
+    New columns: ``rules`` (one entry per rule), ``passed_rules``, ``failed_rules``,
+    ``rule_warnings``, ``rule_notes`` (one sentence) and ``overall_valid``.
 
     Needs ``doc_type``, ``extraction_method``, ``freeform`` and one struct column per
     record type.  A document without a typed record is checked as the free-form one, or as
     an empty one.  ``freeform=False`` is for tables in which every record is typed.
     """
     typed = F.col("extraction_method") == fv.METHOD_TYPED
-    own = F
+    none = F.array().cast(_RULE_ROWS)
+    own = F.when(F.lit(False), none)
     for name, schema in record_types.items():
         own = own.when(typed & (F.col("doc_type") == name),
                        rule_outcomes(TypedRecord(F.col(name), schema), rules[name]))
-    none = F.array().cast(_RULE_ROWS)
     if freeform:
-        df = df.withColumn("_free", free_record(F.col("freeform")))
+        df = with_once(df, {"_free": free_record(F.col("freeform"))})
         free = FreeRecord(F.col("_free"))
         unreadable = F.array(_rule_row(
             F.lit(fv.SYSTEM_ERROR_RULE), F.lit("failed"),
@@ -224,27 +228,22 @@ def validate(df: DataFrame, rules: dict[str, list[Rule]] = RULES,
         outcome = own.otherwise(F.concat(loose.otherwise(none), common))
     else:
         outcome = own.otherwise(none)
-    df = df.withColumn("rules", outcome).drop("_free")
-    return df.withColumn("validation", validation_struct(F.col("rules")))
-
-
-def validation_struct(rules: Column) -> Column:
-    """Lists of passed and failed rules, warnings, a summary note and an overall flag."""
-    passed = F.transform(F.filter(rules, lambda r: r.outcome == "passed"), lambda r: r["name"])
-    failed = F.transform(
-        F.filter(rules, lambda r: r.outcome.isin("failed", "error")),
-        lambda r: F.when(r.outcome == "error", F.concat(r["name"], F.lit(" (error)")))
-        .otherwise(r["name"]))
-    warnings = F.flatten(F.transform(rules, lambda r: r.warnings))
-    broken = F.exists(rules, lambda r: r["name"] == fv.SYSTEM_ERROR_RULE)
-    return F.struct(
-        passed.alias("passed_rules"),
-        failed.alias("failed_rules"),
-        warnings.alias("warnings"),
-        F.when(broken, fv.SYSTEM_ERROR_NOTE).otherwise(
-            note(F.size(passed), F.size(failed), F.size(warnings))).alias("notes"),
-        (F.size(failed) == 0).alias("overall_valid"),
-    )
+    df = with_once(df, {"rules": outcome}).drop("_free")
+    rules_col = F.col("rules")
+    df = with_once(df, {
+        "passed_rules": F.transform(
+            F.filter(rules_col, lambda r: r.outcome == "passed"), lambda r: r["name"]),
+        "failed_rules": F.transform(
+            F.filter(rules_col, lambda r: r.outcome.isin("failed", "error")),
+            lambda r: F.when(r.outcome == "error", F.concat(r["name"], F.lit(" (error)")))
+            .otherwise(r["name"])),
+        "rule_warnings": F.flatten(F.transform(rules_col, lambda r: r.warnings)),
+    })
+    summary = note(F.size("passed_rules"), F.size("failed_rules"), F.size("rule_warnings"))
+    broken = F.array_contains("failed_rules", fv.SYSTEM_ERROR_RULE)
+    return df.withColumns({
+        "rule_notes": F.when(broken, fv.SYSTEM_ERROR_NOTE).otherwise(summary),
+        "overall_valid": F.size("failed_rules") == 0})
 
 
 def note(passed: Column, failed: Column, warnings: Column) -> Column:

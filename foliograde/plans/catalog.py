@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,9 @@ from foliograde.streaming import ingest
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Ship the stand-in model below to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 JOB_STAMP = "20240115_103000"
 
 
@@ -33,7 +38,9 @@ def query(fn: Query) -> Query:
 
 
 def r6(value: Column | str) -> Column:
-    return tx.rounded(F.col(value) if isinstance(value, str) else value, 6)
+    """Six digits; the small shift keeps exact halves from falling with the order of a sum."""
+    number = F.col(value) if isinstance(value, str) else value
+    return F.floor(number * 1e6 + 0.500001) / 1e6
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,8 +65,8 @@ def processed(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored_fields(spark: SparkSession, sf: str, weights: Weights = Weights()) -> DataFrame:
     return judged(spark, sf, weights).select(
-        "doc_id", "doc_type", "validation", F.posexplode("scored").alias("pos", "field"),
-    ).select("doc_id", "doc_type", F.col("pos").cast("long").alias("pos"), "field.*", "validation")
+        "doc_id", "doc_type", "passed_rules", "failed_rules", F.posexplode("scored").alias("pos", "field"),
+    ).select("doc_id", "doc_type", F.col("pos").cast("long").alias("pos"), "field.*", "passed_rules", "failed_rules")
 
 
 def long_form(df: DataFrame, values: Column, kind: str) -> DataFrame:
@@ -494,13 +501,13 @@ def validate_prescription(spark, sf):
 
 @query
 def validation_notes(spark, sf):
-    return rules_of(spark, sf).select("doc_id", "doc_type", "validation.notes", "validation.overall_valid")
+    return rules_of(spark, sf).select("doc_id", "doc_type", F.col("rule_notes").alias("notes"), "overall_valid")
 
 
 @query
 def validation_warnings(spark, sf):
     return rules_of(spark, sf).select(
-        "doc_id", F.posexplode("validation.warnings").alias("pos", "warning")).select(
+        "doc_id", F.posexplode("rule_warnings").alias("pos", "warning")).select(
         "doc_id", F.col("pos").cast("long").alias("pos"), "warning")
 
 
@@ -511,9 +518,9 @@ def validate_common(spark, sf):
         "doc_type": F.lit(fv.UNKNOWN), "extraction_method": F.lit(fv.METHOD_FALLBACK)})
     checked = validation.validate(df, {}, {})
     return checked.select(
-        "doc_id", F.array_join("validation.passed_rules", ",").alias("passed"),
-        F.array_join("validation.failed_rules", ",").alias("failed"),
-        F.array_join("validation.warnings", ",").alias("warnings"), "validation.notes")
+        "doc_id", F.array_join("passed_rules", ",").alias("passed"),
+        F.array_join("failed_rules", ",").alias("failed"),
+        F.array_join("rule_warnings", ",").alias("warnings"), F.col("rule_notes").alias("notes"))
 
 
 @query
@@ -572,7 +579,7 @@ def estimate_confidence(spark, sf):
 @query
 def field_rule_status(spark, sf):
     df = scored_fields(spark, sf)
-    status = scoring.rule_status(F.col("key"), F.col("validation.passed_rules"), F.col("validation.failed_rules"))
+    status = scoring.rule_status(F.col("key"), F.col("passed_rules"), F.col("failed_rules"))
     return df.select("doc_type", "key", F.coalesce(status.cast("string"), F.lit("none")).alias("status")).groupBy(
         "doc_type", "key", "status").agg(F.count("*").alias("fields"))
 
@@ -582,7 +589,7 @@ def score_documents(spark, sf):
     return judged(spark, sf).select(
         "doc_id", "doc_type", F.size("scored").cast("long").alias("field_count"),
         r6("avg_field_confidence").alias("avg_field_confidence"),
-        scoring.critical_failures(F.col("validation.failed_rules")).cast("long").alias("critical_failures"),
+        scoring.critical_failures(F.col("failed_rules")).cast("long").alias("critical_failures"),
         r6("overall_confidence").alias("overall_confidence"))
 
 
@@ -686,5 +693,5 @@ def overview(spark, sf):
 def valid_invoices(spark, sf):
     """How many invoices pass all rules, and how sure are we of them?"""
     df = judged(spark, sf).filter(F.col("doc_type") == fv.INVOICE)
-    return df.groupBy("validation.overall_valid").agg(
+    return df.groupBy("overall_valid").agg(
         F.count("*").alias("invoices"), r6(F.avg("overall_confidence")).alias("average_confidence"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliograde import fixed_values as fv
 from foliograde import schemas
 from foliograde.functions import text as tx
+from foliograde.functions.once import with_once
 from foliograde.session import small_rows
 
 LINES_PER_DOCUMENT = 1_000
@@ -99,7 +100,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "documents", "doc_id", "text").select(
         F.explode(uses).alias("n_orderkey"), F.col("text").alias("note"))
     empty = F.array().cast(lines.schema["lines"].dataType)
-    return (
+    joined = (
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(notes, F.col("o_orderkey") == F.col("n_orderkey"), "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
@@ -109,11 +110,12 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("l_orderkey", "n_orderkey", "part")
         .withColumn("kind", F.element_at(F.array(*map(F.lit, fv.DOC_TYPES)),
                                          (F.col("o_orderkey") % 3 + 1).cast("int")))
-        .withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .withColumn("vendor", F.array_min(F.transform("lines", lambda x: F.struct(x.s_name, x.s_nation, x.l_suppkey))))
-        .withColumn("goods", tx.rounded(F.aggregate("lines", F.lit(0.0), lambda a, x: a + x.total_price), 2))
-        .withColumn("tax", tx.rounded(F.aggregate("lines", F.lit(0.0), lambda a, x: a + x.tax), 2))
     )
+    return with_once(joined, {
+        "day": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "vendor": F.array_min(F.transform("lines", lambda x: F.struct(x.s_name, x.s_nation, x.l_suppkey))),
+        "goods": tx.rounded(F.aggregate("lines", F.lit(0.0), lambda a, x: a + x.total_price), 2),
+        "tax": tx.rounded(F.aggregate("lines", F.lit(0.0), lambda a, x: a + x.tax), 2)})
 
 
 def _line_items() -> Column:
@@ -234,16 +236,14 @@ def document_text() -> Column:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted records of all three types with their text, one struct filled per row."""
     kind = F.col("kind")
-    return (
-        order_documents(spark, sf_dir)
-        .withColumn("invoice", F.when(kind == fv.INVOICE, invoice_record()))
-        .withColumn("medical_bill", F.when(kind == fv.MEDICAL_BILL, medical_bill_record()))
-        .withColumn("prescription", F.when(kind == fv.PRESCRIPTION, prescription_record()))
-        .withColumn("text", document_text())
-        .withColumn("ocr_quality", F.when(every(4), 1.0).when(F.col("o_orderkey") % 4 == 1, F.lit(None))
-                    .otherwise((F.col("o_orderkey") * 7 % 41) / 40.0))
-        .select("doc_id", "o_orderkey", "kind", "text", "ocr_quality", *schemas.RECORD_TYPES)
-    )
+    df = with_once(order_documents(spark, sf_dir), {
+        "invoice": F.when(kind == fv.INVOICE, invoice_record()),
+        "medical_bill": F.when(kind == fv.MEDICAL_BILL, medical_bill_record()),
+        "prescription": F.when(kind == fv.PRESCRIPTION, prescription_record())})
+    quality = F.when(every(4), 1.0).when(F.col("o_orderkey") % 4 == 1, F.lit(None)).otherwise(
+        (F.col("o_orderkey") * 7 % 41) / 40.0)
+    df = with_once(df, {"text": document_text()}).withColumn("ocr_quality", quality)
+    return df.select("doc_id", "o_orderkey", "kind", "text", "ocr_quality", *schemas.RECORD_TYPES)
 
 
 def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kind") == fv.MEDICAL_BILL, _json(F.col("medical_bill"), False)).otherwise(
         _json(F.col("prescription"), False))
     listed = F.when(F.col("kind") == fv.PRESCRIPTION, "medicines").otherwise("line_items")
-    df = df.withColumn("_full", record).withColumn("_brief", brief).withColumn("case", case())
+    df = with_once(df.withColumn("case", case()), {"_full": record, "_brief": brief})
     head = F.substring("_full", F.lit(1), F.length("_full") - 1)
 
     def plus(tail: Column) -> Column:
@@ -314,7 +314,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(c == 9, 'Almost: {"currency": "USD", }')
     )
     return (
-        df.withColumn("response", first).withColumn("fallback_response", second)
+        with_once(df, {"response": first, "fallback_response": second})
         .withColumn("source_file", F.concat(F.lit("/in/"), F.col("doc_id"), F.lit(".pdf")))
         .drop("_full", "_brief", *schemas.RECORD_TYPES)
     )

@@ -23,7 +23,7 @@ def text_literal(value: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE"
+    return f"floor(({x}) * 1000000.0::DOUBLE + 0.500001::DOUBLE) / 1000000.0::DOUBLE"
 
 
 def r2(x: str) -> str:
@@ -634,6 +634,7 @@ _bare = lambda v: f"regexp_replace({v}, {pattern('^' + fv.WHITESPACE + '+|' + fv
 _event_leaves = [
     ("k", "k", "json_extract_string(props, '$.k')", "(e % 100) / 100.0::DOUBLE"),
     ("kind", "kind", "event_type", "0.25::DOUBLE"),
+    ("kindConfidence", "kindConfidence", "'0.25'", None),
     ("email", "email", "CASE m WHEN 0 THEN 'user@example.org' WHEN 1 THEN 'user at example' END", None),
     ("phone", "phone", "CASE p WHEN 0 THEN '(555) 123-4567' WHEN 1 THEN '12-34' END", None),
     ("inner.user", "user", "'u' || user_id", None),
