@@ -24,6 +24,15 @@ def judge_records(df: DataFrame, weights: Weights = Weights(),
     return scoring.score(df, weights)
 
 
+def route_documents(df: DataFrame, doc_id: str,
+                    routing_responses: DataFrame | None = None) -> DataFrame:
+    """Add ``error``, ``doc_type`` and the routing columns; a document without text is ``unknown``."""
+    df = df.withColumn("error", F.when(~tx.has_text(F.col("text")), fv.NO_TEXT_ERROR))
+    df = routing.route(df, routing_responses, doc_id=doc_id)
+    return df.withColumn(
+        "doc_type", F.when(F.col("error").isNull(), F.col("doc_type")).otherwise(fv.UNKNOWN))
+
+
 def process_documents(df: DataFrame, *ids: str, routing_responses: DataFrame | None = None,
                       weights: Weights = Weights(),
                       rules: dict[str, list[validation.Rule]] = validation.RULES,
@@ -33,9 +42,7 @@ def process_documents(df: DataFrame, *ids: str, routing_responses: DataFrame | N
     Needs the id columns, ``source_file``, ``text``, ``ocr_quality``, ``response`` and
     ``fallback_response``.  Without ``routing_responses`` there is no join and no shuffle.
     """
-    df = df.withColumn("error", F.when(~tx.has_text(F.col("text")), fv.NO_TEXT_ERROR))
-    df = routing.route(df, routing_responses, doc_id=ids[0])
-    df = df.withColumn("doc_type", F.when(F.col("error").isNull(), F.col("doc_type")).otherwise(fv.UNKNOWN))
+    df = route_documents(df, ids[0], routing_responses)
     df = responses.extract(df, record_types=record_types)
     return publish(judge_records(df, weights, rules, record_types), *ids, record_types=record_types)
 
