@@ -20,10 +20,11 @@ def evidence(value: Column, lower_text: Column) -> Column:
     low = F.lower(value)
     parts = tx.words(low)
     hits = F.size(F.filter(parts, lambda w: F.contains(lower_text, w)))
-    usable = (F.length(value) > 0) & (F.length(lower_text) > 0)
+    usable = (value != "") & (lower_text != "")
     return (
         F.when(~F.coalesce(usable, F.lit(False)), 0.0)
         .when(F.contains(lower_text, low), 0.9)
+        .when(~low.rlike(fv.WHITESPACE), 0.3)  # a single word, and it was not found
         .when(hits > 0, F.lit(0.7) * (hits / F.size(parts)))
         .otherwise(0.3)
     )

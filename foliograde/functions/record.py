@@ -76,6 +76,12 @@ class NumberCell(Cell):
 
 
 class VariantCell(Cell):
+    """A value below a VARIANT.
+
+    Asking for the kind of a VARIANT builds a schema text, so that is done only where the
+    printed value leaves the kind open.
+    """
+
     def __init__(self, record: Column, name: str):
         self.record, self.path = record, f"$['{name}']"
 
@@ -87,38 +93,50 @@ class VariantCell(Cell):
     def value(self) -> Column:
         return self.get("variant")
 
+    @cached_property
+    def printed(self) -> Column:
+        return self.get("string")
+
     @cached_property
     def kind(self) -> Column:
         return F.coalesce(F.schema_of_variant(self.value), F.lit("VOID"))
 
     @cached_property
     def missing(self) -> Column:
-        return self.kind == "VOID"
+        return self.printed.isNull()
+
+    @cached_property
+    def blank(self) -> Column:
+        return ~tx.has_text(self.printed)
 
     @cached_property
     def is_text(self) -> Column:
-        return self.kind == "STRING"
+        open_kind = self.printed.rlike(r"^(?:-?[0-9]|true$|false$|[\[{])")
+        return F.when(self.missing, False).when(open_kind, self.kind == "STRING").otherwise(True)
 
     @cached_property
     def text(self) -> Column:
-        printed = self.get("string")
-        return F.when(self.kind == "BOOLEAN", F.initcap(printed)).otherwise(printed)
+        is_bool = self.printed.isin("true", "false") & (self.kind == "BOOLEAN")
+        return F.when(is_bool, F.initcap(self.printed)).otherwise(self.printed)
 
     @cached_property
     def number(self) -> Column:
         return (
-            F.when(self.is_text, tx.to_number(self.get("string")))
+            F.when(self.missing, F.lit(None).cast("double"))
+            .when(self.printed.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), self.get("double"))
+            .when(self.is_text, tx.to_number(self.printed))
             .when(self.kind == "BOOLEAN", self.get("boolean").cast("double"))
             .otherwise(self.get("double"))
         )
 
     @cached_property
     def truthy(self) -> Column:
-        return F.coalesce(
-            F.when(self.missing, False)
-            .when(self.is_text, F.length(self.get("string")) > 0)
-            .when(self.number.isNotNull(), self.number != 0)
-            .otherwise(~F.to_json(self.value).isin("[]", "{}")), F.lit(False))
+        open_kind = self.printed.rlike(r"^(?:-?0+(?:\.0+)?|false|\[\]|\{\})$")
+        return (
+            F.when(self.missing | (self.printed == ""), False)
+            .when(open_kind, self.kind == "STRING")
+            .otherwise(True)
+        )
 
 
 class AbsentCell(Cell):

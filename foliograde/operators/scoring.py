@@ -11,16 +11,22 @@ from foliograde.functions.confidence import Weights
 from foliograde.functions.once import with_once
 
 
+def rule_text(rules: Column) -> Column:
+    """Rule names as one lower-cased text, in which a key can be looked up in one go.
+
+    The separator does not occur in rule names, so a key is found within a single name.
+    """
+    return F.lower(F.array_join(rules, "\n\0\n"))
+
+
 def rule_status(key: Column, passed: Column, failed: Column) -> Column:
     """What the rules say about a field: false, true or null.
 
     A rule speaks about a field if its name contains the field's key; a failed rule wins.
+    ``passed`` and ``failed`` are ``rule_text`` columns.
     """
     name = F.lower(key)
-    return (
-        F.when(F.exists(failed, lambda r: F.contains(F.lower(r), name)), False)
-        .when(F.exists(passed, lambda r: F.contains(F.lower(r), name)), True)
-    )
+    return F.when(F.contains(failed, name), False).when(F.contains(passed, name), True)
 
 
 def score_leaves(leaves: Column, passed: Column, failed: Column, ocr_quality: Column,
@@ -86,8 +92,11 @@ def score(df: DataFrame, weights: Weights = Weights()) -> DataFrame:
 
     Needs ``leaves``, ``passed_rules``, ``failed_rules``, ``ocr_quality`` and ``extraction_method``.
     """
+    df = with_once(df, {"_passed": rule_text(F.col("passed_rules")),
+                        "_failed": rule_text(F.col("failed_rules"))})
     df = with_once(df, {"scored": score_leaves(
-        F.col("leaves"), F.col("passed_rules"), F.col("failed_rules"), F.col("ocr_quality"), weights)})
+        F.col("leaves"), F.col("_passed"), F.col("_failed"), F.col("ocr_quality"), weights,
+    )}).drop("_passed", "_failed")
     df = df.withColumn("confidences", F.transform("scored", lambda f: f["confidence"]))
     average = F.when(F.size("scored") > 0, mean(F.col("confidences"))).otherwise(
         fv.DEFAULT_FIELD_CONFIDENCE)

@@ -170,7 +170,7 @@ def rule_outcomes(record: Record, rules: list[Rule]) -> Column:
             outcome = F.when(failed, "error").otherwise(outcome)
             warnings = F.when(failed, F.array().cast(_NO_WARNINGS)).otherwise(warnings)
         rows.append(_rule_row(F.lit(rule.name), outcome, warnings))
-    return F.array(*rows).cast(_RULE_ROWS)
+    return F.array(*rows)
 
 
 def common_outcomes(record: Record) -> Column:

@@ -589,7 +589,8 @@ def estimate_confidence(spark, sf):
 @query
 def field_rule_status(spark, sf):
     df = scored_fields(spark, sf)
-    status = scoring.rule_status(F.col("key"), F.col("passed_rules"), F.col("failed_rules"))
+    status = scoring.rule_status(F.col("key"), scoring.rule_text(F.col("passed_rules")),
+                                 scoring.rule_text(F.col("failed_rules")))
     return df.select("doc_type", "key", F.coalesce(status.cast("string"), F.lit("none")).alias("status")).groupBy(
         "doc_type", "key", "status").agg(F.count("*").alias("fields"))
 

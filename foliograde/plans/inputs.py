@@ -280,14 +280,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     place of the list, 5 a list element without its name, 6 a confidence above 1, 7 an amount
     with a thousands separator, 8 no JSON at all, 9 broken JSON.
     """
-    df = records(spark, sf_dir)
-    record = F.when(F.col("kind") == fv.INVOICE, _json(F.col("invoice"))).when(
-        F.col("kind") == fv.MEDICAL_BILL, _json(F.col("medical_bill"))).otherwise(_json(F.col("prescription")))
-    brief = F.when(F.col("kind") == fv.INVOICE, _json(F.col("invoice"), False)).when(
-        F.col("kind") == fv.MEDICAL_BILL, _json(F.col("medical_bill"), False)).otherwise(
-        _json(F.col("prescription"), False))
+    df = records(spark, sf_dir).withColumn("case", case())
+    record = F
+    for name in schemas.RECORD_TYPES:
+        brief, full = _json(F.col(name), False), _json(F.col(name))
+        record = record.when(F.col("kind") == name, F.when(F.col("case") == 1, brief).otherwise(full))
     listed = F.when(F.col("kind") == fv.PRESCRIPTION, "medicines").otherwise("line_items")
-    df = with_once(df.withColumn("case", case()), {"_full": record, "_brief": brief})
+    df = with_once(df, {"_full": record})
     head = F.substring("_full", F.lit(1), F.length("_full") - 1)
 
     def plus(tail: Column) -> Column:
@@ -303,7 +302,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('", "total_amount_confidence": 0.85, "extra": {"checked": true, "codes": [1, 2], "level": 1500.0}'))
     c = F.col("case")
     first = (
-        F.when(c == 0, F.col("_full")).when(c == 1, F.col("_brief"))
+        F.when(c.isin(0, 1), F.col("_full"))
         .when(c == 2, F.concat(F.lit("Here it is: "), F.col("_full"), F.lit(" Anything else?")))
         .when(c == 3, F.concat(F.lit("```json\n"), F.col("_full"), F.lit("\n```")))
         .when(c == 4, F.concat(F.lit('{"'), listed, F.lit('": null}')))
@@ -320,7 +319,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         with_once(df, {"response": first, "fallback_response": second})
         .withColumn("source_file", F.concat(F.lit("/in/"), F.col("doc_id"), F.lit(".pdf")))
-        .drop("_full", "_brief", *schemas.RECORD_TYPES)
+        .drop("_full", *schemas.RECORD_TYPES)
     )
 
 
