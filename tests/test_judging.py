@@ -12,9 +12,11 @@ SCHEMA = ("doc_id string, source_file string, text string, ocr_quality double, r
 INVOICE_TEXT = "Invoice A1 vendor Acme customer Bo total 10.5 tax"
 
 
-def process(spark, text, response=None, fallback=None, quality=1.0):
-    df = spark.createDataFrame([("d", "/in/d.pdf", text, quality, response, fallback)], SCHEMA)
-    return results.process_documents(df, "doc_id").first()
+def process(spark, *cases):
+    """Process all cases (text, reply, second reply) in one query; rows in the order given."""
+    rows = [(str(i), f"/in/{i}.pdf", *(list(c) + [None] * (3 - len(c)))) for i, c in enumerate(cases)]
+    df = spark.createDataFrame([(*r[:3], 1.0, *r[3:]) for r in rows], SCHEMA)
+    return sorted(results.process_documents(df, "doc_id").collect(), key=lambda r: int(r.doc_id))
 
 
 def invoice(**changes):
@@ -24,24 +26,19 @@ def invoice(**changes):
     return json.dumps({k: v for k, v in record.items() if v != "absent"})
 
 
-def test_error_result(spark):
-    row = process(spark, "  ")
-    assert row.doc_type == "unknown" and row.overall_confidence == 0.0 and row.fields == []
-    assert row.validation.failed_rules == ["processing_error"]
-    assert row.validation.notes == "Processing failed: No text could be extracted from the document"
-    assert row.processing_metadata.field_count == 0
-
-
-def test_unknown_and_empty_documents(spark):
-    row = process(spark, "nothing to see")
-    assert (row.doc_type, row.overall_confidence) == ("unknown", 0.5)
-    assert row.validation.notes == "0 validation rules passed - Document appears valid"
-    for text in ("invoice", "hospital", "rx"):
-        assert process(spark, text).overall_confidence == pytest.approx(0.35)
+def test_documents_without_records(spark):
+    blank, unknown, *empty = process(spark, ("  ",), ("nothing to see",), ("invoice",), ("hospital",), ("rx",))
+    assert blank.doc_type == "unknown" and blank.overall_confidence == 0.0 and blank.fields == []
+    assert blank.validation.failed_rules == ["processing_error"]
+    assert blank.validation.notes == "Processing failed: No text could be extracted from the document"
+    assert blank.processing_metadata.field_count == 0
+    assert (unknown.doc_type, unknown.overall_confidence) == ("unknown", 0.5)
+    assert unknown.validation.notes == "0 validation rules passed - Document appears valid"
+    assert [r.overall_confidence for r in empty] == pytest.approx([0.35] * 3)
 
 
 def test_typed_invoice(spark):
-    row = process(spark, INVOICE_TEXT, invoice())
+    (row,) = process(spark, (INVOICE_TEXT, invoice()))
     assert row.processing_metadata.extraction_method == "llm_structured"
     assert row.validation.failed_rules == [] and len(row.validation.passed_rules) == 5
     names = [f.name for f in row.fields]
@@ -55,7 +52,7 @@ def test_typed_invoice(spark):
     assert by_name["vendor_name"].source.page == 1
 
 
-@pytest.mark.parametrize("changes, failed", [
+INVOICE_CASES = [
     ({"invoice_number": "  "}, ["invoice_number_present"]),
     ({"total_amount": None}, ["total_amount_valid"]),
     ({"total_amount": -1.0}, ["total_amount_valid", "line_items_total_match"]),
@@ -64,76 +61,63 @@ def test_typed_invoice(spark):
     ({"total_amount": 11.5, "tax_amount": 1.0}, []),
     ({"date": "soon"}, ["date_format_valid"]),
     ({"vendor_name": "absent"}, ["vendor_name_present"]),
-])
-@pytest.mark.parametrize("typed", [True, False])
-def test_invoice_rules(spark, changes, failed, typed):
-    record = invoice(**changes)
-    row = process(spark, INVOICE_TEXT, record if typed else "no", None if typed else f"Here: {record}!")
-    method = "llm_structured" if typed else "fallback_json"
-    assert row.processing_metadata.extraction_method == method
-    assert row.validation.failed_rules == failed
-
-
-def warnings_of(spark, doc_type, record):
-    df = spark.createDataFrame([(doc_type, "fallback_json", json.dumps(record))],
-                               "doc_type string, extraction_method string, freeform string")
+]
+
+
+def test_invoice_rules_typed_and_free(spark):
+    records = [invoice(**changes) for changes, _ in INVOICE_CASES]
+    expected = [failed for _, failed in INVOICE_CASES]
+    rows = process(spark, *[(INVOICE_TEXT, r) for r in records],
+                   *[(INVOICE_TEXT, "no", f"Here: {r}!") for r in records])
+    typed, free = rows[:len(records)], rows[len(records):]
+    assert {r.processing_metadata.extraction_method for r in typed} == {"llm_structured"}
+    assert {r.processing_metadata.extraction_method for r in free} == {"fallback_json"}
+    assert [r.validation.failed_rules for r in typed] == expected
+    assert [r.validation.failed_rules for r in free] == expected
+
+
+def check(spark, *cases):
+    """Validate free-form records (type, record) in one query; rows in the order given."""
+    rows = [(i, t, "fallback_json", r if isinstance(r, str) else json.dumps(r)) for i, (t, r) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i long, doc_type string, extraction_method string, freeform string")
     for name, schema in results.RECORD_TYPES.items():
         df = df.withColumn(name, F.lit(None).cast(schema))
-    return validation.validate(df).first()
-
-
-def test_warnings(spark):
-    row = warnings_of(spark, "invoice", json.loads(invoice(subtotal=9.0, date="n/a")))
-    assert row.rule_warnings == ["Line items total (10.50) doesn't match subtotal (9.00)", "Unusual date format: n/a"]
-    row = warnings_of(spark, "invoice", json.loads(invoice(subtotal="nine")))
-    assert row.rule_warnings == ["Subtotal is not a valid number"]
-    assert row.rule_notes == "5 validation rules passed, 1 warnings - Document valid with minor warnings"
-
-
-def test_free_form_values(spark):
-    items = [{"description": "pen", "total_price": "10.5"}, {"total_price": "x"}, {"other": 1}, 5, True]
-    row = warnings_of(spark, "invoice", json.loads(invoice(invoice_number=12, total_amount="10.5", line_items=items)))
-    assert row.failed_rules == []
-    row = warnings_of(spark, "invoice", json.loads(invoice(total_amount="1,500")))
-    assert row.failed_rules == ["total_amount_valid", "line_items_total_match"]
-    row = warnings_of(spark, "invoice", json.loads(invoice(date=20240115)))
-    assert row.failed_rules == ["date_format_valid"] and row.rule_warnings == ["Unusual date format: 20240115"]
-
-
-def test_medical_and_prescription_rules(spark):
-    bill = {"patient_name": "A", "hospital_name": "B", "bill_date": "1/2/24", "total_amount": 10,
-            "amount_paid": 4, "balance_due": 6}
-    assert warnings_of(spark, "medical_bill", bill).failed_rules == []
-    assert warnings_of(spark, "medical_bill", {**bill, "balance_due": 7}).failed_rules == ["balance_calculation_valid"]
-    assert warnings_of(spark, "medical_bill", {**bill, "amount_paid": "x"}).failed_rules == ["balance_calculation_valid"]
-    assert warnings_of(spark, "medical_bill", {**bill, "balance_due": None}).failed_rules == []
-    rx = {"patient_name": "A", "doctor_name": "B", "prescription_date": "5 May 2024",
-          "medicines": [{"name": "m", "dosage": "5 MG"}, {"name": "n", "dosage": "drops"}]}
-    row = warnings_of(spark, "prescription", rx)
-    assert row.failed_rules == [] and row.rule_warnings == ["Medicine 2 has unusual dosage format: drops"]
-    row = warnings_of(spark, "prescription", {**rx, "medicines": [{"name": "m", "dosage": 5}]})
-    assert row.failed_rules == ["medicine_dosages_valid (error)"]
-    assert warnings_of(spark, "prescription", {**rx, "medicines": [{"name": ""}]}).failed_rules == ["medicines_present"]
-
-
-def test_common_rules(spark):
-    row = warnings_of(spark, "other", {"email": "a@b.co", "vendor_email": "x", "contact_email": "",
-                                       "phone": "12", "vendor_phone": 15551234567})
-    assert row.passed_rules == ["email_format_valid", "vendor_phone_format_valid"]
-    assert row.failed_rules == ["vendor_email_format_invalid"]
-    assert row.rule_warnings == ["Unusual phone number format: 12"]
-
-
-def test_unreadable_record(spark):
-    df = warnings_of(spark, "invoice", {})
-    assert len(df.failed_rules) == 5
-    bad = spark.createDataFrame([("invoice", "fallback_json", "{x")],
-                                "doc_type string, extraction_method string, freeform string")
-    for name, schema in results.RECORD_TYPES.items():
-        bad = bad.withColumn(name, F.lit(None).cast(schema))
-    row = validation.validate(bad).first()
-    assert row.failed_rules == ["validation_system_error"]
-    assert row.rule_notes == "Validation could not be completed due to system error"
+    return sorted(validation.validate(df).collect(), key=lambda r: r.i)
+
+
+BILL = {"patient_name": "A", "hospital_name": "B", "bill_date": "1/2/24", "total_amount": 10,
+        "amount_paid": 4, "balance_due": 6}
+RX = {"patient_name": "A", "doctor_name": "B", "prescription_date": "5 May 2024",
+      "medicines": [{"name": "m", "dosage": "5 MG"}, {"name": "n", "dosage": "drops"}]}
+ODD_ITEMS = [{"description": "pen", "total_price": "10.5"}, {"total_price": "x"}, {"other": 1}, 5, True]
+FREE_CASES = [
+    # type, record, failed rules, warnings
+    ("invoice", invoice(subtotal=9.0, date="n/a"), ["date_format_valid"],
+     ["Line items total (10.50) doesn't match subtotal (9.00)", "Unusual date format: n/a"]),
+    ("invoice", invoice(subtotal="nine"), [], ["Subtotal is not a valid number"]),
+    ("invoice", invoice(invoice_number=12, total_amount="10.5", line_items=ODD_ITEMS), [], []),
+    ("invoice", invoice(total_amount="1,500"), ["total_amount_valid", "line_items_total_match"], []),
+    ("invoice", invoice(date=20240115), ["date_format_valid"], ["Unusual date format: 20240115"]),
+    ("medical_bill", BILL, [], []),
+    ("medical_bill", {**BILL, "balance_due": 7}, ["balance_calculation_valid"], []),
+    ("medical_bill", {**BILL, "amount_paid": "x"}, ["balance_calculation_valid"], []),
+    ("medical_bill", {**BILL, "balance_due": None}, [], []),
+    ("prescription", RX, [], ["Medicine 2 has unusual dosage format: drops"]),
+    ("prescription", {**RX, "medicines": [{"name": "m", "dosage": 5}]}, ["medicine_dosages_valid (error)"], []),
+    ("prescription", {**RX, "medicines": [{"name": ""}]}, ["medicines_present"], []),
+    ("other", {"email": "a@b.co", "vendor_email": "x", "contact_email": "", "phone": "12",
+               "vendor_phone": 15551234567}, ["vendor_email_format_invalid"], ["Unusual phone number format: 12"]),
+    ("invoice", "{x", ["validation_system_error"], ["Validation system error: unreadable record"]),
+]
+
+
+def test_free_form_rules(spark):
+    rows = check(spark, *[c[:2] for c in FREE_CASES])
+    for row, (_, record, failed, warnings) in zip(rows, FREE_CASES):
+        assert (row.failed_rules, row.rule_warnings) == (failed, warnings), record
+    assert rows[1].rule_notes == "5 validation rules passed, 1 warnings - Document valid with minor warnings"
+    assert rows[12].passed_rules == ["email_format_valid", "vendor_phone_format_valid"]
+    assert rows[13].rule_notes == "Validation could not be completed due to system error"
 
 
 def test_freeform_leaves(value):

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from foliograde.operators import requests, responses
 
@@ -9,9 +8,11 @@ INVOICE = {"invoice_number": "A1", "date": "2024-01-15", "total_amount": 10.5,
            "line_items": [{"description": "x", "quantity": 1, "total_price": 10.5, "confidence": 0.9}]}
 
 
-def parse(spark, reply, doc_type="invoice"):
-    df = spark.createDataFrame([(doc_type, reply)], "doc_type string, response string")
-    return responses.parse_typed(df).first()
+def parse(spark, replies, doc_type="invoice"):
+    """Parse all replies in one query; rows in the order given."""
+    rows = [(i, doc_type, r) for i, r in enumerate(replies)]
+    df = spark.createDataFrame(rows, "i long, doc_type string, response string")
+    return sorted(responses.parse_typed(df).collect(), key=lambda r: r.i)
 
 
 def with_item(**changes):
@@ -19,18 +20,15 @@ def with_item(**changes):
     return {**INVOICE, "line_items": [{k: v for k, v in item.items() if v != "absent"}]}
 
 
-@pytest.mark.parametrize("reply", [
+ACCEPTED = [
     json.dumps(INVOICE), "```json\n" + json.dumps(INVOICE) + "\n```", "```\n" + json.dumps(INVOICE) + "```",
     json.dumps({**INVOICE, "other": [1, {"a": 2}]}), json.dumps({**INVOICE, "total_amount": "10.5"}),
     json.dumps(with_item(confidence="absent")), json.dumps(with_item(quantity=None)), "{}",
     json.dumps({**INVOICE, "vendor_name": None}), json.dumps({**INVOICE, "invoice_number": "2024-1"}),
     json.dumps({**INVOICE, "invoice_number": "7"}), json.dumps({**INVOICE, "vendor_name": "false"}),
-])
-def test_accepted(spark, reply):
-    assert parse(spark, reply).typed_ok
+]
 
-
-@pytest.mark.parametrize("reply", [
+REJECTED = [
     None, "", "no json", "[1]", '{"a": ', "Here: " + json.dumps(INVOICE),
     json.dumps({**INVOICE, "line_items": None}), json.dumps({**INVOICE, "line_items": {}}),
     json.dumps({**INVOICE, "line_items": ["x"]}), json.dumps({**INVOICE, "total_amount": "1,500"}),
@@ -38,22 +36,26 @@ def test_accepted(spark, reply):
     json.dumps(with_item(description="absent")), json.dumps(with_item(description=None)),
     json.dumps(with_item(confidence=2.0)), json.dumps(with_item(confidence=None)),
     json.dumps({**INVOICE, "vendor_name": ["a"]}),
-])
-def test_rejected(spark, reply):
-    row = parse(spark, reply)
-    assert not row.typed_ok and row.invoice is None
+]
+
+
+def test_accepted_and_rejected(spark):
+    rows = parse(spark, ACCEPTED + REJECTED)
+    assert [ACCEPTED[r.i] for r in rows[:len(ACCEPTED)] if not r.typed_ok] == []
+    assert [REJECTED[r.i - len(ACCEPTED)] for r in rows[len(ACCEPTED):] if r.typed_ok or r.invoice] == []
 
 
 def test_values_and_defaults(spark):
-    row = parse(spark, json.dumps(INVOICE)).invoice
-    assert row.currency == "USD" and row.vendor_name is None
-    assert row.line_items[0].asDict() == {
+    first, no_currency, number_text, true, no_score, empty = [r.invoice for r in parse(spark, [
+        json.dumps(INVOICE), json.dumps({**INVOICE, "currency": None}), json.dumps({**INVOICE, "total_amount": "2"}),
+        json.dumps({**INVOICE, "total_amount": True}), json.dumps(with_item(confidence="absent")), "{}"])]
+    assert first.currency == "USD" and first.vendor_name is None
+    assert first.line_items[0].asDict() == {
         "description": "x", "quantity": 1.0, "unit_price": None, "total_price": 10.5, "confidence": 0.9}
-    assert parse(spark, json.dumps({**INVOICE, "currency": None})).invoice.currency is None
-    assert parse(spark, json.dumps({**INVOICE, "total_amount": "2"})).invoice.total_amount == 2.0
-    assert parse(spark, json.dumps({**INVOICE, "total_amount": True})).invoice.total_amount == 1.0
-    assert parse(spark, json.dumps(with_item(confidence="absent"))).invoice.line_items[0].confidence == 0.0
-    assert parse(spark, "{}").invoice.line_items == []
+    assert no_currency.currency is None
+    assert number_text.total_amount == 2.0 and true.total_amount == 1.0
+    assert no_score.line_items[0].confidence == 0.0
+    assert empty.line_items == []
 
 
 @pytest.mark.parametrize("reply, span", [
@@ -63,19 +65,20 @@ def test_braced(value, reply, span):
     assert value(responses.braced, "r string", reply) == span
 
 
-@pytest.mark.parametrize("doc_type, first, second, method, error", [
-    ("invoice", json.dumps(INVOICE), None, "llm_structured", None),
-    ("invoice", "bad", 'x {"a": 1} y', "fallback_json", None),
-    ("invoice", "bad", "none", "failed", "All extraction methods failed: No valid JSON found in response"),
-    ("invoice", "bad", "{a}", "failed", "All extraction methods failed: Invalid JSON"),
-    ("invoice", None, None, "failed", "All extraction methods failed: No valid JSON found in response"),
-    ("unknown", json.dumps(INVOICE), "{}", "failed", "Unknown document type: unknown"),
-])
-def test_outcome(spark, doc_type, first, second, method, error):
-    df = spark.createDataFrame([(doc_type, first, second)],
-                               "doc_type string, response string, fallback_response string")
-    row = responses.extract(df).first()
-    assert (row.extraction_method, row.extraction_error) == (method, error)
+def test_outcome(spark):
+    none = "All extraction methods failed: No valid JSON found in response"
+    cases = [
+        ("invoice", json.dumps(INVOICE), None, "llm_structured", None),
+        ("invoice", "bad", 'x {"a": 1} y', "fallback_json", None),
+        ("invoice", "bad", "none", "failed", none),
+        ("invoice", "bad", "{a}", "failed", "All extraction methods failed: Invalid JSON"),
+        ("invoice", None, None, "failed", none),
+        ("unknown", json.dumps(INVOICE), "{}", "failed", "Unknown document type: unknown"),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)],
+                               "i long, doc_type string, response string, fallback_response string")
+    rows = sorted(responses.extract(df).collect(), key=lambda r: r.i)
+    assert [(r.extraction_method, r.extraction_error) for r in rows] == [c[3:] for c in cases]
 
 
 def test_rendered_tables(value):
