@@ -34,6 +34,8 @@ def every(n: int, key: str = "o_orderkey") -> Column:
 def _with_parts(lines: DataFrame) -> DataFrame:
     """Add ``part``: 0 for ordinary orders, a spread over several parts for huge ones.
 
+    Without huge orders there is no such column, and the order key alone groups the lines.
+
     Line counts are pre-aggregated on one column.  The few orders above the limit are
     broadcast if their number is within bounds; otherwise the join is left to Spark, whose
     skew handling splits the huge keys, and the parts are spread by an exchange of their own.
@@ -44,7 +46,7 @@ def _with_parts(lines: DataFrame) -> DataFrame:
     )
     rows = small_rows(hot, HOT_ORDERS_BROADCAST_LIMIT)
     if rows == []:
-        return lines.withColumn("part", F.lit(0).cast("long"))
+        return lines
     salt = F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber")
     part = F.coalesce(F.pmod(salt, "_parts"), F.lit(0)).cast("long")
     if rows is None:
@@ -84,8 +86,12 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Everything is joined on the order key, so each input is shuffled once.
     """
-    lines = order_lines(spark, sf_dir).groupBy("l_orderkey", "part").agg(
+    lines = order_lines(spark, sf_dir)
+    split = "part" in lines.columns
+    lines = lines.groupBy("l_orderkey", *(["part"] if split else [])).agg(
         F.sort_array(F.collect_list(F.struct(*_LINE))).alias("lines"))
+    if not split:
+        lines = lines.withColumn("part", F.lit(0).cast("long"))
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     customer = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation", F.col("n_nationkey"), F.col("n_name").alias("c_nation"))
