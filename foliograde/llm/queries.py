@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograde.llm import decontaminate, mixing, sharding
+from foliograde.llm import decontaminate, mixing, sharding, toxicity
 from foliograde.llm.common import read
 
 
@@ -13,6 +13,11 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(read(spark, folder, "documents"))
 
 
+def op3_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.with_scores(read(spark, folder, "documents"), read(spark, folder, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op5_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select(
@@ -26,6 +31,7 @@ def op9_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity_scores": op3_toxicity_scores,
     "op5_benchmark_hits": op5_benchmark_hits,
     "op9_balanced_shards": op9_balanced_shards,
 }
