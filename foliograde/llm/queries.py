@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograde.llm import decontaminate, mixing, sharding, toxicity
+from foliograde.llm import decontaminate, lm_scoring, mixing, sharding, toxicity
 from foliograde.llm.common import read
 
 
+def op1_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return lm_scoring.scored(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(read(spark, folder, "documents"))
 
@@ -30,6 +35,7 @@ def op9_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_mix_sources": op2_mix_sources,
     "op3_toxicity_scores": op3_toxicity_scores,
     "op5_benchmark_hits": op5_benchmark_hits,
