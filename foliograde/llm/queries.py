@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograde.llm import decontaminate, lm_scoring, mixing, sharding, toxicity
+from foliograde.llm import ball_tree, decontaminate, lm_scoring, mixing, sharding, toxicity
 from foliograde.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op3_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op4_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_tree.top_products(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select(
@@ -38,11 +42,20 @@ QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_mix_sources": op2_mix_sources,
     "op3_toxicity_scores": op3_toxicity_scores,
+    "op4_top_products": op4_top_products,
     "op5_benchmark_hits": op5_benchmark_hits,
     "op9_balanced_shards": op9_balanced_shards,
 }
 
 SQL = {
+    "op4_top_products": """
+        WITH v AS (SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, q.row_no AS query_no, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.row_no <> c.row_no WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op5_benchmark_hits": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''),
                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM documents),
