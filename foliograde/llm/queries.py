@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograde.llm import ball_tree, decontaminate, lm_scoring, mixing, sharding, toxicity
+from foliograde.llm import ball_tree, decontaminate, html_text, lm_scoring, mixing, sharding, toxicity
 from foliograde.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op5_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(read(spark, folder, "pages"))
+
+
 def op9_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_toxicity_scores": op3_toxicity_scores,
     "op4_top_products": op4_top_products,
     "op5_benchmark_hits": op5_benchmark_hits,
+    "op8_main_text": op8_main_text,
     "op9_balanced_shards": op9_balanced_shards,
 }
 
