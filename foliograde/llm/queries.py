@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograde.llm import ball_tree, decontaminate, html_text, lm_scoring, mixing, sharding, toxicity
+from foliograde.llm import ball_tree, decontaminate, html_text, lm_scoring, mixing, sharding, toxicity, warc
 from foliograde.llm.common import read
 
 
@@ -34,6 +34,11 @@ def op5_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(read(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(read(spark, folder, "pages"))
 
@@ -48,11 +53,19 @@ QUERIES = {
     "op3_toxicity_scores": op3_toxicity_scores,
     "op4_top_products": op4_top_products,
     "op5_benchmark_hits": op5_benchmark_hits,
+    "op6_warc_captures": op6_warc_captures,
     "op8_main_text": op8_main_text,
     "op9_balanced_shards": op9_balanced_shards,
 }
 
 SQL = {
+    "op6_warc_captures": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        q AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM q)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM r""",
     "op4_top_products": """
         WITH v AS (SELECT vec_id, row_number() OVER () AS row_no, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
             FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
