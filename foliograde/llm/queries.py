@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograde.llm import ball_tree, decontaminate, html_text, lm_scoring, mixing, sharding, toxicity, warc
+from foliograde.llm import ball_tree, decontaminate, html_text, lm_scoring, mixing, ngram_join, sharding, toxicity, warc
 from foliograde.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op6_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(read(spark, folder, "documents"), size=4, percent=85)
+
+
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(read(spark, folder, "pages"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_top_products": op4_top_products,
     "op5_benchmark_hits": op5_benchmark_hits,
     "op6_warc_captures": op6_warc_captures,
+    "op7_similar_documents": op7_similar_documents,
     "op8_main_text": op8_main_text,
     "op9_balanced_shards": op9_balanced_shards,
 }
