@@ -21,12 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograde.llm.common import discard, saved
+from foliograde.llm.rarity import Rarity, count_keys, text_bytes
 from foliograde.llm.words import PLAIN, mix, parts_of, words_of
 
-#: Most n-grams whose counts every task gets (12 bytes each); the bitmap of repeated n-grams has 2**MAP_BITS bits.
-FREQUENT, MAP_BITS = 1 << 19, 27
-#: n-grams that a task counts at once, and about as many as a range of hashes holds.
-HELD, RANGE_GRAMS = 2_000_000, 4_000_000
+#: Sets that a task remembers to list each once.
+HELD = 1_000_000
 #: Most rows of document ids that are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -66,100 +65,9 @@ def needed(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-class Rarity:
-    """What all tasks know of the counts: the frequent n-grams, and which n-grams may be repeated."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, repeated: np.ndarray, shift: int):
-        self.keys, self.counts, self.repeated, self.shift = keys, counts, repeated, shift
-
-    def count(self, grams: np.ndarray) -> np.ndarray:
-        """Counts of the frequent n-grams, 0 for the others."""
-        if not len(self.keys):
-            return np.zeros(len(grams), np.int64)
-        key = grams >> _U(self.shift)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.counts[at], 0)
-
-    def may_repeat(self, grams: np.ndarray) -> np.ndarray:
-        bit = grams >> _U(64 - MAP_BITS)
-        return (self.repeated[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 > 0
-
-
 def count_grams(docs: DataFrame, size: int) -> Rarity:
-    """Count every n-gram of every text, once per text.  Keys are cut to as many bits as the number of n-grams asks for:
-    counts only order the n-grams, so a shared key costs time and never a result."""
-    spark = docs.sparkSession
-    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 5 + 1
-    bits = next(b for b in (32, 40, 48, 64) if b == 64 or volume * 32 <= 1 << b)
-    shift = 64 - bits
-    ranges = 1
-    while ranges * RANGE_GRAMS < volume:
-        ranges *= 2
-    ranges = min(ranges, 1 << (MAP_BITS - 3))
-    range_bits = ranges.bit_length() - 1
-    width = bits // 8
-
-    def packed(keys: np.ndarray) -> bytes:
-        return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        many = 0
-
-        def flush() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held)) >> _U(shift)
-            edges = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << _U(bits - range_bits)) if ranges > 1 else np.array([0, len(keys)])
-            edges[-1] = len(keys)
-            rows = [(i, packed(keys[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["range", "keys"])
-
-        for batch in batches:
-            for part in parts_of(batch.column(0)):
-                for grams in gram_sets(part, size):
-                    held.append(grams)
-                    many += len(grams)
-                if many > HELD:
-                    yield flush()
-                    held, many = [], 0
-        if many:
-            yield flush()
-
-    least = max(3, volume // (4 * FREQUENT))
-
-    def reduced(group: pa.Table) -> pa.Table:
-        raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, width) for x in group.column("keys")])
-        keys = np.zeros((len(raw), 8), np.uint8)
-        keys[:, :width] = raw
-        keys = np.sort(keys.view("<u8").ravel())
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        counts = np.diff(np.r_[first, len(keys)])
-        keys = keys[first]
-        often = counts >= least
-        span = 1 << (MAP_BITS - range_bits)
-        number = group.column("range")[0].as_py()
-        bit = (keys[counts > 1] >> _U(bits - MAP_BITS)).astype(np.int64) - number * span
-        flags = np.zeros(span, np.uint8)
-        flags[bit] = 1
-        return pa.table({
-            "range": pa.array([number], pa.int32()), "bitmap": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()),
-            "keys": pa.array([keys[often].tobytes()], pa.binary()), "counts": pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())})
-
-    found = docs.select("text").mapInArrow(mapped, "range int, keys binary").groupBy("range").applyInArrow(
-        reduced, "range int, bitmap binary, keys binary, counts binary")
-    repeated = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for row in found.toLocalIterator():  # the bitmap and at most 4 * FREQUENT counts
-        part = np.frombuffer(bytes(row.bitmap), np.uint8)
-        repeated[row.range * len(part):(row.range + 1) * len(part)] = part
-        keys.append(np.frombuffer(bytes(row["keys"]), np.uint64))
-        counts.append(np.frombuffer(bytes(row["counts"]), np.int64))
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    if len(keys) > FREQUENT:
-        keep = counts >= np.sort(counts)[-FREQUENT]
-        keep &= (counts > np.sort(counts)[-FREQUENT]) | (np.cumsum(keep) <= FREQUENT)
-        keys, counts = keys[keep], counts[keep]
-    order = np.argsort(keys)
-    return Rarity(keys[order], counts[order], repeated, shift)
+    """Counts of the n-grams of all documents, once per document."""
+    return count_keys(docs, lambda part: np.concatenate([np.zeros(0, np.uint64), *gram_sets(part, size)]), text_bytes(docs) // 5 + 1)
 
 
 _POSTING = "doc_id long, node long, n int, gram long, place int, rare int, profile long"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograde.llm import ball_tree, decontaminate, html_text, lm_scoring, mixing, ngram_join, sharding, toxicity, warc
+from foliograde.llm import ball_tree, decontaminate, html_text, line_dedup, lm_scoring, mixing, ngram_join, sharding, toxicity, warc
 from foliograde.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op9_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_mix_sources": op2_mix_sources,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_similar_documents": op7_similar_documents,
     "op8_main_text": op8_main_text,
     "op9_balanced_shards": op9_balanced_shards,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
