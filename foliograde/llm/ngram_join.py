@@ -144,7 +144,7 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, pe
     common = F.arrow_udf("int")(_common)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = saved(firsts.join(nodes, "node").select("first").distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = _sized(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,3 +221,24 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     of_node = saved(firsts.join(parts, "node", "left").join(of_part, "part", "left").select("node", F.coalesce("component", "first").alias("component")), "nodes")
     return facts.join(of_node, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that link, directly or over others, to a document with a smaller id.
+
+    All columns are kept.  Documents without words and rows without an id stay.  Of rows repeated in full one stays;
+    different texts under one id are one document, and stay or go together.
+    """
+    found = saved(similar_documents(docs, size, percent), "similar")
+    gone = saved(found.where("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    again = saved(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "again")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
+    kept = rows.join(_sized(gone), "_id", "left_anti")
+    if not again.isEmpty():
+        once = kept.join(_sized(again), "_id", "left_anti")
+        kept = once.unionByName(kept.join(_sized(again), "_id", "left_semi").dropDuplicates(["_id", "_text"]))
+    return kept.select("row.*")
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
