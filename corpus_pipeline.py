@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograde.llm import decontaminate, mixing, sharding
+from foliograde.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from foliograde.llm.common import read, saved
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model calls toxic go."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles one stays."""
+    return ngram_join.one_of_each(docs, size=5, percent=80)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a ten-word window with the benchmark go."""
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
@@ -19,10 +29,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_assignment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A shard and a slot for every row of the mix."""
     return sharding.shard_documents(docs)
 
 
 STAGES = [
+    ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
     ("source mix", source_mix),
     ("sharding", shard_assignment),
