@@ -28,6 +28,8 @@ from foliograde.llm.words import PLAIN, mix, parts_of, words_of
 HELD = 1_000_000
 #: Most rows of document ids that are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Most pairs that are broadcast (16 bytes each).
+BROADCAST_PAIRS = 1_000_000
 _U = np.uint64
 
 
@@ -39,7 +41,7 @@ def gram_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     grams = np.zeros(len(h), np.uint64)
     for j in range(size):
         factor = _U(0x9E3779B97F4A7C15 * (2 * j + 3) & 0xFFFFFFFFFFFFFFFF | 1)
-        grams[:len(h) - j] += mix(h[j:] * factor)
+        grams[:max(0, len(h) - j)] += mix(h[j:] * factor)
     grams = mix(grams)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -133,35 +135,52 @@ def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     out = np.empty(len(a), np.int32)
     for i in range(len(a)):
-        x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+        x, y = _unpacked(a[i].as_buffer()), _unpacked(b[i].as_buffer())
         at = np.minimum(np.searchsorted(x, y), len(x) - 1)
         out[i] = np.count_nonzero(x[at] == y)
-    return pa.array(out)
+    return pa.array(out, pa.int32())
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The upper six bytes of each hash."""
+    return np.ascontiguousarray((grams >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(packed) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(raw), 8), np.uint8)
+    whole[:, :6] = raw
+    return whole.view("<u8").ravel()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in parts_of(batch.column(0)):
+            found = {node_of(g): _packed(g) for g in gram_sets(part, size) if len(g)}
+            yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "grams"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets really are similar enough.  ``firsts``: a document (first) for each node."""
-    common = F.arrow_udf("int")(_common)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = saved(firsts.join(nodes, "node").select("first").distinct(), "wanted")
-    wanted = _sized(wanted)
+    """The pairs (a, b) of nodes whose sets really are similar enough.  ``firsts``: a document (first) for each node.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts_of(batch.column(0)):
-                found = {node_of(g): g.tobytes() for g in gram_sets(part, size) if len(g)}
-                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "grams"])
-
-    texts = docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["first"]), "left_semi").select("text")
-    grams = saved(texts.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]), "sets")
-    both = (
-        pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-        .join(grams.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
-    )
-    counted = both.select("a", "b", (F.octet_length("grams_a") / 8).alias("n"), (F.octet_length("grams_b") / 8).alias("m"), common("grams_a", "grams_b").alias("common"))
-    links = saved(counted.where(F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent).select("a", "b"), "links")
-    discard(grams)
-    return links
+    Sets are made anew from the texts of the documents in question.  Those of the b side meet their pairs where they
+    are made, if the pairs can be broadcast, and move once, to the a side.
+    """
+    few = pairs.count() <= BROADCAST_PAIRS
+
+    def sets_of(side: str) -> DataFrame:
+        nodes = pairs.select(F.col(side).alias("node")).distinct()
+        wanted = _sized(saved(firsts.join(nodes, "node").select("first").distinct(), "wanted"))
+        texts = docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["first"]), "left_semi").select("text")
+        made = texts.mapInArrow(lambda batches: _sets(batches, size), "node long, grams binary")
+        return made.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}"))
+
+    near_b = sets_of("b").join(F.broadcast(pairs) if few else pairs, "b")
+    near_a = sets_of("a").join(_sized(pairs.select("a").distinct()), "a", "left_semi")
+    both = near_b.join(near_a, "a")
+    counted = both.select(
+        "a", "b", (F.octet_length("grams_a") / 6).alias("n"), (F.octet_length("grams_b") / 6).alias("m"), F.arrow_udf("int")(_common)("grams_a", "grams_b").alias("common"))
+    return saved(counted.where(F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent).select("a", "b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def test_lm_is_normalised():
     for j in range(lm_scoring.CONTEXT):
         before[j, j + 1:] = token[:-j - 1]
     start = lm_scoring.class_log_probs(trainer.flat, token, before).mean()
-    for _ in range(60):
+    for _ in range(200):
         trainer.learn(token, before)
     assert lm_scoring.class_log_probs(trainer.flat, token, before).mean() > start + 0.5
     every = np.arange(lm_scoring.CLASSES, dtype=np.int32)
@@ -266,7 +266,7 @@ def test_similar_documents(spark):
 
 def test_pages(spark):
     shell = "<html><head><title>t</title></head><body><div class='top-menu'>menu</div><div>Site &amp; motto</div>{}<div id='footer'>f</div></body></html>"
-    pages = [(i, "http://h.example/%d" % i, shell.format(f"<div><p>Own text {i}<p>Second&nbsp;par <b>bo</b>ld<br>line</div>")) for i in range(12)]
+    pages = [(i, "http://h.example/%d" % i, shell.format(f"<div><p>Own text {i}<p>Second&nbsp;par <b>bo</b>ld<br>line {i}</div>")) for i in range(12)]
     pages += [(100, None, None), (101, "x", ""), (102, "http://q/", "<article><h1>Head</h1><p>all of it</p><div class=comments>no</div></article><footer>no"),
               (103, "http://q/", "plain &lt;text"), (104, "http://deep/", "<div>" * 5000 + "deep" + "</div>" * 5000), (102, "http://q/", "<p>a<script>var x='<p>'</script>b")]
     table = spark.createDataFrame([(*p, "n") for p in pages], "page_id long, url string, html string, host string")
@@ -275,7 +275,7 @@ def test_pages(spark):
         assert r.n_chars == len(r.text)
         found[r.page_id].add(r.text)
     for i in range(12):
-        assert found[i] == {f"Own text {i} Second par bold line"}
+        assert found[i] == {f"Own text {i} Second par bold line {i}"}
     assert found[100] == found[101] == {""} and found[102] == {"Head all of it", "ab"} and found[103] == {"plain <text"} and found[104] == {"deep"}
     assert html_text.main_text(table.limit(0)).count() == 0
 
@@ -300,7 +300,7 @@ def test_shards(spark):
         assert r["size"] == len(body) + 16 and r.text_crc32 == zlib.crc32(body) and r.law == "rows" and r.grown_shard is None
     assert len({r.shard for r in found if text[r.doc_id] == "pair"}) == 1
     assert len({r.shard for r in found if text[r.doc_id] == "same"}) <= 4
-    assert sorted(found) == sorted(sharding.shard_documents(docs, 8).collect())
+    assert sorted(map(str, found)) == sorted(map(str, sharding.shard_documents(docs, 8).collect()))
     shards_are_right(sharding.shard_documents(docs_of(spark, ["all alike"] * 50), 7).collect(), 7)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
