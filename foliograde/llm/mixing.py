@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,32 +51,35 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], factor: float, most: f
         "_source", "source_size", "target")
 
 
-def _cutoffs(rows: DataFrame, sources: DataFrame, rounds: int) -> list[DataFrame]:
+def _cutoffs(rows: DataFrame, sources: DataFrame, rounds: int) -> tuple[list[DataFrame], DataFrame]:
     """For each round a table (_source, left, cutoff): documents that fit into ``left`` words and whose key is at
-    most ``cutoff`` are taken; what still fits is tried again in the next round."""
+    most ``cutoff`` are taken; what still fits is tried again in the next round.  And a table (_source, last): the key
+    of one more document that brings the source nearer to its target, if there is one."""
     buckets = root_of(rows.count())
     rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
     open_rows = rows.join(F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources, "_source").where("epochs < 2 AND left > 0")
     found, written = [], []
     for _ in range(rounds):
-        fit = saved(open_rows.where("size <= left").select("_source", "size", "key", "bucket", "left"), "fit")
-        written.append(fit)
+        tried = saved(open_rows.select("_source", "size", "key", "bucket", "left"), "open")
+        fit = tried.where("size <= left")
+        written.append(tried)
         if fit.isEmpty():
+            open_rows = tried
             break
         sums = fit.groupBy("_source", "bucket").agg(F.sum("size").alias("sum"))
         offsets = sums.select("_source", "bucket", (F.sum("sum").over(Window.partitionBy("_source").orderBy("bucket")) - F.col("sum")).alias("offset"))
         local = F.sum("size").over(Window.partitionBy("_source", "bucket").orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
         reached = fit.withColumn("reached", local).join(offsets, ["_source", "bucket"]).withColumn("reached", F.col("reached") + F.col("offset"))
-        reached = saved(reached.select("_source", "size", "key", "bucket", "left", "reached"), "reached")
-        written.append(reached)
         cut = saved(reached.where("reached <= left").groupBy("_source", "left").agg(F.max("key").alias("cutoff"), F.sum("size").alias("took")), "cut")
         found.append(cut)
         after = cut.select("_source", "cutoff", (F.col("left") - F.col("took")).alias("after"))
         after = F.broadcast(after) if after.count() <= BROADCAST_SOURCES else after
-        open_rows = reached.join(after, "_source", "left").where("cutoff IS NULL OR key > cutoff").select(
-            "_source", "size", "key", "bucket", F.coalesce("after", "left").alias("left"))
+        open_rows = tried.join(after, "_source", "left").where("cutoff IS NULL OR key > cutoff OR size > left").select(
+            "_source", "size", "key", "bucket", F.coalesce("after", "left").alias("left")).where("left > 0")
+    nearer = open_rows.where("size < 2 * left").groupBy("_source").agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("left")), "key")).alias("last"))
+    nearer = saved(nearer, "last")
     discard(*written)
-    return found
+    return found, nearer
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0,
@@ -103,7 +104,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), factor: float
         "row", "size", "source_size", "target", "copies")
 
 
-def _plan(rows: DataFrame, weights, factor, most, rounds) -> tuple[DataFrame, list[DataFrame]]:
+def _plan(rows: DataFrame, weights, factor, most, rounds) -> tuple[DataFrame, tuple[list[DataFrame], DataFrame]]:
     sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     sources = targets(sizes, weights, factor, most).withColumn(
         "epochs", F.least(F.lit(int(most)), F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))).cast("long"))
@@ -111,21 +112,23 @@ def _plan(rows: DataFrame, weights, factor, most, rounds) -> tuple[DataFrame, li
     return sources, _cutoffs(rows, sources.select("_source", "epochs", "left"), rounds)
 
 
-def _decided(whole: DataFrame, sources: DataFrame, rounds_found: list[DataFrame]) -> DataFrame:
+def _decided(whole: DataFrame, sources: DataFrame, rounds_found: tuple[list[DataFrame], DataFrame]) -> DataFrame:
     """Copies of each row from the cutoffs of its source; ``whole`` has _source, _size and _key."""
-    plan = sources
-    for cut in rounds_found:
+    cuts, last = rounds_found
+    plan = sources.join(last, "_source", "left")
+    for cut in cuts:
         step = cut.select("_source", F.struct(F.col("left").alias("fits"), "cutoff").alias("step")).groupBy("_source").agg(F.first("step").alias("step"))
         plan = plan.join(step, "_source", "left").withColumn("steps", F.concat(
             F.col("steps") if "steps" in plan.columns else F.array(), F.when(F.col("step").isNotNull(), F.array("step")).otherwise(F.array()))).drop("step")
     if "steps" not in plan.columns:
         plan = plan.withColumn("steps", F.lit(None).cast("array<struct<fits:long,cutoff:double>>"))
-    plan = saved(plan.select("_source", "source_size", "target", "epochs", "steps"), "plan")
+    plan = saved(plan.select("_source", "source_size", "target", "epochs", "steps", "last"), "plan")
     small = plan.count() <= BROADCAST_SOURCES
     drawn = F.exists(F.coalesce("steps", F.array().cast("array<struct<fits:long,cutoff:double>>")),
                      lambda step: (F.col("_size") <= step["fits"]) & (F.col("_key") <= step["cutoff"]))
     return whole.join(F.broadcast(plan) if small else plan, "_source").withColumn(
-        "copies", (F.col("epochs") + F.coalesce(drawn, F.lit(False)).cast("long"))).drop("_source", "_key", "epochs", "steps").withColumnRenamed("_size", "size")
+        "copies", (F.col("epochs") + (F.coalesce(drawn, F.lit(False)) | F.coalesce(F.col("_key") == F.col("last"), F.lit(False))).cast("long"))
+    ).drop("_source", "_key", "epochs", "steps", "last").withColumnRenamed("_size", "size")
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), factor: float = 1.5, most: float = 2.0,

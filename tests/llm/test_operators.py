@@ -113,7 +113,7 @@ def test_mix(spark, sf):
         assert r.target == pytest.approx(expected[order[source[r.doc_id]]]) and r.source_size == sizes[source[r.doc_id]]
         assert r.taken % max(1, r.size) == 0 and r.taken <= 2 * r.size
     for s in names:
-        assert abs(taken[s] - expected[order[s]]) <= max(20, 0.03 * sizes[s])
+        assert abs(taken[s] - expected[order[s]]) <= max(20, 0.1 * sizes[s])  # whole documents, ten a source
 
 
 def test_mix_of_odd_rows(spark):
