@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from foliograde import fixed_values as fv
 from foliograde.functions.once import with_once
 from foliograde.functions.record import FreeRecord
+from foliograde.operators import freeform
 from foliograde.schemas import KEY_DEFAULTS, RECORD_TYPES
 
 
@@ -23,9 +24,13 @@ def is_object(value: Column) -> Column:
 
 
 def parsed_object(response: Column) -> Column:
-    """The reply as a VARIANT object; null if it is not one."""
-    data = F.try_parse_json(unfenced(response))
-    return F.when(is_object(data), data)
+    """The reply as a VARIANT object; null if it is not one.
+
+    The parser stops after the first value.  In brackets, text behind it breaks the list or makes
+    it longer than one.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), unfenced(response), F.lit("]"))), "$", "array<variant>")
+    return F.when((F.size(items) == 1) & is_object(F.get(items, F.lit(0))), F.get(items, F.lit(0)))
 
 
 def braced(response: Column) -> Column:
@@ -104,29 +109,33 @@ def extract(df: DataFrame, response: str = "response", fallback: str = "fallback
             record_types: dict[str, T.StructType] = RECORD_TYPES) -> DataFrame:
     """From replies to records: typed if it parses, else free-form, else failed.
 
-    Adds one struct column per record type, ``freeform`` (JSON text), ``extraction_method``
-    and ``extraction_error``.  An unknown type fails without looking at the replies.
+    Adds one struct column per record type, ``freeform`` (JSON text), ``freeform_leaves``,
+    ``extraction_method``, ``extraction_error`` and ``record_error`` (a free-form record that can
+    be parsed but not used).  An unknown type fails without looking at the replies.  The second
+    reply is read once, and only where the first one does not parse; text after its JSON makes it
+    fail, of repeated keys the last one counts.
     """
     df = parse_typed(df, response, record_types)
     df = with_once(df, {"_span": braced(F.col(fallback))})
     known = F.coalesce(F.col("doc_type").isin(list(record_types)), F.lit(False))
-    usable = F.try_parse_json("_span").isNotNull()
+    df = with_once(df, {"_read": freeform.read(F.when(known & ~F.col("typed_ok"), F.col("_span")))})
     method = (
         F.when(~known, fv.METHOD_FAILED)
         .when(F.col("typed_ok"), fv.METHOD_TYPED)
-        .when(usable, fv.METHOD_FALLBACK)
+        .when(F.col("_read").isNotNull(), fv.METHOD_FALLBACK)
         .otherwise(fv.METHOD_FAILED)
     )
     df = with_once(df, {"extraction_method": method})
     failed = F.col("extraction_method") == fv.METHOD_FAILED
     return (
-        df.withColumn("freeform", F.when(
-            F.col("extraction_method") == fv.METHOD_FALLBACK, F.col("_span")))
+        df.withColumn("freeform", F.col("_read.json"))
+        .withColumn("freeform_leaves", F.col("_read.leaves"))
+        .withColumn("record_error", F.col("_read.error"))
         .withColumn("extraction_error", F.when(
             failed & ~known, F.concat(F.lit(fv.UNKNOWN_TYPE_ERROR), F.col("doc_type")))
             .when(failed, F.concat(F.lit(fv.FALLBACK_FAILED_ERROR), F.when(
                 F.col("_span").isNull(), fv.NO_JSON_ERROR).otherwise("Invalid JSON"))))
-        .drop("_span", "typed_ok")
+        .drop("_span", "_read", "typed_ok")
     )
 
 

@@ -50,6 +50,8 @@ def process_documents(df: DataFrame, *ids: str, routing_responses: DataFrame | N
 def publish(df: DataFrame, *ids: str,
             record_types: dict[str, T.StructType] = RECORD_TYPES) -> DataFrame:
     """Judged records as result rows; rows with an ``error`` become error results."""
+    if "record_error" in df.columns:
+        df = df.withColumn("error", F.coalesce("error", "record_error"))
     ok = F.col("error").isNull()
     no_names = F.array().cast("array<string>")
     quality = F.coalesce("ocr_quality", F.lit(fv.DEFAULT_OCR_QUALITY))

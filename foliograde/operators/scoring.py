@@ -22,11 +22,12 @@ def rule_text(rules: Column) -> Column:
 def rule_status(key: Column, passed: Column, failed: Column) -> Column:
     """What the rules say about a field: false, true or null.
 
-    A rule speaks about a field if its name contains the field's key; a failed rule wins.
+    A rule speaks about a field if its name contains the field's key; a failed rule wins.  The
+    empty key is in every name, and in none if there are no rules.
     ``passed`` and ``failed`` are ``rule_text`` columns.
     """
     name = F.lower(key)
-    return F.when(F.contains(failed, name), False).when(F.contains(passed, name), True)
+    return F.when((failed != "") & F.contains(failed, name), False).when((passed != "") & F.contains(passed, name), True)
 
 
 def score_leaves(leaves: Column, passed: Column, failed: Column, ocr_quality: Column,

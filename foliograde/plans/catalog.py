@@ -19,7 +19,7 @@ from foliograde.operators import (
     fields, pages, requests, responses, results, routing, scoring, summary, validation,
 )
 from foliograde.plans import inputs
-from foliograde.session import plan_once, shared_folder
+from foliograde.session import shared_folder
 from foliograde.sources import files, results_io
 from foliograde.streaming import ingest
 
@@ -51,17 +51,14 @@ def order_texts(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.records(spark, sf).select("doc_id", "o_orderkey", "kind", "text")
 
 
-@plan_once
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     return results.judge_records(inputs.typed_records(spark, sf), freeform=False)
 
 
-@plan_once
 def published(spark: SparkSession, sf: str) -> DataFrame:
     return results.publish(judged(spark, sf), "doc_id")
 
 
-@plan_once
 def processed(spark: SparkSession, sf: str) -> DataFrame:
     return results.process_documents(inputs.replies(spark, sf), "doc_id")
 
@@ -266,7 +263,7 @@ def bbox_struct(spark, sf):
 @query
 def label_format(spark, sf):
     """Labels of all rule names that occur, counted over the documents."""
-    rows = validation.rule_rows(judged(spark, sf), "doc_id")
+    rows = validation.rule_rows(rules_of(spark, sf), "doc_id")
     return rows.groupBy("rule").agg(F.count("*").alias("documents")).select(
         tx.label(F.col("rule")).alias("label"), "documents")
 
@@ -429,7 +426,7 @@ def evidence_confidence(spark, sf):
 
 def leaves_of(spark: SparkSession, sf: str, doc_type: str) -> DataFrame:
     df = inputs.typed_records(spark, sf).filter(F.col("doc_type") == doc_type)
-    return fields.flatten_records(df, freeform=False).select(
+    return fields.flatten_records(df, with_freeform=False).select(
         "doc_id", F.posexplode("leaves").alias("pos", "leaf")).select(
         "doc_id", F.col("pos").cast("long").alias("pos"), "leaf.path", "leaf.key", "leaf.value",
         r6(F.col("leaf.llm_conf")).alias("llm_conf"))
@@ -474,20 +471,20 @@ def fields_long(spark, sf):
 
 @query
 def line_items_long(spark, sf):
-    df = inputs.typed_records(spark, sf)
+    df = inputs.typed_records(spark, sf, text=False)
     items = df.withColumn("items", F.coalesce("invoice.line_items", "medical_bill.line_items"))
     return fields.element_rows(items, "items", "doc_id")
 
 
 @query
 def medicines_long(spark, sf):
-    return fields.element_rows(inputs.typed_records(spark, sf), "prescription.medicines", "doc_id")
+    return fields.element_rows(inputs.typed_records(spark, sf, text=False), "prescription.medicines", "doc_id")
 
 
 # --- validation -----------------------------------------------------------------------------------
 
 def rules_of(spark: SparkSession, sf: str, doc_type: str | None = None) -> DataFrame:
-    df = inputs.typed_records(spark, sf)
+    df = inputs.typed_records(spark, sf, text=False)
     if doc_type is not None:
         df = df.filter(F.col("doc_type") == doc_type)
     return validation.validate(df, freeform=False)

@@ -1,8 +1,8 @@
 """Inputs of the registered queries, derived from the given tables by joins and projections.
 
 The tables hold orders, not paper, so each order is turned into one document: a third become
-invoices, a third medical bills, a third prescriptions, with a known share of defects.  An
-order with very many lines is split into several documents of bounded size.
+invoices, a third medical bills, a third prescriptions, with a known share of defects.  One order
+is one document, however many lines it has.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ from foliograde import fixed_values as fv
 from foliograde import schemas
 from foliograde.functions import text as tx
 from foliograde.functions.once import with_once
-from foliograde.session import plan_once, small_rows
-
-LINES_PER_DOCUMENT = 1_000
-HOT_ORDERS_BROADCAST_LIMIT = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,36 +27,11 @@ def every(n: int, key: str = "o_orderkey") -> Column:
 
 # --- orders as documents ----------------------------------------------------------------
 
-def _with_parts(lines: DataFrame) -> DataFrame:
-    """Add ``part``: 0 for ordinary orders, a spread over several parts for huge ones.
-
-    Without huge orders there is no such column, and the order key alone groups the lines.
-
-    Line counts are pre-aggregated on one column.  The few orders above the limit are
-    broadcast if their number is within bounds; otherwise the join is left to Spark, whose
-    skew handling splits the huge keys, and the parts are spread by an exchange of their own.
-    """
-    hot = (
-        lines.groupBy("l_orderkey").count().filter(F.col("count") > LINES_PER_DOCUMENT)
-        .select("l_orderkey", F.ceil(F.col("count") / LINES_PER_DOCUMENT).alias("_parts"))
-    )
-    rows = small_rows(hot, HOT_ORDERS_BROADCAST_LIMIT)
-    if rows == []:
-        return lines
-    salt = F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber")
-    part = F.coalesce(F.pmod(salt, "_parts"), F.lit(0)).cast("long")
-    if rows is None:
-        spread = lines.join(hot, "l_orderkey", "left").withColumn("part", part).drop("_parts")
-        return spread.repartition("l_orderkey", "part")
-    local = lines.sparkSession.createDataFrame(rows, hot.schema)
-    return lines.join(F.broadcast(local), "l_orderkey", "left").withColumn("part", part).drop("_parts")
-
-
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with part, supplier and money, the money rounded to cents."""
-    lines = _with_parts(table(
+    lines = table(
         spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
     supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
@@ -80,18 +51,14 @@ _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantit
          "l_tax", "p_name", "p_size", "s_name", "s_nation", "total_price", "unit_price", "tax"]
 
 
-@plan_once
-def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: the order, its customer, its lines in order and a text note.
+def order_documents(spark: SparkSession, sf_dir: str, notes: bool = True) -> DataFrame:
+    """One row per order: the order, its customer, its lines in order and a text note.
 
-    Everything is joined on the order key, so each input is shuffled once.
+    Everything is joined on the order key, so each input is shuffled once.  Without ``notes`` the
+    documents are not read.
     """
-    lines = order_lines(spark, sf_dir)
-    split = "part" in lines.columns
-    lines = lines.groupBy("l_orderkey", *(["part"] if split else [])).agg(
+    lines = order_lines(spark, sf_dir).groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct(*_LINE))).alias("lines"))
-    if not split:
-        lines = lines.withColumn("part", F.lit(0).cast("long"))
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     customer = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation", F.col("n_nationkey"), F.col("n_name").alias("c_nation"))
@@ -101,20 +68,18 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("o_orderkey", "o_totalprice", "o_orderdate", "c_custkey", "c_name",
                 "c_mktsegment", "c_nation")
     )
-    # every 9th order gets a document's text, every 5th gets one appended
-    doc_id = F.col("doc_id")
-    uses = F.array_compact(F.array(doc_id * 9, F.when((doc_id * 5) % 9 != 0, doc_id * 5)))
-    notes = table(spark, sf_dir, "documents", "doc_id", "text").select(
-        F.explode(uses).alias("n_orderkey"), F.col("text").alias("note"))
     empty = F.array().cast(lines.schema["lines"].dataType)
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    if notes:
+        # every 9th order gets a document's text, every 5th gets one appended
+        doc_id = F.col("doc_id")
+        uses = F.array_compact(F.array(doc_id * 9, F.when((doc_id * 5) % 9 != 0, doc_id * 5)))
+        noted = table(spark, sf_dir, "documents", "doc_id", "text").select(
+            F.explode(uses).alias("n_orderkey"), F.col("text").alias("note"))
+        joined = joined.join(noted, F.col("o_orderkey") == F.col("n_orderkey"), "left").drop("n_orderkey")
     joined = (
-        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(notes, F.col("o_orderkey") == F.col("n_orderkey"), "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("lines", F.coalesce("lines", empty))
-        .withColumn("doc_id", F.when(F.col("part") == 0, F.col("o_orderkey").cast("string")).otherwise(
-            F.concat_ws(".", F.col("o_orderkey").cast("string"), F.col("part").cast("string"))))
-        .drop("l_orderkey", "n_orderkey", "part")
+        joined.withColumn("lines", F.coalesce("lines", empty))
+        .withColumn("doc_id", F.col("o_orderkey").cast("string"))
         .withColumn("kind", F.element_at(F.array(*map(F.lit, fv.DOC_TYPES)),
                                          (F.col("o_orderkey") % 3 + 1).cast("int")))
     )
@@ -240,25 +205,25 @@ def document_text() -> Column:
         F.concat_ws("\n", own, F.col("note")))
 
 
-@plan_once
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted records of all three types with their text, one struct filled per row."""
+def records(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """Extracted records of all three types, one struct filled per row, and their text if asked for."""
     kind = F.col("kind")
-    df = with_once(order_documents(spark, sf_dir), {
+    df = with_once(order_documents(spark, sf_dir, text), {
         "invoice": F.when(kind == fv.INVOICE, invoice_record()),
         "medical_bill": F.when(kind == fv.MEDICAL_BILL, medical_bill_record()),
         "prescription": F.when(kind == fv.PRESCRIPTION, prescription_record())})
     quality = F.when(every(4), 1.0).when(F.col("o_orderkey") % 4 == 1, F.lit(None)).otherwise(
         (F.col("o_orderkey") * 7 % 41) / 40.0)
-    df = with_once(df, {"text": document_text()}).withColumn("ocr_quality", quality)
-    return df.select("doc_id", "o_orderkey", "kind", "text", "ocr_quality", *schemas.RECORD_TYPES)
+    df = df.withColumn("ocr_quality", quality)
+    if text:
+        df = with_once(df, {"text": document_text()})
+    return df.select("doc_id", "o_orderkey", "kind", *(["text"] if text else []), "ocr_quality", *schemas.RECORD_TYPES)
 
 
-@plan_once
-def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_records(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """``records`` as the judging operators take them: every record typed, none free-form."""
     return (
-        records(spark, sf_dir).withColumnRenamed("kind", "doc_type")
+        records(spark, sf_dir, text).withColumnRenamed("kind", "doc_type")
         .withColumn("extraction_method", F.lit(fv.METHOD_TYPED))
         .withColumn("freeform", F.lit(None).cast("string"))
         .withColumn("routing_confidence", F.lit(1.0))
@@ -278,7 +243,6 @@ def _json(record: Column, keep_nulls: bool = True) -> Column:
     return F.to_json(record, {"ignoreNullFields": "false" if keep_nulls else "true"})
 
 
-@plan_once
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a first reply and, for some shapes, a second one.
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from foliograde import fixed_values as fv
 from foliograde import schemas
 from foliograde.plans.catalog import JOB_STAMP
-from foliograde.plans.inputs import FILE_EXTENSIONS, LINES_PER_DOCUMENT
+from foliograde.plans.inputs import FILE_EXTENSIONS
 
 SQL: dict[str, str] = {}
 
@@ -68,36 +68,31 @@ CTE: dict[str, str] = {}
 
 # --- orders as documents ------------------------------------------------------------------
 
-CTE["hot"] = f"""
-  SELECT l_orderkey AS h_key, CAST(ceil(count(*) / {LINES_PER_DOCUMENT}.0) AS BIGINT) AS parts
-  FROM lineitem GROUP BY l_orderkey HAVING count(*) > {LINES_PER_DOCUMENT}"""
-
 CTE["priced"] = f"""
   SELECT l.*, p_name, p_size, s_name, n_name AS s_nation,
-    CAST(coalesce((l_partkey * 31 + l_suppkey * 17 + l_linenumber) % parts, 0) AS BIGINT) AS part,
     {r2('l_extendedprice * (1 - l_discount)')} AS total_price,
     {r2('l_extendedprice / l_quantity')} AS unit_price
-  FROM lineitem l LEFT JOIN hot ON l_orderkey = h_key
+  FROM lineitem l
   LEFT JOIN part ON l_partkey = p_partkey
   LEFT JOIN supplier ON l_suppkey = s_suppkey
   LEFT JOIN nation ON s_nationkey = n_nationkey"""
 
 CTE["lines"] = f"""
   SELECT *, {r2('total_price * l_tax')} AS line_tax,
-    CASE WHEN part = 0 THEN l_orderkey::VARCHAR ELSE l_orderkey || '.' || part END AS doc_id,
-    row_number() OVER (PARTITION BY l_orderkey, part ORDER BY l_linenumber, l_partkey, l_suppkey,
+    l_orderkey::VARCHAR AS doc_id,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
       l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS pos
   FROM priced"""
 
 CTE["bodies"] = f"""
-  SELECT l_orderkey, part, count(*) AS n_lines, {r2('sum(total_price ORDER BY pos)')} AS goods,
+  SELECT l_orderkey, count(*) AS n_lines, {r2('sum(total_price ORDER BY pos)')} AS goods,
     {r2('sum(line_tax ORDER BY pos)')} AS tax, min(s_name) AS v_name, arg_min(s_nation, s_name) AS v_nation,
     arg_min(l_suppkey, s_name) AS v_key,
     string_agg(p_name || ' x' || l_quantity::BIGINT || ' at ' || format('{{:,.2f}}', unit_price) || ' = '
       || format('{{:,.2f}}', total_price), '; ' ORDER BY pos) AS rows_text,
     string_agg('take ' || p_name || ' ' || CASE WHEN p_size % 7 = 0 THEN 'drops' ELSE p_size || ' mg' END
       || ' twice daily for ' || l_quantity::BIGINT || ' days', '; ' ORDER BY pos) AS doses_text
-  FROM lines GROUP BY l_orderkey, part"""
+  FROM lines GROUP BY l_orderkey"""
 
 CTE["notes"] = """
   SELECT doc_id * 9 AS n_key, text AS note FROM documents
@@ -107,7 +102,7 @@ CTE["docs"] = """
   SELECT o_orderkey AS o, o_totalprice, o_orderdate, c_custkey, c_name, c_mktsegment, n_name AS c_nation,
     note, coalesce(n_lines, 0) AS n_lines, coalesce(goods, 0.0) AS goods, coalesce(tax, 0.0) AS tax,
     v_name, v_nation, v_key, coalesce(rows_text, '') AS rows_text, coalesce(doses_text, '') AS doses_text,
-    CASE WHEN coalesce(part, 0) = 0 THEN o_orderkey::VARCHAR ELSE o_orderkey || '.' || part END AS doc_id,
+    o_orderkey::VARCHAR AS doc_id,
     CASE o_orderkey % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'medical_bill' ELSE 'prescription' END AS kind,
     strftime(o_orderdate, '%Y-%m-%d') AS day,
     CASE WHEN o_orderkey % 4 = 0 THEN 1.0 WHEN o_orderkey % 4 = 1 THEN 0.8

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +27,3 @@ def small_rows(df: DataFrame, limit: int) -> list | None:
     """Rows of a table that should be configuration-sized; None if it has more than ``limit``."""
     rows = df.limit(limit + 1).collect()
     return None if len(rows) > limit else rows
-
-
-def plan_once(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Build the (lazy) DataFrame of a folder once per Spark application.
-
-    Only the plan is kept, no data; it saves working out a long plan again.
-    """
-    plans: dict[tuple, DataFrame] = {}
-
-    @wraps(build)
-    def planned(spark: SparkSession, folder: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, id(spark), folder)
-        if key not in plans:
-            plans[key] = build(spark, folder)
-        return plans[key]
-
-    return planned
