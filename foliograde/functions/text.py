@@ -5,6 +5,7 @@ Every function takes and returns Columns and stays inside the JVM.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -58,9 +59,15 @@ def _all_matches(text: Column, patterns: Iterable[str]) -> Column:
     ])
 
 
+#: The decimal digits of all other scripts, and their values.
+_OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd")
+_ASCII_OF_THEM = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
+
+
 def extract_numbers(text: Column) -> Column:
     found = _all_matches(text, [fv.NUMBER_PATTERN])
-    parsed = F.transform(found, lambda m: F.replace(m, F.lit(","), F.lit("")).try_cast("double"))
+    parsed = F.transform(found, lambda m: F.replace(
+        F.translate(m, _OTHER_DIGITS, _ASCII_OF_THEM), F.lit(","), F.lit("")).try_cast("double"))
     return F.filter(parsed, lambda n: n.isNotNull())
 
 

@@ -1,10 +1,9 @@
 """From pages and OCR tokens to document text and quality.
 
 Pages come as rows ``(doc_id, page_num, text)`` with pages numbered from 1, tokens as rows
-``(doc_id, page_num, pos, word, conf)``.  Text is put together in bounded pieces: a *part*
-is a run of tokens of one page, a *segment* a run of pages of one document.  An ordinary
-page or document is one piece; a huge one is several rows, in order, so no task ever has to
-hold all of it.
+``(doc_id, page_num, pos, word, conf)``.  A document is one row and a page is one row, whatever
+their size.  Who only searches huge documents can ask for bounded pieces instead: a *part* is a
+run of tokens of one page, a *segment* a run of pages of one document, in order.
 """
 
 from __future__ import annotations
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 from foliograde import fixed_values as fv
 from foliograde.functions import text as tx
 
-PAGES_PER_SEGMENT = 256
-TOKENS_PER_PART = 4096
+
+def _piece(position: Column, size: int | None) -> Column:
+    return F.lit(0).cast("long") if size is None else (position / size).cast("long")
 
 
 def page_piece(page_num: Column, text: Column) -> Column:
@@ -31,14 +31,14 @@ def page_piece(page_num: Column, text: Column) -> Column:
 
 
 def assemble_pages(pages: DataFrame, doc_id: str = "doc_id",
-                   pages_per_segment: int = PAGES_PER_SEGMENT) -> DataFrame:
-    """Document text from pages: one row per document and segment.
+                   pages_per_segment: int | None = None) -> DataFrame:
+    """Document text from pages: one row per document, or per document and segment if asked for.
 
     The segments of a document in order, each followed by ``tail_blanks`` blanks, are the
     cleaned text of the whole document (blanks at its very end are cut off).
     """
     pieces = pages.select(
-        doc_id, ((F.col("page_num") - 1) / pages_per_segment).cast("long").alias("segment"),
+        doc_id, _piece(F.col("page_num") - 1, pages_per_segment).alias("segment"),
         F.struct("page_num", page_piece(F.col("page_num"), F.col("text")).alias("piece")).alias("_p"))
     joined = pieces.groupBy(doc_id, "segment").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
     joined = joined.select(doc_id, "segment", F.size("_ps").cast("long").alias("pages"),
@@ -94,14 +94,14 @@ def ocr_page_stats(pages: DataFrame, tokens: DataFrame, doc_id: str = "doc_id")
 
 
 def ocr_page_text(pages: DataFrame, tokens: DataFrame, doc_id: str = "doc_id",
-                  tokens_per_part: int = TOKENS_PER_PART) -> DataFrame:
-    """Text of each OCR page from its words: one row per page and part.
+                  tokens_per_part: int | None = None) -> DataFrame:
+    """Text of each OCR page from its words: one row per page, or per page and part if asked for.
 
     Parts are joined with a blank.  A page with an error has a note in place of text; a page
     without words has empty text.
     """
     parts = _usable_tokens(tokens).groupBy(
-        doc_id, "page_num", (F.col("pos") / tokens_per_part).cast("long").alias("part"),
+        doc_id, "page_num", _piece(F.col("pos"), tokens_per_part).alias("part"),
     ).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_ws"))
     parts = parts.select(doc_id, "page_num", "part", F.array_join(F.col("_ws.word"), " ").alias("text"))
     failed = F.concat(F.lit("[OCR failed: "), F.col("error"), F.lit("]"))
@@ -127,6 +127,23 @@ def with_quality(documents: DataFrame, quality: DataFrame, doc_id: str = "doc_id
         F.coalesce("ocr_quality", F.lit(fv.DEFAULT_OCR_QUALITY))))
 
 
+def document_texts(documents: DataFrame, layer: DataFrame, ocr_pages: DataFrame, tokens: DataFrame,
+                   doc_id: str = "doc_id") -> DataFrame:
+    """Text and quality of each document by the path the scan check chooses.
+
+    Pages of the text layer where there is enough of it, else the OCR pages; put together to one
+    ``text`` per document, with ``text_source`` and ``ocr_quality``.
+    """
+    sources = detect_scanned(documents, layer, doc_id)
+    read = ocr_page_text(ocr_pages, tokens, doc_id).select(doc_id, "page_num", "text")
+    scanned = sources.filter("scanned").select(doc_id)
+    chosen = layer.select(doc_id, "page_num", "text").join(scanned, doc_id, "left_anti").unionByName(
+        read.join(scanned, doc_id, "left_semi"))
+    quality = ocr_quality(ocr_page_stats(ocr_pages, tokens, doc_id), doc_id)
+    return with_quality(sources, quality, doc_id).select(doc_id, "text_source", "ocr_quality").join(
+        assemble_pages(chosen, doc_id).select(doc_id, "text"), doc_id, "left")
+
+
 def normalised_table(raw: Column, page: Column, index: Column) -> Column:
     """A raw table as ``struct<page, table_index, headers, rows>``; null if it has no rows."""
     return F.when(F.size(raw) > 0, F.struct(

@@ -10,7 +10,7 @@ from foliograde import fixed_values as fv
 from foliograde.functions import text as tx
 from foliograde.functions.confidence import Weights
 from foliograde.operators import fields as fl
-from foliograde.operators import responses, routing, scoring, validation
+from foliograde.operators import pages, responses, routing, scoring, validation
 from foliograde.schemas import DISTRIBUTION, FIELD, METADATA, RECORD_TYPES, VALIDATION
 
 
@@ -47,6 +47,17 @@ def process_documents(df: DataFrame, *ids: str, routing_responses: DataFrame | N
     return publish(judge_records(df, weights, rules, record_types), *ids, record_types=record_types)
 
 
+def process_pages(documents: DataFrame, layer: DataFrame, ocr_pages: DataFrame, tokens: DataFrame,
+                  doc_id: str = "doc_id", **options) -> DataFrame:
+    """From pages to results: choose each document's text, then ``process_documents``.
+
+    ``documents`` has the id, ``source_file``, ``response`` and ``fallback_response``; ``options``
+    go to ``process_documents``.  A document without pages has no text and gets an error result.
+    """
+    texts = pages.document_texts(documents, layer, ocr_pages, tokens, doc_id)
+    return process_documents(documents.join(texts, doc_id), doc_id, **options)
+
+
 def publish(df: DataFrame, *ids: str,
             record_types: dict[str, T.StructType] = RECORD_TYPES) -> DataFrame:
     """Judged records as result rows; rows with an ``error`` become error results."""

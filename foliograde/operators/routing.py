@@ -6,6 +6,8 @@ lower-cased text (as substrings).  It is one projection of ``contains`` calls.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,12 @@ def route_segments(segments: DataFrame, *ids: str,
 
     Each segment is searched where it lies; only one flag per keyword and a word count
     are aggregated, with partial aggregation, so the size of a document does not matter.
-    Segments are whole pages and every page starts with a ``--- Page n ---`` line, so a
-    keyword without a hyphen cannot lie across two of them.
+    Segments are whole pages and every page starts with a ``--- Page n ---`` line after a blank,
+    so only a keyword with a hyphen behind a blank could lie across two of them.
     """
     keywords = sorted({k for ks in lexicon.values() for k in ks})
-    if any("-" in k for k in keywords):
-        raise ValueError("keywords with a hyphen cannot be searched segment by segment")
+    if any(" -" in k for k in keywords):
+        raise ValueError("keywords with a blank and a hyphen need the whole text in one segment")
     flags = {k: f"_k{i}" for i, k in enumerate(keywords)}
     hits = (
         segments.withColumn("_lower", F.lower("text"))
@@ -106,7 +108,8 @@ def route_with_lexicon(df: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id"
         return _route_by_join(df, lexicon, doc_id, text)
     by_type: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.priority, r.doc_type, r.keyword)):
-        by_type.setdefault(row.doc_type, []).append(row.keyword)
+        if row.keyword not in by_type.setdefault(row.doc_type, []):
+            by_type[row.doc_type].append(row.keyword)
     lowered = df.select(doc_id, F.lower(text).alias("_lower"))
     scored = lowered.select(doc_id, F.array(*[
         F.struct(
@@ -126,25 +129,27 @@ def _route_by_join(df: DataFrame, lexicon: DataFrame, doc_id: str, text: str) ->
     """Lexicon routing by equi-join, for lexicons of any size.
 
     A text holds a keyword exactly if one of its character sequences of the keyword's length
-    is the keyword, so texts are cut into their distinct sequences of the lengths that occur
-    and joined on equality.
+    is the keyword, so texts are cut into their distinct sequences, one length after the other,
+    and joined on equality.  Types rank as with literals: most keywords, then the least priority
+    of any of the type's keywords, then the name.
     """
-    lex = lexicon.select("doc_type", "keyword", "priority").distinct().filter(F.length("keyword") > 0)
+    lex = lexicon.select("doc_type", "keyword", "priority").distinct()
+    ranks = lex.groupBy("doc_type").agg(F.min("priority").alias("rank"))
+    words = lex.select("doc_type", "keyword").distinct().join(ranks, "doc_type")
     lengths = [r[0] for r in lex.select(F.length("keyword")).distinct().collect()]
-    cuts = [F.regexp_extract_all(F.col("_lower"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    pieces = (
-        df.select(doc_id, F.lower(text).alias("_lower"))
-        .select(doc_id, F.explode(F.array_distinct(F.concat(*cuts))).alias("keyword"))
-    )
-    per_type = (
-        pieces.join(lex, "keyword").groupBy(doc_id, "doc_type")
-        .agg(F.count("*").alias("n"), F.min("priority").alias("priority"))
-    )
-    best = per_type.groupBy(doc_id).agg(F.max(F.struct(
-        F.col("n"), (-F.col("priority")).alias("p"), F.col("doc_type"))).alias("best"))
+    lowered = df.select(doc_id, F.lower(text).alias("_lower"))
+    found = []
+    for n in lengths:
+        cut = F.regexp_extract_all(F.col("_lower"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        own = F.array(F.lit("")) if n == 0 else F.array_distinct(cut)
+        pieces = lowered.where("_lower IS NOT NULL").select(doc_id, F.explode(own).alias("keyword"))
+        found.append(pieces.join(words.filter(F.length("keyword") == n), "keyword").select(doc_id, "doc_type", "rank"))
+    hits = reduce(DataFrame.unionByName, found) if found else lowered.limit(0).select(doc_id, F.lit("").alias("doc_type"), F.lit(0).alias("rank"))
+    per_type = hits.groupBy(doc_id, "doc_type", "rank").agg(F.count("*").alias("n"))
+    best = per_type.groupBy(doc_id).agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("rank"), F.col("doc_type"))).alias("best"))
     return df.select(doc_id).join(best, doc_id, "left").select(
         doc_id, F.coalesce("best.doc_type", F.lit(fv.UNKNOWN)).alias("doc_type"),
-        F.coalesce("best.n", F.lit(0)).cast("long").alias("score"))
+        F.coalesce(-F.col("best.less"), F.lit(0)).cast("long").alias("score"))
 
 
 # --- model responses -----------------------------------------------------------------

@@ -170,7 +170,7 @@ def page_metadata(spark, sf):
 @query
 def detect_scanned(spark, sf):
     known = documents(spark, sf).select("doc_id")
-    found = pages.detect_scanned(known, inputs.short_pages(spark, sf))
+    found = pages.detect_scanned(known, inputs.layer_pages(spark, sf))
     return found.select("doc_id", r6("chars_per_page").alias("chars_per_page"), "scanned", "text_source")
 
 
@@ -192,11 +192,24 @@ def ocr_page_text(spark, sf):
 @query
 def ocr_quality(spark, sf):
     quality = pages.ocr_quality(page_stats(spark, sf))
-    sources = pages.detect_scanned(documents(spark, sf).select("doc_id"), inputs.short_pages(spark, sf))
+    sources = pages.detect_scanned(documents(spark, sf).select("doc_id"), inputs.layer_pages(spark, sf))
     return pages.with_quality(sources, quality).select(
         "doc_id", "text_source", r6("ocr_quality").alias("ocr_quality"))
 
 
+@query
+def pages_to_results(spark, sf):
+    """Conversations as page by page documents: text or OCR, model routing, extraction, result."""
+    done = results.process_pages(
+        inputs.page_documents(spark, sf), inputs.layer_pages(spark, sf), inputs.ocr_pages(spark, sf),
+        inputs.ocr_tokens(spark, sf), routing_responses=inputs.page_routing(spark, sf))
+    return done.select(
+        "doc_id", "doc_type", r6("processing_metadata.ocr_quality").alias("ocr_quality"),
+        F.col("processing_metadata.extraction_method").alias("extraction_method"),
+        r6("processing_metadata.routing_confidence").alias("routing_confidence"),
+        F.col("processing_metadata.field_count").alias("field_count"))
+
+
 def tables(spark: SparkSession, sf: str) -> DataFrame:
     df = inputs.raw_tables(spark, sf)
     return df.withColumn("table", pages.normalised_table(F.col("raw"), F.col("page"), F.col("table_index")))
@@ -246,7 +259,7 @@ def extract_phones(spark, sf):
 @query
 def char_jaccard(spark, sf):
     bench = inputs.table(spark, sf, "benchmark", "item_id", F.col("text").alias("other"))
-    pairs = documents(spark, sf).join(bench, F.col("doc_id") % 40 == F.col("item_id"))
+    pairs = documents(spark, sf).join(bench, F.col("doc_id") % bench.count() == F.col("item_id"))
     return pairs.select("doc_id", "item_id", r6(tx.char_jaccard(F.col("text"), F.col("other"))).alias("similarity"))
 
 

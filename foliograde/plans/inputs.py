@@ -326,11 +326,23 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("turn") + 1).alias("page_num"), "text")
 
 
-def short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose text is cut to varying lengths, so that some documents look scanned."""
-    keep = ((F.col("doc_id") * 29 + (F.col("page_num") - 1) * 17) % 110).cast("int")
-    return conversation_pages(spark, sf_dir).withColumn(
-        "text", F.substring(F.col("text"), F.lit(1), keep))
+def layer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their text layer; every third document is a scan without one."""
+    return conversation_pages(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 != 0, F.col("text")))
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents the pages belong to, with a short reply each."""
+    return conversation_pages(spark, sf_dir).select("doc_id").distinct().select(
+        "doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"),
+        F.lit('{"currency": "EUR"}').alias("response"), F.lit(None).cast("string").alias("fallback_response"))
+
+
+def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing replies for the same documents, but for every fifth."""
+    kind = F.element_at(F.array(*map(F.lit, fv.DOC_TYPES)), (F.col("doc_id") % 3 + 1).cast("int"))
+    return page_documents(spark, sf_dir).filter("doc_id % 5 <> 0").select(
+        "doc_id", F.concat(F.lit('{"doc_type": "'), kind, F.lit('", "confidence": 0.75, "reasoning": "seen"}')).alias("response"))
 
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

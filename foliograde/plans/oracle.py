@@ -369,7 +369,7 @@ SELECT doc_id, 0::BIGINT AS segment, pages, trim(t) AS text,
 put("page_metadata", f"""
 SELECT doc_id, page_num, length(text) AS text_length, {WORDS('text')} AS word_count FROM convo""")
 CTE["scan_check"] = f"""
-  SELECT doc_id, length(trim({CLEAN("string_agg(left(text, (doc_id * 29 + (page_num - 1) * 17) % 110), '' ORDER BY page_num)")}))
+  SELECT doc_id, length(trim({CLEAN("string_agg(CASE WHEN doc_id % 3 <> 0 THEN text ELSE '' END, '' ORDER BY page_num)")}))
     / count(*) AS density FROM convo WHERE page_num <= 3 GROUP BY doc_id"""
 CTE["scans"] = """
   SELECT d.doc_id, density, coalesce(density < 50, true) AS scanned
@@ -403,6 +403,19 @@ SELECT s.doc_id, CASE WHEN scanned THEN 'ocr' ELSE 'text' END AS text_source,
   {r6("CASE WHEN NOT scanned THEN 1.0::DOUBLE ELSE coalesce(q, 0.8) END")} AS ocr_quality
 FROM scans s LEFT JOIN doc_quality d ON s.doc_id = d.doc_id""")
 
+CTE["page_docs"] = f"""
+  SELECT c.doc_id, q, density, c.doc_id % 5 <> 0 AS routed, c.doc_id % 3 AS kind
+  FROM (SELECT DISTINCT doc_id FROM convo) c LEFT JOIN scan_check s ON c.doc_id = s.doc_id
+  LEFT JOIN doc_quality d ON c.doc_id = d.doc_id"""
+put("pages_to_results", f"""
+SELECT doc_id, CASE WHEN NOT routed THEN 'unknown' WHEN kind = 0 THEN 'invoice' WHEN kind = 1 THEN 'medical_bill'
+    ELSE 'prescription' END AS doc_type,
+  {r6("CASE WHEN density >= 50 THEN 1.0::DOUBLE ELSE coalesce(q, 0.8) END")} AS ocr_quality,
+  CASE WHEN routed THEN 'llm_structured' ELSE 'failed' END AS extraction_method,
+  {r6("CASE WHEN routed THEN 0.75::DOUBLE ELSE 0.0 END")} AS routing_confidence,
+  CASE WHEN routed AND kind <> 2 THEN 1 ELSE 0 END::BIGINT AS field_count
+FROM page_docs""")
+
 CTE["table_rows"] = """
   SELECT doc_id, pos AS row_num, CASE WHEN p_size % 11 <> 0 THEN p_name ELSE 'None' END AS c1,
     l_quantity::BIGINT::VARCHAR AS c2, format('{:.2f}', total_price) AS c3 FROM lines"""
@@ -441,7 +454,7 @@ put("char_jaccard", f"""
 SELECT doc_id, item_id, {r6('len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))')} AS similarity
 FROM (SELECT doc_id, item_id, list_distinct(string_split(lower(d.text), '')) AS a,
       list_distinct(string_split(lower(b.text), '')) AS b
-      FROM documents d JOIN benchmark b ON doc_id % 40 = item_id)""")
+      FROM documents d JOIN benchmark b ON doc_id % (SELECT count(*) FROM benchmark) = item_id)""")
 put("bbox_struct", "SELECT vec_id, " + ", ".join(
     f"{r6(f'CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE embedding[{i + 1}]::DOUBLE END')} AS {n}"
     for i, n in enumerate(("x0", "y0", "x1", "y1"))) + " FROM embeddings")

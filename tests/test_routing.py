@@ -72,7 +72,7 @@ def test_segments_route_like_whole_documents(spark):
            for r in routing.route_segments(parts, "doc_id").collect()}
     assert got == expected
     with pytest.raises(ValueError):
-        routing.route_segments(parts, "doc_id", lexicon={"a": ["x-ray"]})
+        routing.route_segments(parts, "doc_id", lexicon={"a": ["x -ray"]})
 
 
 def test_lexicon_join_equals_expressions(spark):
@@ -85,3 +85,12 @@ def test_lexicon_join_equals_expressions(spark):
     fixed = sorted((r.doc_id, r.doc_type) for r in routing.route_by_keywords(docs, prefix="").collect())
     assert small == large
     assert [(r.doc_id, r.doc_type) for r in small] == fixed
+
+
+def test_lexicon_paths_agree_on_priorities(spark):
+    rows = [("b", "x", 5), ("b", "yy", 1), ("a", "z", 2), ("c", "q", 7), ("d", "q", 7), ("d", "q", 8), ("e", "", 9)]
+    lexicon = spark.createDataFrame(rows, "doc_type string, keyword string, priority int")
+    docs = spark.createDataFrame(list(enumerate(["x z", "q", "", None, "yy z x"])), "doc_id long, text string")
+    small = sorted(routing.route_with_lexicon(docs, lexicon).collect())
+    assert small == sorted(routing.route_with_lexicon(docs, lexicon, limit=0).collect())
+    assert [r.doc_type for r in small][:2] == ["b", "c"]
