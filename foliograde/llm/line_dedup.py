@@ -22,8 +22,10 @@ from foliograde.llm.words import PLAIN, mix, parts_of, words_of
 
 #: Most documents whose wanted lines are broadcast (about 100 bytes each).
 BROADCAST_DOCS = 200_000
-#: Lines a task remembers so that it lists each once.
-HELD = 1_000_000
+#: Lines a task remembers so that it lists each once, and words of lines that it compares at once.
+HELD, HELD_WORDS = 1_000_000, 4_000_000
+#: Most removed lines, or documents with some, that are broadcast (9 and about 100 bytes each).
+BROADCAST_GONE, BROADCAST_REMOVED = 1_000_000, 300_000
 _U = np.uint64
 
 
@@ -58,67 +60,136 @@ class Lines:
             self.number, self.node = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def profiles(self) -> np.ndarray:
-        """Eight counts of a line's words by hash, a byte each."""
+        """Eight counts of a line's words by hash, four bits each."""
+        if not len(self.first):
+            return np.zeros(0, np.int32)
         counts = np.bincount(self.index * 8 + (self.words & _U(7)).astype(np.int64), minlength=8 * len(self.first))
-        return np.minimum(counts, 255).astype(np.uint8).view(np.int64) if len(self.first) else np.zeros(0, np.int64)
+        packed = np.minimum(counts, 15).astype(np.uint32).reshape(-1, 8) << (4 * np.arange(8, dtype=np.uint32))
+        return np.bitwise_or.reduce(packed, axis=1).view(np.int32)
 
 
-_LISTED = "doc_id long, text_hash long, line int, node long, n int, word long, place int, profile long"
+_LISTED = "doc_id long, text_hash long, line int, node long, n int, word int, place int, profile int, other long"
+
+
+class _Held:
+    """Distinct lines of a task: their prefix words and, to compare them at once, all their words."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+        self.start_over()
+
+    def start_over(self) -> None:
+        self.parts: list[tuple] = []
+        self.many = 0
+
+    def add(self, lines: Lines, order: np.ndarray, rarity: Rarity, percent: int) -> None:
+        k = len(lines.node)
+        if not k:
+            return
+        distinct, first = np.unique(lines.node, return_index=True)
+        fresh = np.zeros(k, bool)
+        fresh[first] = [node not in self.seen for node in distinct.tolist()]
+        self.seen.update(distinct.tolist())
+        if len(self.seen) > HELD:
+            self.seen.clear()
+        place = np.arange(len(lines.words)) - lines.first[lines.index]
+        use = (place < lines.size[lines.index] + (-percent * lines.size[lines.index] // 100) + 1) & fresh[lines.index]
+        use[use] = rarity.may_repeat(lines.words[use])
+        number = np.cumsum(fresh) - 1
+        keep = fresh[lines.index]
+        self.parts.append((
+            lines.node[fresh], lines.size[fresh], order[fresh], lines.profiles()[fresh], lines.words[keep],
+            number[lines.index[use]], lines.words[use], place[use] + 1))
+        self.many += int(keep.sum())
+
+    def flushed(self, percent: int) -> Iterator[pa.RecordBatch]:
+        """Prefix words of the lines held, and pairs that a look at each word's first line has shown to be similar."""
+        if not self.parts:
+            return
+        counts = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        node, size, order, profile, words = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
+        index = np.concatenate([p[5] + c for p, c in zip(self.parts, counts)])
+        word, place = (np.concatenate([p[i] for p in self.parts]) for i in (6, 7))
+        bounds = np.r_[0, np.cumsum(size)]
+        self.start_over()
+        yield _rows(node=node[index], n=size[index], word=(word >> _U(32)).astype(np.uint32).view(np.int32), place=place, profile=profile[index])
+        by = np.lexsort((order[index], word))
+        head = np.r_[True, word[by][1:] != word[by][:-1]] if len(by) else np.zeros(0, bool)
+        x, y = index[by], index[by][np.flatnonzero(head)][np.cumsum(head) - 1] if len(by) else index
+        n, m = size[x], size[y]
+        overlap = -(-(n + m) * percent // (100 + percent))
+        p, q = place[by], place[by][np.flatnonzero(head)][np.cumsum(head) - 1] if len(by) else place
+        maybe = ~head & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= overlap)
+        pairs = np.unique(np.stack([x[maybe], y[maybe]], axis=1), axis=0) if maybe.any() else np.zeros((0, 2), np.int64)
+        own = [np.sort(words[bounds[i]:bounds[i + 1]]) for i in np.unique(pairs)]
+        at = {int(i): w for i, w in zip(np.unique(pairs), own)}
+        alike = [(i, j) for i, j in pairs.tolist() if _similar(at[i], at[j], percent)]
+        if alike:
+            i, j = np.array(alike).T
+            yield _rows(node=node[i], other=node[j])
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+    return common * 100 >= (len(x) + len(y) - common) * percent
+
+
+def _rows(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """A batch of the listed rows with nulls in all other columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    fields = [f.split(" ") for f in _LISTED.split(", ")]
+    size = len(next(iter(columns.values())))
+    return pa.record_batch(
+        [(pa.array(columns[name]).cast(kinds[kind]) if name in columns else pa.nulls(size, kinds[kind])) for name, kind in fields], names=[name for name, _ in fields])
 
 
 def _listed(docs: DataFrame, percent: int, rarity: Rarity) -> DataFrame:
-    """A row per line with words (word null) and one per prefix word of a line that may be repeated."""
+    """A row per line with words (doc_id or line set), one per prefix word of a distinct line that may be repeated, and
+    one per pair of similar lines (node, other) that a task has found among its own."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        seen: set[int] = set()
-        names = [f.split(" ")[0] for f in _LISTED.split(", ")]
+        known, held, read = shared.value, _Held(), 0
         for batch in batches:
             done = 0
             for part in parts_of(batch.column(2)):
                 own = batch.slice(done, len(part))
                 done += len(part)
                 lines = Lines(part, known)
-                k = len(lines.node)
                 at = pa.array(lines.row)
-                empty = lambda t, n: pa.nulls(n, t)
-                yield pa.record_batch([
-                    own.column(0).take(at), own.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.node),
-                    pa.array(lines.size.astype(np.int32)), empty(pa.int64(), k), empty(pa.int32(), k), empty(pa.int64(), k)], names=names)
-                new = np.zeros(k, bool)
-                distinct, first = np.unique(lines.node, return_index=True)
-                new[first] = [node not in seen for node in distinct.tolist()]
-                seen.update(distinct.tolist())
-                if len(seen) > HELD:
-                    seen.clear()
-                place = np.arange(len(lines.words)) - lines.first[lines.index] if k else np.zeros(0, np.int64)
-                n = lines.size[lines.index] if k else np.zeros(0, np.int64)
-                use = (place < n + (-percent * n // 100) + 1) & (new[lines.index] if k else np.zeros(0, bool))
-                use[use] = known.may_repeat(lines.words[use])
-                index = lines.index[use]
-                m = len(index)
-                yield pa.record_batch([
-                    empty(pa.int64(), m), empty(pa.int64(), m), empty(pa.int32(), m), pa.array(lines.node[index]), pa.array(lines.size[index].astype(np.int32)),
-                    pa.array(lines.words[use].view(np.int64)), pa.array((place[use] + 1).astype(np.int32)), pa.array(lines.profiles()[index])], names=names)
+                yield _rows(doc_id=own.column(0).take(at), text_hash=own.column(1).take(at), line=lines.number, node=lines.node, n=lines.size)
+                held.add(lines, np.arange(read, read + len(lines.node)), known, percent)
+                read += len(lines.node)
+                if held.many > HELD_WORDS:
+                    yield from held.flushed(percent)
+        yield from held.flushed(percent)
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(mapped, _LISTED)
 
 
-def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of distinct lines that pass all filters, once each: the longer one (a) and the shorter one (b)."""
+def _candidates(entries: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """Pairs of distinct lines that pass all filters, once each: the longer one (a) and the shorter one (b).
+
+    Of two lines that are both known to repeat an earlier one (``gone``) nothing more need be known.
+    """
+    entries = entries.join(_sized(gone.withColumn("gone", F.lit(True)), BROADCAST_GONE), "node", "left")
     index = entries.where(F.col("place") <= F.col("n") - F.floor((2 * percent * F.col("n") + (99 + percent)) / (100 + percent)) + 1)
     n, m, p, q = F.col("e.n"), F.col("i.n"), F.col("e.place"), F.col("i.place")
     overlap = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
     at_most = F.least(p, q) + F.least(n - p, m - q)
-    byte = lambda side, i: F.shiftrightunsigned(f"{side}.profile", 8 * i).bitwiseAND(F.lit(255))
-    apart = sum((F.abs(byte("e", i) - byte("i", i)) for i in range(8)), F.lit(0))
+    nibble = lambda side, i: F.shiftrightunsigned(f"{side}.profile", 4 * i).bitwiseAND(F.lit(15))
+    apart = sum((F.abs(nibble("e", i) - nibble("i", i)) for i in range(8)), F.lit(0))
     ordered = (m < n) | ((m == n) & (F.col("i.node") < F.col("e.node")))
+    asked = F.col("e.gone").isNull() | F.col("i.gone").isNull()
     joined = entries.alias("e").join(
-        index.alias("i"), (F.col("e.word") == F.col("i.word")) & ordered & (m * 100 >= n * percent) & (at_most >= overlap) & (apart <= n + m - 2 * overlap))
+        index.alias("i"), (F.col("e.word") == F.col("i.word")) & ordered & asked & (m * 100 >= n * percent) & (at_most >= overlap) & (apart <= n + m - 2 * overlap))
     return joined.select(F.col("e.node").alias("a"), F.col("i.node").alias("b")).distinct()
 
 
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     out = np.empty(len(a), np.int32)
     for i in range(len(a)):
@@ -170,20 +241,23 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))
     rarity = count_keys(docs, lambda part: Lines(part).words, text_bytes(docs) // 6 + 1)
     listed = saved(_listed(docs, percent, rarity), "lines")
-    lines = listed.where("word IS NULL").select("doc_id", "text_hash", "line", "node")
+    lines = listed.where("line IS NOT NULL").select("doc_id", "text_hash", "line", "node")
     place = F.struct("doc_id", "text_hash", "line")
     firsts = saved(lines.groupBy("node").agg(F.min(place).alias("first")), "first-lines")
-    pairs = saved(_candidates(listed.where("word IS NOT NULL").select("word", "node", "n", "place", "profile"), percent), "line-pairs")
-    similar = _verified(pairs, docs, firsts, percent)
     first_of = lambda side: firsts.select(F.col("node").alias(side), F.col("first").alias(f"first_{side}"))
-    later = (
-        similar.join(first_of("a"), "a").join(first_of("b"), "b")
-        .select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct().withColumn("gone", F.lit(True))
-    )
+
+    def later(similar: DataFrame) -> DataFrame:
+        both = similar.join(first_of("a"), "a").join(first_of("b"), "b")
+        return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
+
+    gone = saved(later(listed.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "gone")
+    pairs = saved(_candidates(listed.where("word IS NOT NULL").select("word", "node", "n", "place", "profile"), gone, percent), "line-pairs")
+    gone = gone.unionByName(later(_verified(pairs, docs, firsts, percent))).distinct().withColumn("gone", F.lit(True))
     removed = (
-        lines.join(firsts.join(later, "node", "left"), "node").where(F.col("gone").isNotNull() | ~F.col("first").eqNullSafe(place))
+        lines.join(firsts.join(gone, "node", "left"), "node").where(F.col("gone").isNotNull() | ~F.col("first").eqNullSafe(place))
         .groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.collect_set("line").alias("removed"))
     )
+    removed = _sized(saved(removed, "removed"), BROADCAST_REMOVED)
     marked = docs.join(removed, docs["doc_id"].eqNullSafe(F.col("own_id")) & (docs["text_hash"] == F.col("own_hash")), "left")
     return (
         marked.select("doc_id", "text", F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1)).alias("parts"), F.regexp_count("text", F.lit("\n")).alias("breaks"), "removed")
