@@ -146,10 +146,10 @@ def _rows(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 def _listed(docs: DataFrame, percent: int, rarity: Rarity) -> DataFrame:
     """A row per line with words (doc_id or line set), one per prefix word of a distinct line that may be repeated, and
     one per pair of similar lines (node, other) that a task has found among its own."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    shared = docs.sparkSession.sparkContext.broadcast(rarity.parts())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, read = shared.value, _Held(), 0
+        known, held, read = Rarity(*shared.value), _Held(), 0
         for batch in batches:
             done = 0
             for part in parts_of(batch.column(2)):

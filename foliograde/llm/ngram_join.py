@@ -78,10 +78,10 @@ _POSTING = "doc_id long, node long, n int, gram long, place int, rare int, profi
 def postings(docs: DataFrame, size: int, percent: int, rarity: Rarity) -> DataFrame:
     """A row per document (doc_id, node, n; gram null) and one per prefix n-gram that may be repeated, with its place
     (from 1), the number of rare n-grams of the document and the profile of its set: eight counts by hash, a byte each."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    shared = docs.sparkSession.sparkContext.broadcast(rarity.parts())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Rarity(*shared.value)
         seen: set[int] = set()
         for batch in batches:
             done = 0

@@ -24,6 +24,10 @@ class Rarity:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, repeated: np.ndarray, shift: int):
         self.keys, self.counts, self.repeated, self.shift = keys, counts, repeated, shift
 
+    def parts(self) -> tuple:
+        """What a task needs to build the same again."""
+        return self.keys, self.counts, self.repeated, self.shift
+
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of the frequent keys, 0 for the others."""
         if not len(self.keys):
