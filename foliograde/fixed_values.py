@@ -130,7 +130,12 @@ HISTOGRAM_BINS = [
 # --- fixed values: messages ----------------------------------------------------
 
 NO_KEYWORDS = "No matching keywords found"
-KEYWORD_REASON = ("Keyword-based classification: ", " matching keywords")
+KEYWORD_REASON = "Keyword-based classification: {score} matching keywords"
+OCR_FAILED_PAGE = "[OCR failed: {error}]"
+TABLE_TITLE = "Table {number} (Page {page}):\n"
+TABLE_HEADERS = "Headers: {headers}\n"
+TABLE_ROW = "Row {number}: {cells}\n"
+TABLE_MORE_ROWS = "... and {count} more rows\n"
 NO_TEXT_CONTENT = "No text content found"
 CLASSIFICATION_FAILED = "Classification failed: "
 NO_TEXT_ERROR = "No text could be extracted from the document"
@@ -248,8 +253,13 @@ EXTRACTION_REQUEST_CLOSING = (
     "Be thorough but accurate."
 )
 
-FALLBACK_REQUEST_LINES = [
-    "Return a JSON object with the relevant fields for a ",
-    "Include confidence scores (0.0 to 1.0) for each field.",
-    "Use null for missing information.",
-]
+FALLBACK_REQUEST = """
+Extract information from this {doc_type} document and return it as valid JSON.
+
+Document Text:
+{text}
+
+Return a JSON object with the relevant fields for a {doc_type}. 
+Include confidence scores (0.0 to 1.0) for each field.
+Use null for missing information.
+"""

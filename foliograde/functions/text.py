@@ -5,6 +5,7 @@ Every function takes and returns Columns and stays inside the JVM.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from collections.abc import Iterable
 
@@ -14,6 +15,15 @@ from pyspark.sql import functions as F
 from foliograde import fixed_values as fv
 
 
+def filled(template: str, **parts: Column) -> Column:
+    """A template with ``{name}`` places, each filled with a column."""
+    pieces = []
+    for literal, name, *_ in string.Formatter().parse(template):
+        pieces += [F.lit(literal)] if literal else []
+        pieces += [parts[name].cast("string")] if name else []
+    return F.concat(*pieces)
+
+
 def clean_text(text: Column) -> Column:
     """Collapse white space, then delete characters outside the kept set, then trim.
 

@@ -104,7 +104,7 @@ def ocr_page_text(pages: DataFrame, tokens: DataFrame, doc_id: str = "doc_id",
         doc_id, "page_num", _piece(F.col("pos"), tokens_per_part).alias("part"),
     ).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_ws"))
     parts = parts.select(doc_id, "page_num", "part", F.array_join(F.col("_ws.word"), " ").alias("text"))
-    failed = F.concat(F.lit("[OCR failed: "), F.col("error"), F.lit("]"))
+    failed = tx.filled(fv.OCR_FAILED_PAGE, error=F.col("error"))
     good = pages.filter(F.col("error").isNull()).select(doc_id, "page_num").join(
         parts, [doc_id, "page_num"], "left")
     bad = pages.filter(F.col("error").isNotNull()).select(

@@ -50,12 +50,7 @@ def extraction_requests(df: DataFrame, *ids: str, text: str = "text", tables: st
 
 def fallback_requests(df: DataFrame, *ids: str, text: str = "text") -> DataFrame:
     """The simpler second request, for documents whose first reply was rejected."""
-    shape, scores, nulls = fv.FALLBACK_REQUEST_LINES
-    user = F.concat(
-        F.lit("\nExtract information from this "), F.col("doc_type"),
-        F.lit(" document and return it as valid JSON.\n\nDocument Text:\n"),
-        tx.truncate(F.col(text), fv.FALLBACK_TEXT_LIMIT),
-        F.lit("\n\n" + shape), F.col("doc_type"), F.lit(f". \n{scores}\n{nulls}\n"))
+    user = tx.filled(fv.FALLBACK_REQUEST, doc_type=F.col("doc_type"), text=tx.truncate(F.col(text), fv.FALLBACK_TEXT_LIMIT))
     return df.select(*ids, "doc_type", user.alias("user"))
 
 
@@ -86,15 +81,15 @@ def rendered_tables(tables: Column) -> Column:
     shown = fv.RENDERED_TABLE_ROWS
 
     def one(t: Column, i: Column) -> Column:
-        rows = F.transform(F.slice(t["rows"], 1, shown), lambda r, j: F.concat(
-            F.lit("Row "), (j + 1).cast("string"), F.lit(": "), F.array_join(r, ", ", "None"), F.lit("\n")))
+        rows = F.transform(F.slice(t["rows"], 1, shown), lambda r, j: tx.filled(
+            fv.TABLE_ROW, number=j + 1, cells=F.array_join(r, ", ", "None")))
         more = F.size(t["rows"]) - shown
         return F.concat(
-            F.lit("Table "), (i + 1).cast("string"), F.lit(" (Page "), t["page"].cast("string"), F.lit("):\n"),
-            F.when(F.size(t["headers"]) > 0, F.concat(
-                F.lit("Headers: "), F.array_join(t["headers"], ", ", ""), F.lit("\n"))).otherwise(""),
+            tx.filled(fv.TABLE_TITLE, number=i + 1, page=t["page"]),
+            F.when(F.size(t["headers"]) > 0, tx.filled(
+                fv.TABLE_HEADERS, headers=F.array_join(t["headers"], ", ", ""))).otherwise(""),
             F.array_join(rows, ""),
-            F.when(more > 0, F.concat(F.lit("... and "), more.cast("string"), F.lit(" more rows\n"))).otherwise(""),
+            F.when(more > 0, tx.filled(fv.TABLE_MORE_ROWS, count=more)).otherwise(""),
         )
 
     return F.when(F.size(tables) > 0, F.array_join(F.transform(tables, one), "\n")).otherwise(fv.NO_TABLES)

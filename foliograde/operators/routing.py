@@ -53,14 +53,13 @@ def decide(df: DataFrame, types: list[str], prefix: str = "keyword_") -> DataFra
     for doc_type, total in scores.items():
         winner = winner.when(total == F.col("_best"), doc_type)
     density = F.col("_best") / F.greatest(F.lit(1.0), F.col("words") / fv.WORDS_PER_KEYWORD)
-    head, tail = fv.KEYWORD_REASON
     return (
         df.withColumns({
             f"{prefix}doc_type": winner,
             f"{prefix}confidence": F.when(F.col("_best") == 0, 0.0).otherwise(
                 F.least(F.lit(fv.KEYWORD_CONFIDENCE_CAP), density)),
             f"{prefix}reasoning": F.when(F.col("_best") == 0, fv.NO_KEYWORDS).otherwise(
-                F.concat(F.lit(head), F.col("_best").cast("string"), F.lit(tail))),
+                tx.filled(fv.KEYWORD_REASON, score=F.col("_best"))),
         }).drop("_best", "words", *[f"score_{t}" for t in types])
     )
 

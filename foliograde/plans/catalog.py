@@ -16,7 +16,7 @@ from foliograde.functions import confidence as cf
 from foliograde.functions import text as tx
 from foliograde.functions.confidence import Weights
 from foliograde.operators import (
-    fields, pages, requests, responses, results, routing, scoring, summary, validation,
+    batch, fields, pages, requests, responses, results, routing, scoring, summary, validation,
 )
 from foliograde.plans import inputs
 from foliograde.session import shared_folder
@@ -658,6 +658,15 @@ def batch_summary(spark, sf):
         "success_rate": r6("success_rate"), "average_confidence": r6("average_confidence")})
 
 
+@query
+def batch_run(spark, sf):
+    """A whole batch in one call; the stored summary."""
+    entries = inputs.replies(spark, sf).withColumn("entry", F.col("doc_id").cast("long"))
+    totals, _ = batch.run_batch(entries, run_folder(spark, sf, "batch"), "doc_id", "entry")
+    return totals.withColumns({
+        "success_rate": r6("success_rate"), "average_confidence": r6("average_confidence")})
+
+
 @query
 def doc_type_counts(spark, sf):
     """Counted right after routing: no later stage changes the type."""

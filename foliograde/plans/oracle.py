@@ -546,8 +546,8 @@ CTE["shapes"] = "SELECT doc_id, o, kind, text, o // 3 % 10 AS c FROM texts"
 put("fallback_requests", f"""
 SELECT doc_id, kind AS doc_type, chr(10) || 'Extract information from this ' || kind ||
   ' document and return it as valid JSON.' || chr(10) || chr(10) || 'Document Text:' || chr(10) || left(text, 2000) ||
-  chr(10) || chr(10) || {text_literal(fv.FALLBACK_REQUEST_LINES[0])} || kind || '. ' || chr(10) ||
-  {text_literal(fv.FALLBACK_REQUEST_LINES[1])} || chr(10) || {text_literal(fv.FALLBACK_REQUEST_LINES[2])} || chr(10) AS user
+  chr(10) || chr(10) || 'Return a JSON object with the relevant fields for a ' || kind || '. ' || chr(10) ||
+  'Include confidence scores (0.0 to 1.0) for each field.' || chr(10) || 'Use null for missing information.' || chr(10) AS user
 FROM shapes WHERE c NOT IN (0, 1, 3)""")
 
 CTE["records"] = """
@@ -786,6 +786,7 @@ put("batch_summary", f"""
 SELECT count(*) AS total_files, count(*) FILTER (overall > 0) AS successful, count(*) FILTER (overall <= 0) AS failed,
   {r6('count(*) FILTER (overall > 0) / count(*)')} AS success_rate,
   {r6('avg(overall) FILTER (overall > 0)')} AS average_confidence FROM chain_results""")
+SQL["batch_run"] = SQL["batch_summary"]
 put("doc_type_counts", "SELECT doc_type, count(*) AS documents FROM chain_results GROUP BY doc_type")
 put("batch_digest", f"""
 SELECT '/in/' || doc_id || '.pdf' AS path, doc_type, {r6('overall')} AS confidence, field_count FROM chain_results""")

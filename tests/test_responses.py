@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from foliograde.operators import requests, responses
+from foliograde import fixed_values as fv
+from foliograde.operators import requests, responses, results
 
 INVOICE = {"invoice_number": "A1", "date": "2024-01-15", "total_amount": 10.5,
            "line_items": [{"description": "x", "quantity": 1, "total_price": 10.5, "confidence": 0.9}]}
@@ -106,3 +107,30 @@ def test_apply_model(spark):
     df = spark.createDataFrame([(i, f"q{i}") for i in range(50)], "doc_id long, user string")
     out = requests.apply_model(df, lambda batch: batch["user"].str.upper(), "doc_id")
     assert {(r.doc_id, r.response) for r in out.collect()} == {(i, f"Q{i}") for i in range(50)}
+
+
+@pytest.mark.parametrize("reply,method,fields", [
+    ('{"a":"x"} trailing {"b":"y"}', fv.METHOD_FAILED, []),
+    ('{"a":1,"a":2}', fv.METHOD_FALLBACK, [("a", "2")]),
+    ('so: {"a":NaN,"b":"c"} done', fv.METHOD_FALLBACK, [("a", "nan"), ("b", "c")]),
+    ('{"v":"\\ud800"}', fv.METHOD_FALLBACK, [("v", "�")]),
+    ('{"v":[{"w":[[{"x":"deep"}],7]}]}', fv.METHOD_FALLBACK, [("v[0].w[0][0].x", "deep")]),
+    ('{"v":"x"', fv.METHOD_FAILED, []),
+    (None, fv.METHOD_FAILED, []),
+])
+def test_one_reading_decides_outcome_and_fields(spark, reply, method, fields):
+    row = published(spark, reply)
+    assert row.processing_metadata.extraction_method == method and row.processing_metadata.error is None
+    assert [(f.name, f.value) for f in row.fields] == fields
+
+
+@pytest.mark.parametrize("reply", ['{"v":"x","v_confidence":1' + "0" * 400 + "}", '{"v":1' + "0" * 5000 + "}"])
+def test_a_record_that_cannot_be_used_is_one_error_row(spark, reply):
+    row = published(spark, reply)
+    assert row.processing_metadata.error and row.overall_confidence == 0.0 and row.fields == []
+
+
+def published(spark, reply):
+    df = spark.createDataFrame([(1, "/in/1", "an invoice with total", None, None, reply)],
+                               "doc_id long, source_file string, text string, ocr_quality double, response string, fallback_response string")
+    return results.process_documents(df, "doc_id").first()
