@@ -23,7 +23,7 @@ from foliograde.llm.words import PLAIN, mix, parts_of, words_of
 #: Most documents whose wanted lines are broadcast (about 100 bytes each).
 BROADCAST_DOCS = 200_000
 #: Lines a task remembers so that it lists each once, and words of lines that it compares at once.
-HELD, HELD_WORDS = 1_000_000, 4_000_000
+HELD, HELD_WORDS = 1_000_000, 1_000_000
 #: Most removed lines, or documents with some, that are broadcast (9 and about 100 bytes each).
 BROADCAST_GONE, BROADCAST_REMOVED = 1_000_000, 300_000
 _U = np.uint64

@@ -30,6 +30,8 @@ HELD = 1_000_000
 BROADCAST_IDS = 1_000_000
 #: Most pairs that are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1_000_000
+#: Rounds that join components over their most central nodes before all pairs across components are looked at.
+MERGES = 2
 _U = np.uint64
 
 
@@ -201,6 +203,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(lists: DataFrame, heads: DataFrame, parts: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Pairs of nodes of one list that are still in different components.
+
+    First only the most central node of each component with the list's head; in the end, with ``all_pairs``, every node
+    outside the head's component with every node of another component.
+    """
+    of_list = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    split = of_list.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram")
+    named = heads.join(split, "gram").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    if not all_pairs:
+        central = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").where("part <> head_part").groupBy("gram", "part").agg(
+            F.min(F.struct("rare", "node", "n", "place", "profile")).alias("first")).select("gram", "first.*")
+        joined = central.alias("e").join(named.alias("o"), "gram").where(_may_link("e", "o", percent))
+        return _pairs(joined, "e", "o")
+    still = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").distinct()
+    joined = still.where("part <> head_part").alias("e").join(still.alias("o"), F.col("e.gram") == F.col("o.gram")).where(
+        (F.col("e.part") != F.col("o.part")) & _may_link("e", "o", percent))
+    return _pairs(joined, "e", "o")
+
+
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """For every row of ``docs`` (doc_id, text) its class by similarity of n-grams of ``size`` words.
 
@@ -210,30 +232,33 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     part, but never is the smallest unless all are null; no rows give no rows.  Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    lists = saved(postings(docs, size, percent, count_grams(docs, size)), "postings")
-    facts = lists.where("gram IS NULL").select("doc_id", "node", "n")
+    listed = saved(postings(docs, size, percent, count_grams(docs, size)), "postings")
+    facts = listed.where("gram IS NULL").select("doc_id", "node", "n")
     firsts = saved(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
-    entries = lists.where("gram IS NOT NULL").select("gram", "node", "n", "place", "rare", "profile")
+    entries = listed.where("gram IS NOT NULL").select("gram", "node", "n", "place", "rare", "profile")
 
     heads = entries.groupBy("gram").agg(
         F.min(F.struct("rare", "node", "n", "place", "profile")).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     heads = saved(heads.select("gram", "head.*"), "heads")
     star = entries.alias("e").join(heads.alias("h"), "gram").where((F.col("e.node") != F.col("h.node")) & _may_link("e", "h", percent))
-    first_pairs = saved(_pairs(star, "e", "h"), "pairs")
-    links = verified(first_pairs, docs, firsts, size, percent)
+    # each node with the one head it shares most lists with
+    shares = star.groupBy(F.col("e.node").alias("node"), F.col("h.node").alias("head")).agg(F.count("*").alias("lists"))
+    closest = shares.groupBy("node").agg(F.max_by("head", F.struct("lists", "head")).alias("head"))
+    done = pairs = saved(closest.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
+    links = verified(pairs, docs, firsts, size, percent)
     parts = components(links)
 
-    shared = entries.join(heads.select("gram"), "gram", "left_semi").join(parts, "node", "left")
-    shared = saved(shared.withColumn("part", F.coalesce("part", "node")), "shared")
-    split = shared.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram")
-    split = heads.select("gram", F.col("node").alias("head")).join(split, "gram").join(parts.withColumnRenamed("node", "head"), "head", "left").select(
-        "gram", F.coalesce("part", "head").alias("head_part"))
-    open_lists = saved(shared.join(split, "gram").distinct(), "open")
-    across = open_lists.where("part <> head_part").alias("e").join(open_lists.alias("o"), F.col("e.gram") == F.col("o.gram")).where(
-        (F.col("e.part") != F.col("o.part")) & _may_link("e", "o", percent))
-    more_pairs = saved(_pairs(across, "e", "o").join(first_pairs, ["a", "b"], "left_anti"), "more")
-    if not more_pairs.isEmpty():
-        links = saved(links.unionByName(verified(more_pairs, docs, firsts, size, percent)), "links")
+    lists = entries.join(heads.select("gram"), "gram", "left_semi")
+    lists = saved(lists, "lists")
+    for step in range(MERGES + 1):
+        across = _across(lists, heads, parts, percent, all_pairs=step == MERGES)
+        pairs = saved(across.join(done, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            if step < MERGES:
+                continue
+            break
+        done = saved(done.unionByName(pairs), "done")
+        links = saved(links.unionByName(verified(pairs, docs, firsts, size, percent)), "links")
         parts = components(links)
 
     of_part = firsts.join(parts, "node").groupBy("part").agg(F.min("first").alias("component"))
