@@ -218,9 +218,16 @@ def _across(lists: DataFrame, heads: DataFrame, parts: DataFrame, percent: int,
         joined = central.alias("e").join(named.alias("o"), "gram").where(_may_link("e", "o", percent))
         return _pairs(joined, "e", "o")
     still = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").distinct()
+    once = (F.col("o.part") == F.col("o.head_part")) | (F.col("e.node") < F.col("o.node"))
     joined = still.where("part <> head_part").alias("e").join(still.alias("o"), F.col("e.gram") == F.col("o.gram")).where(
-        (F.col("e.part") != F.col("o.part")) & _may_link("e", "o", percent))
-    return _pairs(joined, "e", "o")
+        (F.col("e.part") != F.col("o.part")) & once & _may_link("e", "o", percent))
+    # every n-gram that two prefixes share has been seen here once; the others lie behind one of the prefixes
+    n, m, x, y = F.col("e.n"), F.col("o.n"), F.col("e.node"), F.col("o.node")
+    overlap = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
+    behind = F.greatest(needed(n, percent), needed(m, percent)) - 1
+    counted = joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (overlap - behind).alias("missing")).groupBy("a", "b").agg(
+        F.count("*").alias("shared"), F.max("missing").alias("missing"))
+    return counted.where("shared >= missing").select("a", "b")
 
 
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
