@@ -14,7 +14,7 @@ from foliograde.llm.words import parts_of
 #: Most keys whose counts every task gets (16 bytes each); the bitmap of repeated keys has 2**MAP_BITS bits.
 FREQUENT, MAP_BITS = 1 << 19, 27
 #: Keys that a task holds before it passes them on, and about as many as a range of hashes holds.
-HELD, RANGE_KEYS = 2_000_000, 4_000_000
+HELD, RANGE_KEYS = 1_000_000, 1_500_000
 _U = np.uint64
 
 
