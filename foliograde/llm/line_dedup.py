@@ -82,6 +82,9 @@ class _Held:
         self.parts: list[tuple] = []
         self.many = 0
 
+    def full(self) -> bool:
+        return self.many > HELD_WORDS or len(self.seen) > HELD
+
     def add(self, lines: Lines, order: np.ndarray, rarity: Rarity, percent: int) -> None:
         k = len(lines.node)
         if not k:
@@ -90,8 +93,6 @@ class _Held:
         fresh = np.zeros(k, bool)
         fresh[first] = [node not in self.seen for node in distinct.tolist()]
         self.seen.update(distinct.tolist())
-        if len(self.seen) > HELD:
-            self.seen.clear()
         place = np.arange(len(lines.words)) - lines.first[lines.index]
         use = (place < lines.size[lines.index] + (-percent * lines.size[lines.index] // 100) + 1) & fresh[lines.index]
         use[use] = rarity.may_repeat(lines.words[use])
@@ -104,6 +105,8 @@ class _Held:
 
     def flushed(self, percent: int) -> Iterator[pa.RecordBatch]:
         """Prefix words of the lines held, and pairs that a look at each word's first line has shown to be similar."""
+        if len(self.seen) > HELD:  # only with the parts, so that no line is twice among them
+            self.seen.clear()
         if not self.parts:
             return
         counts = np.cumsum([0, *(len(p[0]) for p in self.parts)])
@@ -119,7 +122,7 @@ class _Held:
         n, m = size[x], size[y]
         overlap = -(-(n + m) * percent // (100 + percent))
         p, q = place[by], place[by][np.flatnonzero(head)][np.cumsum(head) - 1] if len(by) else place
-        maybe = ~head & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= overlap)
+        maybe = ~head & (node[x] != node[y]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= overlap)
         pairs = np.unique(np.stack([x[maybe], y[maybe]], axis=1), axis=0) if maybe.any() else np.zeros((0, 2), np.int64)
         own = [np.sort(words[bounds[i]:bounds[i + 1]]) for i in np.unique(pairs)]
         at = {int(i): w for i, w in zip(np.unique(pairs), own)}
@@ -160,7 +163,7 @@ def _listed(docs: DataFrame, percent: int, rarity: Rarity) -> DataFrame:
                 yield _rows(doc_id=own.column(0).take(at), text_hash=own.column(1).take(at), line=lines.number, node=lines.node, n=lines.size)
                 held.add(lines, np.arange(read, read + len(lines.node)), known, percent)
                 read += len(lines.node)
-                if held.many > HELD_WORDS:
+                if held.full():
                     yield from held.flushed(percent)
         yield from held.flushed(percent)
 
@@ -247,7 +250,7 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     first_of = lambda side: firsts.select(F.col("node").alias(side), F.col("first").alias(f"first_{side}"))
 
     def later(similar: DataFrame) -> DataFrame:
-        both = similar.join(first_of("a"), "a").join(first_of("b"), "b")
+        both = similar.where("a <> b").join(first_of("a"), "a").join(first_of("b"), "b")
         return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
 
     gone = saved(later(listed.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "gone")

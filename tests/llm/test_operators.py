@@ -333,5 +333,19 @@ def test_line_dedup(spark):
     assert line_dedup.without_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_more_lines_than_a_task_holds(spark):
+    texts = [f"keep me once whatever happens\nown line number {i} x{i} y{i} z{i}\nother words{i} of{i} text{i}" for i in range(40)]
+    docs = docs_of(spark, texts).where("doc_id IS NOT NULL").coalesce(1)
+    expected = plain_line_dedup(list(enumerate(texts)), 80)
+    keep, parts = line_dedup.HELD, line_dedup.parts_of
+    line_dedup.HELD = 3
+    line_dedup.parts_of = lambda texts: (texts.slice(i, 2) for i in range(0, len(texts), 2))
+    try:
+        found = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.without_repeated_lines(docs).collect()}
+    finally:
+        line_dedup.HELD, line_dedup.parts_of = keep, parts
+    assert found == expected
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
