@@ -7,7 +7,8 @@ seen.  Class scores are matrix products over batches of tokens and are normalise
 probabilities of all known words and the unseen ones sum to one.
 
 Counts cover all words of all training texts.  The model is trained in each partition on all its texts, starting from
-common parameters, and averaged by tokens; there are ``ROUNDS`` such rounds on disjoint parts of the documents.
+common parameters, and averaged by tokens; there are ``ROUNDS`` such rounds on disjoint parts of the documents, and
+every task goes over its texts of a round once, however many it has.
 Words with high counts go to all executors as a table of bounded size; the others are looked up by a join.
 """
 
@@ -30,8 +31,6 @@ CLASSES = OWN + SHAPES
 TABLE_WORDS = 1 << 19
 BATCH, NOISE, NOISE_RATIO, RATE, ROUNDS = 2048, 48, 8.0, 0.15, 2
 END = np.uint64(0x6A09E667F3BCC908)
-#: A task with no more tokens than this goes over them again, up to so many times.
-FEW_TOKENS, MORE_PASSES = 1_000_000, 12
 #: Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 1_000_000
 _SIZES = {"context": CONTEXT * (CLASSES + 1) * WIDTH, "out": CLASSES * WIDTH, "bias": CLASSES}
@@ -231,18 +230,12 @@ def _model(train: DataFrame) -> dict:
 
 def _averaged(part: DataFrame, start, shares: np.ndarray, small_table, before_round: np.ndarray) -> np.ndarray:
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, trainer, held = _Lookup(small_table.value), Trainer(start.value, shares), []
+        lookup, trainer = _Lookup(small_table.value), Trainer(start.value, shares)
         for batch in batches:
             for texts in parts_of(batch.column(0)):
                 words = words_of(texts, PLAIN)
                 token, _, before = _contexts(words, lookup.find(words)[0], 0)
                 trainer.learn(token, before)
-                if trainer.tokens <= FEW_TOKENS:
-                    held.append((token, before))
-        if trainer.tokens <= FEW_TOKENS:
-            for _ in range(min(MORE_PASSES, FEW_TOKENS // max(1, trainer.tokens))):
-                for token, before in held:
-                    trainer.learn(token, before)
         if trainer.tokens:
             yield pa.record_batch(
                 [pa.array(np.arange(len(trainer.flat))), pa.array(trainer.flat.astype(np.float64)), pa.array(np.full(len(trainer.flat), float(trainer.tokens)))],

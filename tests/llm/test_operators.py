@@ -80,6 +80,18 @@ def test_lm_is_normalised():
     assert np.exp(lm_scoring.class_log_probs(trainer.flat, every, context)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_goes_over_few_texts_once(spark):
+    texts = ["a few words of one small task"] * 30
+    shares = np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)
+    start, table = lm_scoring.started(shares), (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    share = spark.sparkContext.broadcast
+    found = lm_scoring._averaged(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), share(start), shares, share(table), start)
+    words, once = words_of(pa.array(texts), PLAIN), lm_scoring.Trainer(start, shares)
+    token, _, before = lm_scoring._contexts(words, lm_scoring._Lookup(table).find(words)[0], 0)
+    once.learn(token, before)
+    assert np.allclose(found, once.flat, atol=1e-6)
+
+
 def filled(sizes, weights, total):
     """Shares by weight; what is above a cap is shared again until nothing is."""
     targets, left, open_ = {}, total, sorted(sizes)
