@@ -1,10 +1,13 @@
 """Log-probabilities of whole texts under a log-bilinear model trained by noise-contrastive estimation.
 
 Every word belongs to a class: the most frequent words and the end of a text have one of their own, all others one
-by their last two bytes.  A log-bilinear model predicts the class of a token from the classes of the four tokens
-before it; within a class a word has its add-one share of the training count, and one share stands for the words never
-seen.  Class scores are matrix products over batches of tokens and are normalised over all classes, so the
-probabilities of all known words and the unseen ones sum to one.
+by their last three bytes, and in it a slot by their hash.  Classes and slots grow with the root of the number of
+distinct words, so that there are about half as many pairs of class and slot as words.  A log-bilinear model predicts
+the class of a token and then its slot within the class, both from the four tokens before it, each of which has the
+sum of a vector for its class and one for its slot.  Within a slot of a class a word has its add-one share of the
+training count, and one share stands for the words never seen.  Scores are matrix products over batches of tokens,
+normalised over all classes and over the slots of a class weighted by their shares, so the probabilities of all known
+words and the unseen ones sum to one.
 
 Counts cover all words of all training texts.  The model is trained in each partition on all its texts, starting from
 common parameters, and averaged by tokens; there are ``ROUNDS`` such rounds on disjoint parts of the documents, and
@@ -16,32 +19,67 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograde.llm.common import saved
-from foliograde.llm.words import PLAIN, Words, mix, parts_of, words_of
+from foliograde.llm.words import PLAIN, Words, parts_of, words_of
 
-OWN, SHAPES, CONTEXT, WIDTH = 64, 64, 4, 16
-CLASSES = OWN + SHAPES
+CONTEXT, WIDTH = 4, 16
+#: Least classes, half of them for one word each, and noise slots for a token.
+CLASSES, NOISE_SLOTS = 128, 4
 #: Most words in the table that every executor gets (20 bytes each).
 TABLE_WORDS = 1 << 19
 BATCH, NOISE, NOISE_RATIO, RATE, ROUNDS = 2048, 48, 8.0, 0.15, 2
 END = np.uint64(0x6A09E667F3BCC908)
 #: Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 1_000_000
-_SIZES = {"context": CONTEXT * (CLASSES + 1) * WIDTH, "out": CLASSES * WIDTH, "bias": CLASSES}
+
+
+class Sizes(NamedTuple):
+    """Classes, those of them for one word each, and slots of the others; without slots the class is all."""
+
+    classes: int
+    own: int
+    slots: int
+
+    def shapes(self) -> list[tuple[int, ...]]:
+        """Context and output vectors and biases of the classes, then of the slots; the last context is none."""
+        shapes = [(CONTEXT, self.classes + 1, WIDTH), (self.classes, WIDTH), (self.classes,)]
+        return shapes + ([(CONTEXT, self.slots + 1, WIDTH), (self.slots, WIDTH)] if self.slots else [])
+
+    def class_of(self, shape: np.ndarray) -> np.ndarray:
+        return (self.own + (shape.astype(np.int64) * SPREAD >> 8) % (self.classes - self.own)).astype(np.int32)
+
+    def slot_of(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        return np.where(classes >= self.own, (hashes >> np.uint64(20)) % np.uint64(max(1, self.slots)), np.uint64(self.slots)).astype(np.int32)
+
+    def cell_columns(self) -> tuple[Column, Column]:
+        """Class without own words, and slot, as columns of ``word`` and ``shape``; as in the functions above."""
+        return (F.shiftright(F.col("shape").cast("long") * SPREAD, 8) % (self.classes - self.own)).cast("int"), (
+            F.shiftrightunsigned("word", 20) % self.slots).cast("int")
+
+
+def sizes_for(distinct: int) -> Sizes:
+    """About the root of the distinct words, for classes and for slots."""
+    classes = max(CLASSES, math.isqrt(distinct))
+    return Sizes(classes, classes // 2, classes)
+
+
+SPREAD = 1_000_003
 
 
 def _shapes(words: Words) -> np.ndarray:
-    """Class of a word by its last two bytes."""
-    last = words.data[words.end - 1].astype(np.uint64)
-    second = np.where(words.end - words.start > 1, words.data[np.maximum(words.end - 2, 0)], 0).astype(np.uint64)
-    fold = lambda b: np.where((b >= 65) & (b <= 90), b + np.uint64(32), b)
-    return (mix(fold(second) * np.uint64(256) + fold(last) + np.uint64(1)) % np.uint64(SHAPES)).astype(np.int32)
+    """Last three bytes of a word."""
+    size, found = words.end - words.start, np.zeros(len(words.end), np.int32)
+    for back in (3, 2, 1):
+        byte = np.where(size >= back, words.data[np.maximum(words.end - back, 0)], 0).astype(np.int32)
+        found = found * 256 + np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+    return found
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +115,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Lookup:
     """Classes and counts of the words in a table sorted by hash."""
 
-    def __init__(self, table: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def __init__(self, table: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: Sizes = Sizes(CLASSES, CLASSES // 2, 0)):
         self.words, self.classes, self.counts = table
+        self.sizes = sizes
 
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Class and count of each word; count -1 if it is not in the table."""
-        classes = _shapes(words) + OWN
+        classes = self.sizes.class_of(_shapes(words))
         if not len(self.words):
             return classes, np.full(len(classes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.words, words.hash), len(self.words) - 1)
@@ -90,8 +129,8 @@ class _Lookup:
         return np.where(hit, self.classes[at], classes), np.where(hit, self.counts[at], -1)
 
 
-def _contexts(words: Words, classes: np.ndarray, end_class: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every token, ends included, its text's row, and the classes of the tokens before it."""
+def _contexts(words: Words, classes: np.ndarray, end_class: int, none: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class (or slot) of every token, ends included, its text's row, and the classes of the tokens before it."""
     rows = words.rows
     bounds = words.bounds()
     token = np.empty(len(classes) + rows, np.int32)
@@ -101,7 +140,7 @@ def _contexts(words: Words, classes: np.ndarray, end_class: int) -> tuple[np.nda
     token[at], row[at] = classes, words.row
     token[ends], row[ends] = end_class, np.arange(rows)
     begin = (bounds[:-1] + np.arange(rows))[row]
-    before = np.full((CONTEXT, len(token)), CLASSES, np.int32)
+    before = np.full((CONTEXT, len(token)), none, np.int32)
     for j in range(1, CONTEXT + 1):
         if len(token) > j:
             inside = np.arange(j, len(token)) - j >= begin[j:]
@@ -109,74 +148,121 @@ def _contexts(words: Words, classes: np.ndarray, end_class: int) -> tuple[np.nda
     return token, row, before
 
 
-def _tables(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = _SIZES["context"], _SIZES["context"] + _SIZES["out"]
-    return flat[:a].reshape(CONTEXT, CLASSES + 1, WIDTH), flat[a:b].reshape(CLASSES, WIDTH), flat[b:]
+def _tables(flat: np.ndarray, sizes: Sizes) -> list[np.ndarray]:
+    ends = np.cumsum([math.prod(x) for x in sizes.shapes()])
+    return [part.reshape(x) for part, x in zip(np.split(flat[:ends[-1]], ends[:-1]), sizes.shapes())]
 
 
-def started(shares: np.ndarray) -> np.ndarray:
+def started(shares: np.ndarray, slots: int = 0) -> np.ndarray:
     """Parameters before training: the classes' shares as biases and small context and output vectors."""
     rng = np.random.default_rng(7)
-    return np.concatenate([rng.normal(0, 0.05, _SIZES["context"]), rng.normal(0, 0.05, _SIZES["out"]), np.log(shares)]).astype(np.float32)
+    shapes = Sizes(len(shares), 0, slots).shapes()
+    return np.concatenate([np.log(shares) if len(x) == 1 else rng.normal(0, 0.05, math.prod(x)) for x in shapes]).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive estimation with per-parameter rates, batch after batch."""
+    """Noise-contrastive estimation with per-parameter rates, batch after batch.
 
-    def __init__(self, flat: np.ndarray, shares: np.ndarray):
+    ``cells``: shares of the slots (columns) in the classes of many words (rows); noise slots are drawn by them.
+    """
+
+    def __init__(self, flat: np.ndarray, shares: np.ndarray, cells: np.ndarray | None = None):
         self.flat = flat.astype(np.float32)
-        self.context, self.out, self.bias = _tables(self.flat)
-        self.squares = _tables(np.full(len(flat), 1e-2, np.float32))
+        slots = 0 if cells is None else cells.shape[1]
+        self.sizes = Sizes(len(shares), len(shares) - (0 if cells is None else len(cells)), slots)
+        self.context, self.out, self.bias, *self.slot = _tables(self.flat, self.sizes)
+        self.squares = _tables(np.full(len(flat), 1e-2, np.float32), self.sizes)
         self.offset = np.log(NOISE_RATIO * shares).astype(np.float32)
         self.shares, self.tokens, self.rng = shares, 0, np.random.default_rng(11)
+        if slots:
+            self.bounds = np.cumsum(cells.astype(np.float64))
 
-    def _step(self, table: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
-        squares += gradient * gradient
-        table -= RATE * gradient / np.sqrt(squares)
+    def _step(self, table: np.ndarray, squares: np.ndarray, places: np.ndarray, gradient: np.ndarray) -> None:
+        squares[places] += gradient * gradient
+        table[places] -= RATE * gradient / np.sqrt(squares[places])
 
-    def learn(self, token: np.ndarray, before: np.ndarray) -> None:
+    def learn(self, token: np.ndarray, before: np.ndarray, slot: np.ndarray | None = None, slots_before: np.ndarray | None = None) -> None:
+        every = np.arange(self.sizes.classes)
         for i in range(0, len(token), BATCH):
             w, c = token[i:i + BATCH], before[:, i:i + BATCH]
             n = len(w)
             self.tokens += n
-            drawn = self.rng.choice(CLASSES, NOISE, p=self.shares)
+            drawn = self.rng.choice(self.sizes.classes, NOISE, p=self.shares)
             r = sum(self.context[j][c[j]] for j in range(CONTEXT))
+            if slot is not None:
+                d = slots_before[:, i:i + BATCH]
+                r += sum(self.slot[0][j][d[j]] for j in range(CONTEXT))
             real = np.einsum("ij,ij->i", r, self.out[w]) + self.bias[w] - self.offset[w]
             fake = r @ self.out[drawn].T + (self.bias - self.offset)[drawn]
             g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1) / n
             g_fake = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))) * np.float32(NOISE_RATIO / NOISE / n)
             g_r = g_real[:, None] * self.out[w] + g_fake @ self.out[drawn]
-            g_out = _summed(w, g_real[:, None] * r, CLASSES) + _summed(drawn, g_fake.T @ r, CLASSES)
-            g_bias = np.bincount(w, g_real, CLASSES) + np.bincount(drawn, g_fake.sum(0), CLASSES)
+            places, g_out = _summed(np.r_[w, drawn], np.concatenate([g_real[:, None] * r, g_fake.T @ r]))
+            if slot is not None:
+                self._learn_slots(r, w, slot[i:i + BATCH], g_r)
+                for j in range(CONTEXT):
+                    self._step(self.slot[0][j], self.squares[3][j], *_summed(d[j], g_r))
+            g_bias = np.bincount(w, g_real, len(every)) + np.bincount(drawn, g_fake.sum(0), len(every))
             for j in range(CONTEXT):
-                self._step(self.context[j], self.squares[0][j], _summed(c[j], g_r, CLASSES + 1))
-            self._step(self.out, self.squares[1], g_out)
-            self._step(self.bias, self.squares[2], g_bias.astype(np.float32))
-
-
-def _summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows that share a place, by sorting instead of one addition after the other."""
+                self._step(self.context[j], self.squares[0][j], *_summed(c[j], g_r))
+            self._step(self.out, self.squares[1], places, g_out)
+            self._step(self.bias, self.squares[2], every, g_bias.astype(np.float32))
+
+    def _learn_slots(self, r: np.ndarray, w: np.ndarray, slot: np.ndarray, g_r: np.ndarray) -> None:
+        """Tell each token's slot from slots drawn by the shares in its class; adds to the gradient of the contexts."""
+        at = np.flatnonzero(w >= self.sizes.own)
+        if not len(at):
+            return
+        first = (w[at].astype(np.int64) - self.sizes.own) * self.sizes.slots
+        low, high = np.where(first > 0, self.bounds[first - 1], 0.0), self.bounds[first + self.sizes.slots - 1]
+        drawn = np.searchsorted(self.bounds, low[:, None] + self.rng.random((len(at), NOISE_SLOTS)) * (high - low)[:, None], side="right")
+        drawn = np.clip(drawn - first[:, None], 0, self.sizes.slots - 1)
+        both = np.concatenate([slot[at][:, None], drawn], axis=1)
+        out, h = self.slot[1][both], r[at]
+        guess = 1 / (1 + np.exp(-np.clip(np.einsum("ik,ijk->ij", h, out) - np.float32(math.log(NOISE_SLOTS)), -30, 30)))
+        guess[:, 0] -= 1
+        guess = (guess / len(w)).astype(np.float32)
+        g_r[at] += np.einsum("ij,ijk->ik", guess, out)
+        self._step(self.slot[1], self.squares[4], *_summed(both.ravel(), (guess[:, :, None] * h[:, None, :]).reshape(-1, WIDTH)))
+
+
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and the sums of the rows that share one, by sorting instead of one addition after the other."""
     order = np.argsort(at, kind="stable")
     places = at[order]
     first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[places[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return places[first], np.add.reduceat(rows[order], first, axis=0).astype(np.float32)
+
 
+def class_log_probs(flat: np.ndarray, token: np.ndarray, before: np.ndarray, slot: np.ndarray | None = None,
+                    slots_before: np.ndarray | None = None, cells: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of the probability of each token's class, normalised over all classes.
 
-def class_log_probs(flat: np.ndarray, token: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each token's class, normalised over all classes."""
-    context, out, bias = _tables(flat)
+    With ``cells`` also of its slot in the class, divided by the slot's share (a word has a part of it by its count).
+    """
+    slots = 0 if cells is None else cells.shape[1]
+    fixed = (CONTEXT + 1) * WIDTH * slots + 2 * CONTEXT * WIDTH if slots else CONTEXT * WIDTH
+    classes = (len(flat) - fixed) // ((CONTEXT + 1) * WIDTH + 1)
+    own = classes - (0 if cells is None else len(cells))
+    context, out, bias, *more = _tables(flat, Sizes(classes, own, slots))
     found = np.empty(len(token))
     for i in range(0, len(token), 4096):
         w = token[i:i + 4096]
         r = sum(context[j][before[j, i:i + 4096]] for j in range(CONTEXT))
+        if slots:
+            r += sum(more[0][j][slots_before[j, i:i + 4096]] for j in range(CONTEXT))
         scores = r @ out.T
         scores += bias
         scores -= scores.max(axis=1, keepdims=True)
-        own = scores[np.arange(len(w)), w].astype(np.float64)
+        mine = scores[np.arange(len(w)), w].astype(np.float64)
         np.exp(scores, out=scores)
-        found[i:i + 4096] = own - np.log(scores.sum(axis=1, dtype=np.float64))
+        found[i:i + 4096] = mine - np.log(scores.sum(axis=1, dtype=np.float64))
+        if slots and len(at := np.flatnonzero(w >= own)):
+            scores = r[at] @ more[1].T
+            scores -= scores.max(axis=1, keepdims=True)
+            mine = scores[np.arange(len(at)), slot[i:i + 4096][at]].astype(np.float64)
+            np.exp(scores, out=scores)
+            found[i + at] += mine - np.log(np.maximum(np.einsum("ij,ij->i", scores, cells[w[at] - own]), 1e-30))
     return found
 
 
@@ -194,14 +280,15 @@ def _model(train: DataFrame) -> dict:
         if words > TABLE_WORDS:
             least = math.ceil(2 ** ((b + 1) / 4) - 1e-9)
             break
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN - 1).toArrow()  # OWN - 1 rows
+    sizes = sizes_for(distinct)
+    top = counts.orderBy(F.desc("n"), "word").limit(sizes.own - 1).toArrow()  # about half the root of the distinct words
     own = {int(w): i + 1 for i, w in enumerate(x for x in top.column("word").to_pylist() if x != int(END.view(np.int64)))}
     own[int(END.view(np.int64))] = 0
     table = counts.where(F.col("n") >= least).toArrow()  # TABLE_WORDS rows at most
     hashes = table.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     hashes, n, shapes = hashes[order], table.column("n").to_numpy()[order], table.column("shape").to_numpy()[order]
-    classes = shapes.astype(np.int32) + OWN
+    classes = sizes.class_of(shapes)
     small = np.array(sorted(own), np.int64).view(np.uint64)
     small = np.sort(small)
     small_classes = np.array([own[int(x)] for x in small.view(np.int64)], np.int32)
@@ -209,33 +296,44 @@ def _model(train: DataFrame) -> dict:
     for place, word, cls in zip(at, small, small_classes):
         if place < len(hashes) and hashes[place] == word:
             classes[place] = cls
-    sums = np.zeros(CLASSES)
-    kinds = np.zeros(CLASSES)
-    for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # SHAPES rows
-        sums[OWN + r.shape], kinds[OWN + r.shape] = r.n, r.words
-    for w, c, k in zip(hashes.view(np.int64).tolist(), n.tolist(), shapes.tolist()):
+    sums, cells = np.zeros(sizes.classes), np.ones((sizes.classes - sizes.own, sizes.slots), np.float32)
+    shape, slot = sizes.cell_columns()
+    many = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word long")), "word", "left_anti")
+    found = many.groupBy(shape.alias("shape"), slot.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("words")).toArrow()  # half as many rows as words
+    at, place, counted = (found.column(x).to_numpy() for x in ("shape", "slot", "n"))
+    cells[at, place] += counted + found.column("words").to_numpy()
+    sums[sizes.own:] = np.bincount(at, counted, sizes.classes - sizes.own)
+    for w, c in zip(hashes.view(np.int64).tolist(), n.tolist()):
         if w in own:
             sums[own[w]] += c
-            sums[OWN + k] -= c
-            kinds[OWN + k] -= 1
-    shares = (sums + 1) / (sums.sum() + CLASSES)
-    flat = started(shares)
+    shares = (sums + 1) / (sums.sum() + sizes.classes)
+    flat = started(shares, sizes.slots)
     small_table = spark.sparkContext.broadcast((small, small_classes, np.zeros(len(small), np.int64)))
+    shared_cells = spark.sparkContext.broadcast(cells)
     for step in range(ROUNDS):
         part = train.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == step).select("text")
-        flat = _averaged(part, spark.sparkContext.broadcast(flat), shares, small_table, flat)
-    return {"counts": counts, "least": least, "total": total, "distinct": distinct, "flat": flat, "sums": sums, "kinds": kinds,
+        flat = _averaged(part, spark.sparkContext.broadcast(flat), shares, small_table, flat, sizes, shared_cells)
+    return {"counts": counts, "least": least, "total": total, "distinct": distinct, "flat": flat, "sizes": sizes, "cells": shared_cells,
             "table": (hashes, classes, n)}
 
 
-def _averaged(part: DataFrame, start, shares: np.ndarray, small_table, before_round: np.ndarray) -> np.ndarray:
+def _tokens(words: Words, classes: np.ndarray, sizes: Sizes) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Class of every token and of those before it, the same of the slots if there are any, and the token's text."""
+    token, row, before = _contexts(words, classes, 0, sizes.classes)
+    if not sizes.slots:
+        return (token, before), row
+    slot, _, slots_before = _contexts(words, sizes.slot_of(words.hash, classes), sizes.slots, sizes.slots)
+    return (token, before, slot, slots_before), row
+
+
+def _averaged(part: DataFrame, start, shares: np.ndarray, small_table, before_round: np.ndarray, sizes: Sizes = Sizes(CLASSES, CLASSES // 2, 0),
+              cells=None) -> np.ndarray:
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, trainer = _Lookup(small_table.value), Trainer(start.value, shares)
+        lookup, trainer = _Lookup(small_table.value, sizes), Trainer(start.value, shares, cells and cells.value)
         for batch in batches:
             for texts in parts_of(batch.column(0)):
                 words = words_of(texts, PLAIN)
-                token, _, before = _contexts(words, lookup.find(words)[0], 0)
-                trainer.learn(token, before)
+                trainer.learn(*_tokens(words, lookup.find(words)[0], sizes)[0])
         if trainer.tokens:
             yield pa.record_batch(
                 [pa.array(np.arange(len(trainer.flat))), pa.array(trainer.flat.astype(np.float64)), pa.array(np.full(len(trainer.flat), float(trainer.tokens)))],
@@ -264,10 +362,10 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     shared = spark.sparkContext.broadcast(model["table"])
     flat = spark.sparkContext.broadcast(model["flat"])
     base = math.log10(model["total"] + model["distinct"] + 1)
-    inside = np.where(np.arange(CLASSES) >= OWN, np.log10(model["sums"] + model["kinds"] + 1), 0.0)
+    sizes, cells = model["sizes"], model["cells"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(shared.value)
+        lookup = _Lookup(shared.value, sizes)
         end_at = np.searchsorted(lookup.words, END) if len(lookup.words) else 0
         ends = int(lookup.counts[end_at]) if end_at < len(lookup.words) and lookup.words[end_at] == END else 0
         for batch in batches:
@@ -275,13 +373,13 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
             for texts in parts_of(batch.column(batch.schema.get_field_index("text"))):
                 words = words_of(texts, PLAIN)
                 classes, counts = lookup.find(words)
-                token, row, before = _contexts(words, classes, 0)
+                tokens_of, row = _tokens(words, classes, sizes)
                 n = len(texts)
-                total = np.bincount(row, class_log_probs(flat.value, token, before) / math.log(10) - inside[token], n)
+                total = np.bincount(row, class_log_probs(flat.value, *tokens_of, cells.value) / math.log(10), n)
                 known = counts >= 0
                 logs = np.log10(np.maximum(counts, 0) + 1.0)
                 base_part = np.bincount(words.row, logs, n) + math.log10(ends + 1)
-                within = np.bincount(words.row, np.where(classes >= OWN, logs, 0.0), n)
+                within = np.bincount(words.row, np.where(classes >= sizes.own, logs, 0.0), n)
                 tokens = np.bincount(row, minlength=n)
                 rare = words.hash[~known].view(np.int64)
                 starts = np.searchsorted(words.row[~known], np.arange(n + 1)).astype(np.int32)

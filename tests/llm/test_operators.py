@@ -92,6 +92,34 @@ def test_lm_goes_over_few_texts_once(spark):
     assert np.allclose(found, once.flat, atol=1e-6)
 
 
+def test_lm_tells_words_of_one_ending_apart(spark):
+    assert lm_scoring.sizes_for(10**8).classes == lm_scoring.sizes_for(10**8).slots == 10**4
+    rng = np.random.default_rng(2)
+    texts = [" ".join(x for p in rng.integers(0, 400, 40) for x in (f"q{p}zing", f"r{p}zing")) for i in range(600)]
+    held = ["q7zing r7zing q301zing r301zing", "q7zing r301zing q301zing r7zing"]
+    docs = spark.createDataFrame(list(enumerate(texts + held)), "doc_id long, text string").coalesce(1)
+    scores = [r.score for r in lm_scoring.scored(docs, F.col("doc_id") >= len(texts)).where("held_out").orderBy("doc_id").collect()]
+    assert abs(scores[0] - scores[1]) > 1e-3
+
+
+def test_lm_is_normalised_over_slots():
+    rng = np.random.default_rng(3)
+    sizes = lm_scoring.Sizes(8, 4, 6)
+    cells = rng.integers(1, 50, (4, 6)).astype(np.float32)
+    shares = rng.dirichlet(np.ones(8))
+    trainer = lm_scoring.Trainer(lm_scoring.started(shares, 6), shares, cells)
+    token = rng.integers(0, 8, 3000).astype(np.int32)
+    slot = np.where(token >= 4, rng.integers(0, 6, 3000), 6).astype(np.int32)
+    before, slots_before = np.full((4, 3000), 8, np.int32), np.full((4, 3000), 6, np.int32)
+    before[0, 1:], slots_before[0, 1:] = token[:-1], slot[:-1]
+    trainer.learn(token, before, slot, slots_before)
+    every = [(c, 6, 1.0) for c in range(4)] + [(4 + c, b, cells[c, b]) for c in range(4) for b in range(6)]
+    c, b, mass = (np.array(x) for x in zip(*every))
+    k = len(every)
+    logs = lm_scoring.class_log_probs(trainer.flat, c, np.repeat(before[:, 9:10], k, 1), b, np.repeat(slots_before[:, 9:10], k, 1), cells)
+    assert (np.exp(logs) * mass).sum() == pytest.approx(1, abs=1e-5) and trainer.sizes == sizes
+
+
 def filled(sizes, weights, total):
     """Shares by weight; what is above a cap is shared again until nothing is."""
     targets, left, open_ = {}, total, sorted(sizes)
