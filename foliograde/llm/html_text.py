@@ -1,9 +1,9 @@
 """Main text of web pages: named boilerplate goes, and so do subtrees that many pages of a host share.
 
 A page is read into a list of nodes, each with its parent, so that depth costs no recursion.  Every block subtree has a
-hash of its tags and words.  Spark counts on how many different pages of a host a subtree occurs; those above a share
-of the host's pages are its template and are deleted.  Paragraphs and headings of an article are never taken for a
-template, however often they recur.
+hash of its tags and words.  Spark counts on how many different pages of a host a subtree occurs; those on many pages
+are its template and are deleted.  Paragraphs, list items and quotes go by themselves only if half of the host's pages
+have them; headings and table cells only with a block around them.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ from pyspark.sql import types as T
 
 from foliograde.llm.common import saved
 
-#: A subtree is a template from so many different pages of a host on, and from that share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
-#: Most template subtrees that are broadcast (8 bytes each, and their hosts).
+#: A subtree on so many different pages of a host is a template.  On fewer it is one from LEAST_PAGES and that share of
+#: the host's pages on, and on a host of less than LEAST_PAGES pages if more than half of them have it.
+MANY_PAGES, LEAST_PAGES, LEAST_SHARE = 20, 5, 0.2
+#: The same for a paragraph or another block of text alone, at any number of pages.
+TEXT_SHARE = 0.5
+#: Most template subtrees that every executor gets (8 bytes each, and their hosts); more are joined.
 BROADCAST_SUBTREES = 500_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +36,7 @@ BLOCK = frozenset(
     "html body main article section div header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody "
     "tfoot tr td th blockquote pre figure figcaption address details summary hr br form fieldset center hgroup".split())
 TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead figcaption summary caption".split())
+ALONE = frozenset("p blockquote pre li dd figcaption summary".split())
 KEPT = frozenset(("html", "body", "main", "article"))
 #: Start tags that end an open element of the first kind, up to one of the second.
 CLOSES = {
@@ -144,7 +148,7 @@ class Page:
         self.has_main = bool(mains)
 
     def subtrees(self) -> dict[int, int]:
-        """Hash of every block subtree that could be a template."""
+        """Hash of every block subtree that could be a template; odd for blocks of text."""
         digests = [xxhash.xxh64() for _ in self.tags]
         order: list[list] = [[] for _ in self.tags]
         for parent, item in self.items:
@@ -157,9 +161,9 @@ class Page:
                 digest.update(hashes[item].to_bytes(8, "little") if isinstance(item, int) else " ".join(item.split()).encode("utf-8", "replace"))
             hashes[node] = digest.intdigest()
         return {
-            node: hashes[node] - (1 << 64 if hashes[node] >> 63 else 0) for node in range(1, len(self.tags))
+            node: (hashes[node] - (1 << 64 if hashes[node] >> 63 else 0)) & ~1 | (self.tags[node] in TEXT_BLOCK) for node in range(1, len(self.tags))
             if not self.dropped[node] and self.tags[node] in BLOCK and self.tags[node] not in KEPT and self.tags[node] not in VOID
-            and self.inside[node] == self.has_main and not (self.has_main and self.tags[node] in TEXT_BLOCK)
+            and self.inside[node] == self.has_main and (self.tags[node] not in TEXT_BLOCK or self.tags[node] in ALONE)
         }
 
     def text(self, template: frozenset[int]) -> str:
@@ -213,25 +217,35 @@ def _subtrees(sources: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def _texts(sources: pa.Array, templates: pa.Array) -> pa.Array:
-    sets: dict[tuple, frozenset] = {}
-    out = []
-    for source, template in zip(sources.to_pylist(), templates.to_pylist()):
-        key = tuple(template or ())
-        out.append(Page(source).text(sets.setdefault(key, frozenset(key))) if source else "")
-    return pa.array(out, pa.string())
+    return pa.array([Page(source).text(frozenset(template or ())) if source else "" for source, template in zip(sources.to_pylist(), templates.to_pylist())], pa.string())
+
+
+def _texts_by(shared):
+    """Texts by the templates of each host, which every executor has."""
+    def texts(sources: pa.Array, hosts: pa.Array) -> pa.Array:
+        of, none = shared.value, frozenset()
+        return pa.array([Page(source).text(of.get(host, none)) if source else "" for source, host in zip(sources.to_pylist(), hosts.to_pylist())], pa.string())
+
+    return F.arrow_udf(T.StringType())(texts)
+
+
+def _each(pages: DataFrame) -> DataFrame:
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), _subtrees(F.coalesce("html", F.lit(""))).alias("subtrees"))
+    return seen.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "subtrees")).alias("subtree")).distinct()
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """For each host the hashes of the subtrees that recur: host, template.
+    """The subtrees of each host that recur on many of its pages: host, template (a hash).
 
-    Pages with equal html count once.  A host has few template subtrees, as each is on a share of its pages.
+    Pages with equal html count once.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), _subtrees(F.coalesce("html", F.lit(""))).alias("subtrees"))
-    each = seen.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "subtrees")).alias("subtree")).distinct()
-    counts = saved(each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("subtree").isNull() | (F.col("n") >= LEAST_PAGES)), "subtrees")
+    counts = saved(_each(pages).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("subtree").isNull() | (F.col("n") > 1)), "subtrees")
     totals = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("subtree IS NOT NULL").join(totals, "host").where(F.col("n") >= F.col("pages") * F.lit(LEAST_SHARE))
-    return saved(often.groupBy("host").agg(F.array_sort(F.collect_set("subtree")).alias("template")), "templates")
+    n, many = F.col("n"), F.col("pages")
+    block = F.when(many < LEAST_PAGES, n * 2 > many).otherwise((n >= MANY_PAGES) | (n >= LEAST_PAGES) & (n >= many * LEAST_SHARE))
+    text = (n >= LEAST_PAGES) & (n >= many * TEXT_SHARE)
+    often = counts.where("subtree IS NOT NULL").join(F.broadcast(totals) if totals.count() <= BROADCAST_SUBTREES else totals, "host")
+    return saved(often.where(F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, text).otherwise(block)).select("host", F.col("subtree").alias("template")), "templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -241,8 +255,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     worked out each; other columns are not read.  White space of any kind becomes one space.
     """
     found = templates(pages)
-    size = found.agg(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).first()[0]
+    html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST_SUBTREES else found, "host", "left")
-    return joined.select("page_id", "url", _texts(F.coalesce("html", F.lit("")), F.coalesce("template", F.array().cast("array<bigint>"))).alias("text")).withColumn(
-        "n_chars", F.length("text").cast("long"))
+    if found.count() <= BROADCAST_SUBTREES:
+        of: dict[str, set[int]] = {}
+        for host, template in zip(*(column.to_pylist() for column in found.toArrow().columns)):  # BROADCAST_SUBTREES rows at most
+            of.setdefault(host, set()).add(template)
+        text = _texts_by(pages.sparkSession.sparkContext.broadcast({host: frozenset(x) for host, x in of.items()}))(html, F.col("host"))
+    else:
+        own = _each(pages).withColumnRenamed("subtree", "template").join(found, ["host", "template"]).groupBy("host", "page").agg(F.collect_set("template").alias("templates"))
+        rows = rows.withColumn("page", F.xxhash64("html")).join(own, ["host", "page"], "left")
+        text = _texts(html, F.coalesce("templates", F.array().cast("array<bigint>")))
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

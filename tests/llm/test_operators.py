@@ -321,6 +321,20 @@ def test_pages(spark):
     assert html_text.main_text(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_templates_by_count(spark, most):
+    menu, notice = "<div><a>Section</a> <a>menu</a></div>", "<p>This site is being moved.</p>"
+    page = "<body>{}<main>{}<p>Own words {} here</p><h2>{}</h2></main></body>"
+    pages = [(i, f"http://big/{i}", page.format("", notice + (menu if i < 30 else ""), i, "Conclusion")) for i in range(250)]
+    pages += [(1000 + i, f"http://small/{i}", page.format("", menu, i, "End")) for i in range(2)]
+    keep, html_text.BROADCAST_SUBTREES = html_text.BROADCAST_SUBTREES, most
+    try:
+        found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    finally:
+        html_text.BROADCAST_SUBTREES = keep
+    assert found == {i: f"Own words {i % 1000} here {'Conclusion' if i < 1000 else 'End'}" for i, _, _ in pages}
+
+
 def shards_are_right(rows, shards):
     sizes = collections.Counter(r.shard for r in rows)
     counts = [sizes[j] for j in range(shards)]
