@@ -99,12 +99,12 @@ def route_with_lexicon(df: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id"
                        text: str = "text", limit: int = LEXICON_EXPRESSION_LIMIT) -> DataFrame:
     """Best type per document from a lexicon table ``(doc_type, keyword, priority)``.
 
-    A lexicon of configuration size becomes literals.  A larger one is joined with
-    the character sequences of the texts (see ``_route_by_join``).  Documents without a hit are ``unknown``.
+    A lexicon of configuration size becomes literals.  A larger one becomes an index of character
+    sequences (see ``lexicon_hits``).  Documents without a hit are ``unknown``.
     """
     rows = small_rows(lexicon.select("doc_type", "keyword", "priority").distinct(), limit)
     if rows is None:
-        return _route_by_join(df, lexicon, doc_id, text)
+        return _route_by_index(df, lexicon, doc_id, text)
     by_type: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.priority, r.doc_type, r.keyword)):
         if row.keyword not in by_type.setdefault(row.doc_type, []):
@@ -124,26 +124,116 @@ def route_with_lexicon(df: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id"
     )
 
 
-def _route_by_join(df: DataFrame, lexicon: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lexicon routing by equi-join, for lexicons of any size.
+#: Lengths of the character sequences that keywords are filed under.
+GRAM_SIZES = (8, 5, 3, 2, 1, 0)
+#: Most bits of the filter of filed sequences (1 MB); a fuller filter lets more through, the result stays the same.
+FILTER_BITS = 1 << 23
+#: Most keywords whose index is broadcast (about 100 bytes each).
+BROADCAST_KEYWORDS = 1_000_000
 
-    A text holds a keyword exactly if one of its character sequences of the keyword's length
-    is the keyword, so texts are cut into their distinct sequences, one length after the other,
-    and joined on equality.  Types rank as with literals: most keywords, then the least priority
-    of any of the type's keywords, then the name.
+
+def _grams(text: Column, size: int) -> Column:
+    """The character sequences of a length; of length 0 there is one.  Short ones are distinct, long ones nearly so."""
+    if size == 0:
+        return F.array(F.lit(""))
+    every = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.array_distinct(every) if size <= 3 else every
+
+
+def _place(gram: Column, bits: int) -> tuple[Column, Column]:
+    """Where a gram is marked in a set of ``bits`` bits, a power of two: the word and the two bits in it."""
+    place = F.xxhash64(gram)
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", place, F.lit(at)).bitwiseAND(F.lit(63)).cast("int"))
+    return F.call_function("shiftright", place.bitwiseAND(F.lit(bits - 1)), F.lit(6)).cast("int"), one(0).bitwiseOR(one(26))
+
+
+def keyword_index(lexicon: DataFrame) -> DataFrame:
+    """Each keyword of a lexicon table, filed under the rarest character sequence it holds.
+
+    Returns size and gram (a keyword of length n has the largest size up to n), keyword and types (type and the least
+    priority of any of the type's keywords).  A text that holds the keyword holds the sequence.  Rare is what few
+    keywords hold; ties go to the first in order.  Null keywords are left out.
     """
-    lex = lexicon.select("doc_type", "keyword", "priority").distinct()
+    lex = lexicon.where("keyword IS NOT NULL").select("doc_type", "keyword", "priority").distinct()
     ranks = lex.groupBy("doc_type").agg(F.min("priority").alias("rank"))
-    words = lex.select("doc_type", "keyword").distinct().join(ranks, "doc_type")
-    lengths = [r[0] for r in lex.select(F.length("keyword")).distinct().collect()]
-    lowered = df.select(doc_id, F.lower(text).alias("_lower"))
-    found = []
-    for n in lengths:
-        cut = F.regexp_extract_all(F.col("_lower"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        own = F.array(F.lit("")) if n == 0 else F.array_distinct(cut)
-        pieces = lowered.where("_lower IS NOT NULL").select(doc_id, F.explode(own).alias("keyword"))
-        found.append(pieces.join(words.filter(F.length("keyword") == n), "keyword").select(doc_id, "doc_type", "rank"))
-    hits = reduce(DataFrame.unionByName, found) if found else lowered.limit(0).select(doc_id, F.lit("").alias("doc_type"), F.lit(0).alias("rank"))
+    words = lex.select("doc_type", "keyword").distinct().join(ranks, "doc_type").groupBy("keyword").agg(
+        F.collect_list(F.struct("doc_type", "rank")).alias("types"))
+    length = F.length("keyword")
+    size = reduce(lambda other, n: F.when(length >= n, n).otherwise(other), reversed(GRAM_SIZES), F.lit(0))
+    held = reduce(lambda other, n: F.when(length >= n, F.array_distinct(_grams(F.col("keyword"), n))).otherwise(other), reversed(GRAM_SIZES), F.array(F.lit("")))
+    filed = words.select("keyword", size.alias("size"), F.explode(held).alias("gram"))
+    rare = filed.groupBy("size", "gram").agg(F.count("*").alias("holders"))
+    best = filed.join(rare, ["size", "gram"]).groupBy("keyword", "size").agg(F.min(F.struct("holders", "gram")).alias("best"))
+    return best.join(words, "keyword").select("size", F.col("best.gram").alias("gram"), "keyword", "types")
+
+
+def _filter_of(index: DataFrame) -> tuple[int, dict[int, Column], int]:
+    """Keywords in the index, a bit set per size that marks the hashes of its grams, and the bits of a set."""
+    sizes = index.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row per size
+    total = sum(r.n for r in sizes)
+    bits = min(FILTER_BITS, 1 << max(10, (32 * max([r.n for r in sizes], default=0)).bit_length()))
+    word, mark = _place(F.col("gram"), bits)
+    marked = index.select("size", word.alias("word"), mark.alias("bit"))
+    words = marked.groupBy("size", "word").agg(F.bit_or("bit").alias("bits")).collect()  # bits / 64 rows a size at most
+    sets: dict[int, Column] = {}
+    for size in (r["size"] for r in sizes):
+        own = [0] * (bits // 64)
+        for row in words:
+            if row["size"] == size:
+                own[row["word"]] = row["bits"]
+        # folded to one array literal before the plan runs
+        sets[size] = F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>")
+    return total, sets, bits
+
+
+def near_grams(df: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The sequences of the lower-cased texts that may be filed in the index: doc_id, _lower (the text), size and gram.
+
+    All others are left out within the row, by a bit set of what is filed (built by one job over the index).
+    """
+    return _near(df, _filter_of(index), doc_id, text)
+
+
+def _near(df: DataFrame, filter_of: tuple[int, dict[int, Column], int], doc_id: str, text: str) -> DataFrame:
+    _, sets, bits = filter_of
+    lowered = df.select(doc_id, F.lower(text).alias("_lower")).where("_lower IS NOT NULL")
+    if not sets:
+        return lowered.limit(0).select(doc_id, "_lower", F.lit(0).alias("size"), F.lit("").alias("gram"))
+
+    def filed(gram: Column, size: int) -> Column:
+        word, mark = _place(gram, bits)
+        return F.get(sets[size], word).bitwiseAND(mark) == mark
+
+    def kept(size: int) -> Column:
+        own = F.array_distinct(F.filter(f"_g{size}", lambda gram: filed(gram, size)))
+        return F.transform(own, lambda gram: F.struct(F.lit(size).alias("size"), gram.alias("gram")))
+
+    grams = with_once(lowered, {f"_g{n}": _grams(F.col("_lower"), n) for n in sets})
+    return grams.select(doc_id, "_lower", F.explode(F.concat(*map(kept, sets))).alias("_at")).select(doc_id, "_lower", "_at.size", "_at.gram")
+
+
+def lexicon_hits(df: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Which keywords of the index the lower-cased texts hold: doc_id, keyword and types, one row each.
+
+    Sequences that may be filed meet the index by equality, and one ``contains`` settles each keyword.  An index beyond
+    BROADCAST_KEYWORDS is met by a shuffle of ids and sequences, and the texts join the candidates afterwards.
+    """
+    filter_of = _filter_of(index)
+    near = _near(df, filter_of, doc_id, text)
+    if filter_of[0] <= BROADCAST_KEYWORDS:
+        found = near.join(F.broadcast(index), ["size", "gram"])
+    else:
+        candidates = near.select(doc_id, "size", "gram").join(index, ["size", "gram"]).select(doc_id, "keyword", "types")
+        found = candidates.join(df.select(doc_id, F.lower(text).alias("_lower")), doc_id)
+    return found.where(F.contains("_lower", F.col("keyword"))).select(doc_id, "keyword", "types")
+
+
+def _route_by_index(df: DataFrame, lexicon: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Lexicon routing for lexicons of any size (see ``lexicon_hits``).
+
+    Types rank as with literals: most keywords, then the least priority of any of the type's keywords, then the name.
+    """
+    hits = lexicon_hits(df, keyword_index(lexicon), doc_id, text).select(doc_id, F.inline("types"))
     per_type = hits.groupBy(doc_id, "doc_type", "rank").agg(F.count("*").alias("n"))
     best = per_type.groupBy(doc_id).agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("rank"), F.col("doc_type"))).alias("best"))
     return df.select(doc_id).join(best, doc_id, "left").select(

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,45 @@ def test_lexicon_paths_agree_on_priorities(spark):
     small = sorted(routing.route_with_lexicon(docs, lexicon).collect())
     assert small == sorted(routing.route_with_lexicon(docs, lexicon, limit=0).collect())
     assert [r.doc_type for r in small][:2] == ["b", "c"]
+
+
+def plain_hits(texts, keywords):
+    return {(i, k) for i, t in texts if t is not None for k in keywords if k in t.lower()}
+
+
+def test_lexicon_hits_of_odd_texts_and_keywords(spark):
+    keywords = ["", "a", "ab", "abc", "abcdefgh", "abcdefghi", "aaaa", "aaaaaaaaaaaa", "é", "日本語", "\n", "$&|.*", "\U0001F600x", "zz", "never held by any"]
+    texts = list(enumerate([None, "", "ABC", "xxabcdefghixx", "a" * 300, "É a\nb", "日本語テキスト", "($&|.*)", "😀x \U0001F600X", "z z", "no" * 5000 + "zz"]))
+    lexicon = spark.createDataFrame([("t", k, 1) for k in keywords] + [("u", "abc", 2), ("u", None, 3), ("t", "abc", 4)], "doc_type string, keyword string, priority int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = routing.lexicon_hits(docs, routing.keyword_index(lexicon)).collect()
+    assert {(r.doc_id, r.keyword) for r in found} == plain_hits(texts, keywords) and len(found) == len(plain_hits(texts, keywords))
+    assert {tuple(sorted((t.doc_type, t["rank"]) for t in r.types)) for r in found if r.keyword == "abc"} == {(("t", 1), ("u", 2))}
+    assert routing.lexicon_hits(docs, routing.keyword_index(lexicon.limit(0))).count() == 0
+
+
+def large_lexicon(n=100_000):
+    """Keywords of ten lengths, nearly all of them in no text."""
+    rng = random.Random(4)
+    return list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5 + i % 10)) for i in range(n)})
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_large_lexicon_makes_few_rows(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(routing, "BROADCAST_KEYWORDS", 10)
+    keywords = large_lexicon()
+    rng = random.Random(6)
+    texts = [(i, " ".join(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)] + rng.sample(keywords, 3))) for i in range(60)]
+    lexicon = spark.createDataFrame([(f"t{hash(k) % 7}", k, len(k)) for k in keywords], "doc_type string, keyword string, priority int")
+    index = routing.keyword_index(lexicon)
+    assert index.count() == len(keywords)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    hits = routing.lexicon_hits(docs, index)
+    found = {(r.doc_id, r.keyword) for r in hits.collect()}
+    by_length = {n: {k for k in keywords if len(k) == n} for n in {len(k) for k in keywords}}
+    expected = {(i, t[at:at + n]) for i, t in texts for n, ks in by_length.items() for at in range(len(t) - n + 1) if t[at:at + n] in ks}
+    assert found == expected and len(found) >= 3 * len(texts)
+    # of about 2,100 characters a text only filed sequences become rows, few more than there are hits
+    rows = routing.near_grams(docs, index).count()
+    assert len(found) <= rows <= 0.02 * sum(len(t) for _, t in texts)
