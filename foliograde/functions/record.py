@@ -82,8 +82,9 @@ class VariantCell(Cell):
     printed value leaves the kind open.
     """
 
-    def __init__(self, record: Column, name: str):
-        self.record, self.path = record, f"$['{name}']"
+    def __init__(self, record: Column, name: str | None = None):
+        """The value of a key of ``record``, or ``record`` itself."""
+        self.record, self.path = record, "$" if name is None else f"$['{name}']"
 
     def get(self, kind: str) -> Column:
         """The value read as a Spark type; null if it cannot be."""
@@ -111,7 +112,7 @@ class VariantCell(Cell):
 
     @cached_property
     def is_text(self) -> Column:
-        open_kind = self.printed.rlike(r"^(?:-?[0-9]|true$|false$|[\[{])")
+        open_kind = self.printed.rlike(r"^(?:-?[0-9]|-?Infinity$|NaN$|true$|false$|[\[{])")
         return F.when(self.missing, False).when(open_kind, self.kind == "STRING").otherwise(True)
 
     @cached_property

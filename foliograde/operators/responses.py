@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliograde import fixed_values as fv
 from foliograde.functions.once import with_once
-from foliograde.functions.record import FreeRecord
+from foliograde.functions.record import VariantCell
 from foliograde.operators import freeform
 from foliograde.schemas import KEY_DEFAULTS, RECORD_TYPES
 
@@ -19,18 +21,27 @@ def unfenced(response: Column) -> Column:
     return F.when(F.contains(response, F.lit("```")) & (F.length(inside) > 0), inside).otherwise(response)
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+def _raw(schema: T.StructType) -> T.StructType:
+    """The type in which a record is read: every value a VARIANT, lists as lists of such structs."""
+    return T.StructType([
+        T.StructField(f.name, T.ArrayType(_raw(f.dataType.elementType)) if isinstance(f.dataType, T.ArrayType) else T.VariantType())
+        for f in schema.fields])
 
 
-def parsed_object(response: Column) -> Column:
-    """The reply as a VARIANT object; null if it is not one.
+def read_object(response: Column, schema: T.StructType) -> Column:
+    """The reply as a struct of VARIANTs, one per key of ``schema``; null if it is not one JSON object.
 
-    The parser stops after the first value.  In brackets, text behind it breaks the list or makes
-    it longer than one.
+    One pass of the parser: a key that is absent is null, one that is null is a null VARIANT; of repeated keys the last
+    one counts; NaN is a number.  Something that is no list of objects where a list belongs (null aside), also under a key
+    that is repeated later, makes the reply unreadable.  The parser stops after the first value, so the reply is read as the one element of a list with
+    something behind it: text after the object breaks that.
     """
-    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), unfenced(response), F.lit("]"))), "$", "array<variant>")
-    return F.when((F.size(items) == 1) & is_object(F.get(items, F.lit(0))), F.get(items, F.lit(0)))
+    whole = T.StructType([T.StructField("reply", T.ArrayType(_raw(schema))), T.StructField("end", T.IntegerType()), T.StructField("unread", T.StringType())])
+    framed = F.concat(F.lit('{"reply":['), unfenced(response), F.lit('],"end":0}'))
+    read = F.from_json(framed, whole, {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "unread"})
+    # the element is picked by a filter, so that the parse is written once
+    fine = F.filter(F.array(read), lambda r: r["unread"].isNull() & r["end"].isNotNull() & (F.size(r["reply"]) == 1))
+    return F.get(F.get(fine, F.lit(0))["reply"], F.lit(0))
 
 
 def braced(response: Column) -> Column:
@@ -44,62 +55,83 @@ def braced(response: Column) -> Column:
 # --- typed parsing ---------------------------------------------------------------------
 
 
-def _typed_value(record: Column, field: T.StructField) -> tuple[Column, Column]:
-    """A field's value and whether it is acceptable."""
-    cell = FreeRecord(record).cell(field.name)
-    absent = cell.value.isNull()
-    if isinstance(field.dataType, T.ArrayType):
-        items = cell.get("array<variant>")
-        element = field.dataType.elementType
-        good = absent | (items.isNotNull() & F.forall(
-            items, lambda x: is_object(x) & acceptable(x, element)))
-        rows = F.transform(items, lambda x: typed_record(x, element))
-        return F.when(absent, F.array().cast(field.dataType)).otherwise(rows), good
+def _scalar(raw: Column, field: T.StructField) -> Column:
+    """A field's value and whether it is acceptable, as one struct."""
+    cell, absent = VariantCell(raw), raw.isNull()
     if isinstance(field.dataType, T.DoubleType):
         if field.name == "confidence":
             number = F.when(absent, KEY_DEFAULTS["confidence"]).otherwise(cell.number)
-            return number, F.coalesce((number >= 0) & (number <= 1), F.lit(False))
-        return cell.number, cell.missing | cell.number.isNotNull()
-    good = cell.is_text if field.metadata.get("required") else cell.missing | cell.is_text
-    text = cell.get("string")
-    if field.name in KEY_DEFAULTS:
-        text = F.when(absent, KEY_DEFAULTS[field.name]).otherwise(text)
-    return text, good
-
+            value, good = number, (number >= 0) & (number <= 1)
+        else:
+            value, good = cell.number, cell.missing | cell.number.isNotNull()
+    else:
+        good = cell.is_text if field.metadata.get("required") else cell.missing | cell.is_text
+        value = F.when(absent, KEY_DEFAULTS[field.name]).otherwise(cell.printed) if field.name in KEY_DEFAULTS else cell.printed
+    return F.struct(value.cast(field.dataType).alias("value"), F.coalesce(good, F.lit(False)).alias("good"))
 
-def typed_record(record: Column, schema: T.StructType) -> Column:
-    """A VARIANT object read as a record type; absent keys get their defaults."""
-    return F.struct(*[_typed_value(record, f)[0].cast(f.dataType).alias(f.name) for f in schema.fields])
 
+def _cells(raw: Column, schema: T.StructType) -> Column:
+    """For each field the struct of ``_scalar``; for a list those of its elements, null for an element that is none."""
+    def cell(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType):
+            return F.transform(raw.getField(f.name), lambda x: F.when(x.isNotNull(), _cells(x, f.dataType.elementType)))
+        return _scalar(raw.getField(f.name), f)
+    return F.struct(*[cell(f).alias(f.name) for f in schema.fields])
 
-def acceptable(record: Column, schema: T.StructType) -> Column:
-    """True if every key the type knows is absent, null where allowed, or of the right kind.
 
-    Numbers may come as numeric text; text must be text; a list must be a list of
-    acceptable objects.
-    """
+def _all_good(cells: Column, schema: T.StructType) -> Column:
     good = F.lit(True)
     for f in schema.fields:
-        good = good & _typed_value(record, f)[1]
+        own = cells.getField(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            element = f.dataType.elementType
+            good = good & F.coalesce(F.forall(own, lambda x: x.isNotNull() & _all_good(x, element)), F.lit(True))
+        else:
+            good = good & own.getField("good")
     return F.coalesce(good, F.lit(False))
 
 
+def _values(cells: Column, schema: T.StructType) -> Column:
+    def value(f: T.StructField) -> Column:
+        own = cells.getField(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            rows = F.transform(own, lambda x: _values(x, f.dataType.elementType))
+            return F.coalesce(rows, F.array()).cast(f.dataType)
+        return own.getField("value")
+    return F.struct(*[value(f).alias(f.name) for f in schema.fields])
+
+
+def _null_list(response: Column, raw: Column, schema: T.StructType) -> Column:
+    """True if a list of the record is given as null, which is not the same as left out."""
+    def given(name: str) -> Column:
+        keys = F.json_object_keys(unfenced(response))  # null where there is a NaN, which it does not read
+        return F.coalesce(F.array_contains(keys, name), response.rlike(rf'"{name}"\s*:\s*null'))
+    lists = [raw.getField(f.name).isNull() & given(f.name) for f in schema.fields if isinstance(f.dataType, T.ArrayType)]
+    return reduce(lambda a, b: a | b, lists, F.lit(False))
+
+
 def parse_typed(df: DataFrame, response: str = "response",
                 record_types: dict[str, T.StructType] = RECORD_TYPES) -> DataFrame:
     """Add one struct column per record type and ``typed_ok``.
 
-    Only the struct of the document's ``doc_type`` is filled, and only if the reply parses.
+    Only the struct of the document's ``doc_type`` is filled, and only if the reply parses: every
+    key the type knows is absent, null where allowed, or of the right kind.  Numbers may come as
+    numeric text; text must be text; a list must be a list of acceptable objects.  Absent keys get
+    their defaults.  Each reply is parsed once, each value read once.
     """
-    df = with_once(df, {"_reply": parsed_object(F.col(response))})
-    ok = F.lit(False)
-    for name, schema in record_types.items():
-        ok = F.when((F.col("doc_type") == name) & F.col("_reply").isNotNull(),
-                    acceptable(F.col("_reply"), schema)).otherwise(ok)
+    def when_type(name: str, value: Column) -> Column:
+        return F.when(F.col("doc_type") == name, value)
+
+    raw, cells = ({name: f"_{kind}_{name}" for name in record_types} for kind in ("raw", "cells"))
+    df = with_once(df, {raw[n]: when_type(n, read_object(F.col(response), schema)) for n, schema in record_types.items()})
+    df = with_once(df, {
+        cells[n]: F.when(F.col(raw[n]).isNotNull() & ~_null_list(F.col(response), F.col(raw[n]), schema), _cells(F.col(raw[n]), schema))
+        for n, schema in record_types.items()}).drop(*raw.values())
+    ok = reduce(lambda a, b: a | b, [F.col(cells[n]).isNotNull() & _all_good(F.col(cells[n]), schema) for n, schema in record_types.items()], F.lit(False))
     df = with_once(df, {"typed_ok": F.coalesce(ok, F.lit(False))})
     return with_once(df, {
-        name: F.when(F.col("typed_ok") & (F.col("doc_type") == name),
-                     typed_record(F.col("_reply"), schema))
-        for name, schema in record_types.items()}).drop("_reply")
+        name: F.when(F.col("typed_ok") & F.col(cells[name]).isNotNull(), _values(F.col(cells[name]), schema))
+        for name, schema in record_types.items()}).drop(*cells.values())
 
 
 # --- outcome ------------------------------------------------------------------------------

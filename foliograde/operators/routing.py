@@ -10,13 +10,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliograde import fixed_values as fv
 from foliograde.functions import confidence as cf
 from foliograde.functions import text as tx
 from foliograde.functions.once import with_once
-from foliograde.functions.record import FreeRecord
-from foliograde.operators.responses import parsed_object
+from foliograde.functions.record import VariantCell
+from foliograde.operators.responses import read_object
 from foliograde.session import small_rows
 
 Lexicon = dict[str, list[str]]
@@ -244,29 +245,32 @@ def _route_by_index(df: DataFrame, lexicon: DataFrame, doc_id: str, text: str) -
 # --- model responses -----------------------------------------------------------------
 
 
-def read_routing_response(response: Column, types: list[str] = fv.DOC_TYPES) -> Column:
-    """A model's routing reply as ``struct<doc_type, confidence, reasoning>``.
+#: What a routing reply may hold.
+ROUTING_REPLY = T.StructType([T.StructField(name, T.StringType()) for name in ("doc_type", "confidence", "reasoning")])
+
+
+def with_routing_reply(df: DataFrame, response: str = "response", types: list[str] = fv.DOC_TYPES, out: str = "reply") -> DataFrame:
+    """Add a model's routing reply as ``struct<doc_type, confidence, reasoning>``.
 
     An unlisted type becomes ``unknown`` with confidence 0.  A reply that is no JSON
     object, or whose confidence is missing or no number for a listed type, has failed.
-    Confidence is brought into [0, 1].
+    Confidence is brought into [0, 1].  The reply is parsed once, and each of its values read once.
     """
-    data = parsed_object(response)
-    reply = FreeRecord(data)
-    doc_type, confidence, reasoning = (reply.cell(n) for n in ("doc_type", "confidence", "reasoning"))
-    listed = F.coalesce(doc_type.is_text & doc_type.text.isin(types), F.lit(False))
-    failed = data.isNull() | (listed & (confidence.number.isNull() | confidence.is_text))
-
-    def row(t, c, r) -> Column:
-        return F.struct(t.alias("doc_type"), c.alias("confidence"), r.alias("reasoning"))
-
-    return (
-        F.when(failed, row(F.lit(fv.UNKNOWN), F.lit(0.0), F.concat(
-            F.lit(fv.CLASSIFICATION_FAILED),
-            F.when(data.isNull(), "Invalid response format").otherwise("no usable confidence"))))
-        .when(~listed, row(F.lit(fv.UNKNOWN), F.lit(0.0), reasoning.text))
-        .otherwise(row(doc_type.text, cf.unit_range(confidence.number), reasoning.text))
-    )
+    df = with_once(df, {"_read": read_object(F.col(response), ROUTING_REPLY)})
+    kind, sure, why = (VariantCell(F.col("_read")[name]) for name in ROUTING_REPLY.fieldNames())
+    df = with_once(df, {
+        "_given": F.col("_read").isNotNull(),
+        "_type": F.when(kind.is_text & kind.printed.isin(types), kind.printed),
+        "_sure": F.when(~sure.is_text, sure.number),
+        "_why": why.text})
+    failure = F.concat(F.lit(fv.CLASSIFICATION_FAILED), F.when(F.col("_given"), "no usable confidence").otherwise("Invalid response format"))
+    listed, usable = F.col("_type").isNotNull(), F.col("_type").isNull() | F.col("_sure").isNotNull()
+    fine = F.col("_given") & usable
+    reply = F.struct(
+        F.when(fine & listed, F.col("_type")).otherwise(fv.UNKNOWN).alias("doc_type"),
+        F.when(fine & listed, cf.unit_range(F.col("_sure"))).otherwise(0.0).alias("confidence"),
+        F.when(fine, F.col("_why")).otherwise(failure).alias("reasoning"))
+    return with_once(df, {out: reply}).drop("_read", "_given", "_type", "_sure", "_why")
 
 
 def route(df: DataFrame, responses: DataFrame | None, doc_id: str = "doc_id", text: str = "text",
@@ -280,8 +284,8 @@ def route(df: DataFrame, responses: DataFrame | None, doc_id: str = "doc_id", te
         df = df.join(responses.select(doc_id, F.col("response").alias("_response")), doc_id, "left")
         empty = F.struct(F.lit(fv.UNKNOWN).alias("doc_type"), F.lit(0.0).alias("confidence"),
                          F.lit(fv.NO_TEXT_CONTENT).alias("reasoning"))
-        df = with_once(df, {"_model": F.when(~tx.has_text(F.col(text)), empty).otherwise(
-            read_routing_response(F.col("_response"), list(lexicon)))}).drop("_response")
+        df = with_routing_reply(df, "_response", list(lexicon), "_model").drop("_response")
+        df = with_once(df, {"_model": F.when(tx.has_text(F.col(text)), F.col("_model")).otherwise(empty)})
     df = route_by_keywords(df, text, lexicon, prefix="_kw_") if use_fallback else df
 
     def pick(part: str) -> Column:

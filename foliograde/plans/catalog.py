@@ -311,9 +311,8 @@ def route_segments(spark, sf):
 
 @query
 def route_model(spark, sf):
-    reply = routing.read_routing_response(F.col("response"))
-    return inputs.routing_replies(spark, sf).select("doc_id", reply.alias("r")).select(
-        "doc_id", "r.doc_type", r6("r.confidence").alias("confidence"), "r.reasoning")
+    df = routing.with_routing_reply(inputs.routing_replies(spark, sf))
+    return df.select("doc_id", "reply.doc_type", r6("reply.confidence").alias("confidence"), "reply.reasoning")
 
 
 @query
@@ -417,8 +416,7 @@ def echo_length(batch: pd.DataFrame) -> pd.Series:
 def model_apply_stub(spark, sf):
     asked = requests.routing_requests(documents(spark, sf), "doc_id")
     replies = requests.apply_model(asked, echo_length, "doc_id")
-    return replies.select("doc_id", routing.read_routing_response(F.col("response")).alias("r")).select(
-        "doc_id", "r.doc_type", "r.confidence", "r.reasoning")
+    return routing.with_routing_reply(replies).select("doc_id", "reply.doc_type", "reply.confidence", "reply.reasoning")
 
 
 @query

@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 
@@ -27,6 +28,9 @@ ACCEPTED = [
     json.dumps(with_item(confidence="absent")), json.dumps(with_item(quantity=None)), "{}",
     json.dumps({**INVOICE, "vendor_name": None}), json.dumps({**INVOICE, "invoice_number": "2024-1"}),
     json.dumps({**INVOICE, "invoice_number": "7"}), json.dumps({**INVOICE, "vendor_name": "false"}),
+    '{"vendor_name": 5, "vendor_name": "last counts"}', '{"total_amount": NaN}', '{"total_amount": -Infinity, "line_items": []}',
+    '{"line_items": [{}], "line_items": [{"description": 1, "description": "d", "quantity": 1, "quantity": null}]}',
+    '{"other": {"line_items": null}}', ' \n{"currency": null}\t', '{"vendor_name": "a \\"line_items\\": null b"}',
 ]
 
 REJECTED = [
@@ -36,7 +40,9 @@ REJECTED = [
     json.dumps({**INVOICE, "invoice_number": 7}), json.dumps({**INVOICE, "invoice_number": True}),
     json.dumps(with_item(description="absent")), json.dumps(with_item(description=None)),
     json.dumps(with_item(confidence=2.0)), json.dumps(with_item(confidence=None)),
-    json.dumps({**INVOICE, "vendor_name": ["a"]}),
+    json.dumps({**INVOICE, "vendor_name": ["a"]}), '{"vendor_name": NaN}', '{"vendor_name": "last counts", "vendor_name": 5}',
+    '{"line_items": [], "line_items": null}', '{"line_items": [null]}', '{"line_items": "x"}', '{"line_items": [{"description": "d", "confidence": NaN}]}',
+    "{'vendor_name': 'x'}", '{"total_amount": 01}', '{} {}', '{}, {}', '{}]} {"reply": [{}', '{"a": 1} tail', "5", "null", '"x"', '{"line_items": null, "total_amount": NaN}',
 ]
 
 
@@ -56,6 +62,8 @@ def test_values_and_defaults(spark):
     assert no_currency.currency is None
     assert number_text.total_amount == 2.0 and true.total_amount == 1.0
     assert no_score.line_items[0].confidence == 0.0
+    last, odd = [r.invoice for r in parse(spark, ['{"vendor_name": 5, "vendor_name": "b", "line_items": [{"description": "c", "description": "d"}]}', '{"total_amount": NaN}'])]
+    assert last.vendor_name == "b" and last.line_items[0].description == "d" and math.isnan(odd.total_amount)
     assert empty.line_items == []
 
 

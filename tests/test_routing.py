@@ -40,8 +40,9 @@ def test_keywords_are_substrings(spark):
     ('["invoice"]', "unknown", 0.0), ('{"doc_type": ', "unknown", 0.0), (None, "unknown", 0.0),
     ('```json\n{"doc_type": "invoice", "confidence": 0.5}\n```', "invoice", 0.5),
 ])
-def test_routing_replies(value, reply, doc_type, confidence):
-    got = value(routing.read_routing_response, "r string", reply)
+def test_routing_replies(spark, reply, doc_type, confidence):
+    df = spark.createDataFrame([(reply,)], "response string")
+    got = routing.with_routing_reply(df).first().reply
     assert (got.doc_type, got.confidence) == (doc_type, confidence)
 
 
