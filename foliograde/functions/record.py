@@ -110,10 +110,14 @@ class VariantCell(Cell):
     def blank(self) -> Column:
         return ~tx.has_text(self.printed)
 
+    @property
+    def open_kind(self) -> Column:
+        """The printed value could be of several kinds."""
+        return self.printed.rlike(r"^(?:-?[0-9]|-?Infinity$|NaN$|true$|false$|[\[{])")
+
     @cached_property
     def is_text(self) -> Column:
-        open_kind = self.printed.rlike(r"^(?:-?[0-9]|-?Infinity$|NaN$|true$|false$|[\[{])")
-        return F.when(self.missing, False).when(open_kind, self.kind == "STRING").otherwise(True)
+        return F.when(self.missing, False).when(self.open_kind, self.kind == "STRING").otherwise(True)
 
     @cached_property
     def text(self) -> Column:
@@ -140,6 +144,21 @@ class VariantCell(Cell):
         )
 
 
+class SeenCell(VariantCell):
+    """A VARIANT that has been printed already: ``struct<raw, printed>`` as ``seen`` makes it."""
+
+    def __init__(self, seen: Column):
+        super().__init__(seen["raw"])
+        self.printed, self.kind = seen["printed"], seen["kind"]
+
+
+def seen(raw: Column) -> Column:
+    """A VARIANT beside its printed value and its kind, the latter only where the printed value leaves it open."""
+    cell = VariantCell(raw)
+    kind = F.when(raw.isNotNull() & cell.open_kind, cell.kind)
+    return F.struct(raw.alias("raw"), cell.printed.alias("printed"), kind.alias("kind"))
+
+
 class AbsentCell(Cell):
     @cached_property
     def missing(self) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from foliograde import fixed_values as fv
 from foliograde.functions.once import with_once
-from foliograde.functions.record import VariantCell
+from foliograde.functions.record import SeenCell, seen
 from foliograde.operators import freeform
 from foliograde.schemas import KEY_DEFAULTS, RECORD_TYPES
 
@@ -55,27 +55,43 @@ def braced(response: Column) -> Column:
 # --- typed parsing ---------------------------------------------------------------------
 
 
-def _scalar(raw: Column, field: T.StructField) -> Column:
-    """A field's value and whether it is acceptable, as one struct."""
-    cell, absent = VariantCell(raw), raw.isNull()
+def _seen(raw: Column, schema: T.StructType) -> Column:
+    """The record with every VARIANT printed once; null for a list element that is none."""
+    def one(f: T.StructField) -> Column:
+        own = raw.getField(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            return F.transform(own, lambda x: F.when(x.isNotNull(), _seen(x, f.dataType.elementType)))
+        return seen(own)
+    return F.struct(*[one(f).alias(f.name) for f in schema.fields])
+
+
+def _scalar(value_seen: Column, field: T.StructField) -> Column:
+    """A field's value, and whether it may stand as it is (``fit``): absent or null where that is allowed, or text."""
+    cell, absent = SeenCell(value_seen), value_seen["raw"].isNull()
     if isinstance(field.dataType, T.DoubleType):
-        if field.name == "confidence":
-            number = F.when(absent, KEY_DEFAULTS["confidence"]).otherwise(cell.number)
-            value, good = number, (number >= 0) & (number <= 1)
-        else:
-            value, good = cell.number, cell.missing | cell.number.isNotNull()
+        value, fit = cell.number, cell.missing
     else:
-        good = cell.is_text if field.metadata.get("required") else cell.missing | cell.is_text
-        value = F.when(absent, KEY_DEFAULTS[field.name]).otherwise(cell.printed) if field.name in KEY_DEFAULTS else cell.printed
-    return F.struct(value.cast(field.dataType).alias("value"), F.coalesce(good, F.lit(False)).alias("good"))
+        value, fit = cell.printed, cell.is_text if field.metadata.get("required") else cell.missing | cell.is_text
+    if field.name in KEY_DEFAULTS:
+        value = F.when(absent, KEY_DEFAULTS[field.name]).otherwise(value)
+    return F.struct(value.cast(field.dataType).alias("value"), F.coalesce(fit, F.lit(False)).alias("fit"))
 
 
-def _cells(raw: Column, schema: T.StructType) -> Column:
+def _good(cell: Column, field: T.StructField) -> Column:
+    """A value is acceptable if it fits; a number also if it could be read, a confidence only if it is between 0 and 1."""
+    value = cell.getField("value")
+    if field.name == "confidence":
+        return F.coalesce((value >= 0) & (value <= 1), F.lit(False))
+    fit = cell.getField("fit")
+    return fit | value.isNotNull() if isinstance(field.dataType, T.DoubleType) else fit
+
+
+def _cells(record: Column, schema: T.StructType) -> Column:
     """For each field the struct of ``_scalar``; for a list those of its elements, null for an element that is none."""
     def cell(f: T.StructField) -> Column:
         if isinstance(f.dataType, T.ArrayType):
-            return F.transform(raw.getField(f.name), lambda x: F.when(x.isNotNull(), _cells(x, f.dataType.elementType)))
-        return _scalar(raw.getField(f.name), f)
+            return F.transform(record.getField(f.name), lambda x: F.when(x.isNotNull(), _cells(x, f.dataType.elementType)))
+        return _scalar(record.getField(f.name), f)
     return F.struct(*[cell(f).alias(f.name) for f in schema.fields])
 
 
@@ -87,7 +103,7 @@ def _all_good(cells: Column, schema: T.StructType) -> Column:
             element = f.dataType.elementType
             good = good & F.coalesce(F.forall(own, lambda x: x.isNotNull() & _all_good(x, element)), F.lit(True))
         else:
-            good = good & own.getField("good")
+            good = good & _good(own, f)
     return F.coalesce(good, F.lit(False))
 
 
@@ -122,11 +138,13 @@ def parse_typed(df: DataFrame, response: str = "response",
     def when_type(name: str, value: Column) -> Column:
         return F.when(F.col("doc_type") == name, value)
 
-    raw, cells = ({name: f"_{kind}_{name}" for name in record_types} for kind in ("raw", "cells"))
+    raw, read, cells = ({name: f"_{kind}_{name}" for name in record_types} for kind in ("raw", "seen", "cells"))
     df = with_once(df, {raw[n]: when_type(n, read_object(F.col(response), schema)) for n, schema in record_types.items()})
     df = with_once(df, {
-        cells[n]: F.when(F.col(raw[n]).isNotNull() & ~_null_list(F.col(response), F.col(raw[n]), schema), _cells(F.col(raw[n]), schema))
+        read[n]: F.when(F.col(raw[n]).isNotNull() & ~_null_list(F.col(response), F.col(raw[n]), schema), _seen(F.col(raw[n]), schema))
         for n, schema in record_types.items()}).drop(*raw.values())
+    df = with_once(df, {
+        cells[n]: F.when(F.col(read[n]).isNotNull(), _cells(F.col(read[n]), schema)) for n, schema in record_types.items()}).drop(*read.values())
     ok = reduce(lambda a, b: a | b, [F.col(cells[n]).isNotNull() & _all_good(F.col(cells[n]), schema) for n, schema in record_types.items()], F.lit(False))
     df = with_once(df, {"typed_ok": F.coalesce(ok, F.lit(False))})
     return with_once(df, {

@@ -246,7 +246,7 @@ def _json(record: Column, keep_nulls: bool = True) -> Column:
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a first reply and, for some shapes, a second one.
 
-    Shapes: 0 all keys, 1 null keys left out, 2 prose around the JSON, 3 code fence, 4 null in
+    Shapes: 0 all keys, half of them with a key repeated, 1 null keys left out, half of them with a NaN, 2 prose around the JSON, 3 code fence, 4 null in
     place of the list, 5 a list element without its name, 6 a confidence above 1, 7 an amount
     with a thousands separator, 8 no JSON at all, 9 broken JSON.
     """
@@ -271,8 +271,11 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('", "contact_phone": "'), F.when(every(5), "12").otherwise("+1 555-123-4567"),
         F.lit('", "total_amount_confidence": 0.85, "extra": {"checked": true, "codes": [1, 2], "level": 1500.0}'))
     c = F.col("case")
+    rest = F.substring("_full", F.lit(2), F.length("_full"))
     first = (
-        F.when(c.isin(0, 1), F.col("_full"))
+        F.when((c == 0) & every(2), F.concat(F.lit('{"currency": "XXX", '), rest))
+        .when((c == 1) & every(2), F.concat(F.lit('{"remark": NaN, '), rest))
+        .when(c.isin(0, 1), F.col("_full"))
         .when(c == 2, F.concat(F.lit("Here it is: "), F.col("_full"), F.lit(" Anything else?")))
         .when(c == 3, F.concat(F.lit("```json\n"), F.col("_full"), F.lit("\n```")))
         .when(c == 4, F.concat(F.lit('{"'), listed, F.lit('": null}')))
