@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -120,25 +121,94 @@ def result_roundtrip(spark, sf):
         F.array_join("validation.failed_rules", ",").alias("failed_rules"))
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own, whose few partitions suit the state of the small streams below."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "8")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    return own
+
+
+#: The id of rows that only move a stream's clock.
+HEARTBEAT = "#"
+
+
+def two_arrivals(own: SparkSession, df: DataFrame, folder: str, first: Column, run: Callable[[], None]) -> None:
+    """A table as files of a stream: the rows of the first arrival, a run, the others, another run."""
+    for part in (first, ~F.coalesce(first, F.lit(False))):
+        df.where(part).write.mode("append").parquet(folder)
+        run()
+
+
 @query
 def stream_ingest(spark, sf):
-    """The documents table taken in as a stream, processed and stored; the stored results."""
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    run = run_folder(spark, sf, "ingest")
-
-    def process(batch: DataFrame) -> DataFrame:
-        ready = batch.select(
-            "doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("source_file"), "text",
-            F.lit(None).cast("double").alias("ocr_quality"), F.lit(None).cast("string").alias("response"),
-            F.lit(None).cast("string").alias("fallback_response"))
-        return results.process_documents(ready, "doc_id")
-
-    stream = ingest.read_documents(spark, f"{sf}/documents*.parquet", schema)
-    ingest.ingest(stream, f"{run}/out", f"{run}/checkpoint", "doc_id", process=process).awaitTermination()
-    ids = T.StructType([T.StructField("doc_id", T.LongType())])
+    """Order documents and their replies as two streams, joined, processed and stored; the stored results.
+
+    Documents arrive in the order of their keys, replies up to 50 minutes later, both in two arrivals: the replies of
+    some documents come with the second one.
+    """
+    own, run = stream_session(spark), run_folder(spark, sf, f"ingest-{uuid.uuid4().hex}")
+    docs = inputs.replies(spark, sf)
+    clock = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("o_orderkey"))
+    replied = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("o_orderkey") + (F.col("o_orderkey") % 50) * 60)
+    papers = docs.select("doc_id", "source_file", "text", "ocr_quality", clock.alias("arrived"))
+    answers = docs.select("doc_id", "response", "fallback_response", replied.alias("replied"))
+    last = inputs.table(spark, sf, "orders", "o_orderkey").agg(F.max("o_orderkey").alias("last"))
+    beat = last.select(F.lit(HEARTBEAT).alias("doc_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("last", F.lit(0)) + 100_000).alias("t"))
+    halves = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(last.select(F.floor(F.col("last") / 2)).scalar(), F.lit(0)))
+    for name, table, time in (("documents", papers, "arrived"), ("replies", answers, "replied")):
+        whole = table.unionByName(beat.select("doc_id", F.col("t").alias(time)), allowMissingColumns=True)
+        whole.withColumn("early", F.col(time) < halves).write.parquet(f"{run}/{name}-all")
+    for early in (True, False):
+        for name in ("documents", "replies"):
+            spark.read.parquet(f"{run}/{name}-all").where(F.col("early") == early).drop("early").write.mode("append").parquet(f"{run}/{name}")
+        streams = [ingest.read_documents(own, f"{run}/{name}", spark.read.parquet(f"{run}/{name}").schema) for name in ("documents", "replies")]
+        ingest.ingest_with_replies(*streams, f"{run}/out", f"{run}/requests", f"{run}/checkpoint", heartbeat=HEARTBEAT).awaitTermination()
+    ids = T.StructType([T.StructField("doc_id", T.StringType())])
     return results_io.read_results(spark, f"{run}/out", ids).select(
-        "doc_id", "doc_type", r6("overall_confidence").alias("overall_confidence"),
-        F.col("validation.notes").alias("notes"))
+        "doc_id", "doc_type", F.col("processing_metadata.extraction_method").alias("extraction_method"),
+        r6("overall_confidence").alias("overall_confidence"), F.col("validation.notes").alias("notes"))
+
+
+def event_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as entries of a batch list: a path per user, the text of the event, no replies."""
+    none = F.lit(None).cast("string")
+    return inputs.table(spark, sf, "events", "event_id", "event_type", "props", "user_id").select(
+        F.concat(F.lit("/in/u"), F.col("user_id").cast("string")).alias("source_file"), F.col("event_id").alias("entry"),
+        F.concat(F.when(F.col("event_id") % 3 == 0, "Invoice total ").when(F.col("event_id") % 3 == 1, "patient, hospital: ").otherwise(""),
+                 "event_type", F.lit(" "), "props").alias("text"),
+        F.lit(None).cast("double").alias("ocr_quality"), none.alias("response"), none.alias("fallback_response"))
+
+
+@query
+def stream_dedup(spark, sf):
+    """Paths that arrive several times, within a micro-batch and across two: the result of the last entry counts."""
+    own, run = stream_session(spark), run_folder(spark, sf, f"latest-{uuid.uuid4().hex}")
+    entries = event_documents(spark, sf)
+
+    def go() -> None:
+        stream = ingest.read_documents(own, f"{run}/entries", entries.schema)
+        ingest.ingest_latest(stream, f"{run}/out", f"{run}/checkpoint", "entry").awaitTermination()
+
+    two_arrivals(own, entries, f"{run}/entries", F.col("entry") % 2 == 0, go)
+    ids = T.StructType([T.StructField("entry", T.LongType())])
+    return ingest.latest_results(spark, f"{run}/out", ids).select(
+        F.col("processing_metadata.source_file").alias("path"), "entry", "doc_type", r6("overall_confidence").alias("overall_confidence"))
+
+
+@query
+def stream_summary(spark, sf):
+    """Totals that grow with stored results, which come in two arrivals; the stored totals after the second."""
+    own, run = stream_session(spark), run_folder(spark, sf, f"totals-{uuid.uuid4().hex}")
+    ids = T.StructType([T.StructField("doc_id", T.StringType())])
+    results_io.write_results(published(spark, sf), f"{run}/all", mode="overwrite")
+    done = results_io.read_results(spark, f"{run}/all", ids)
+    for number, part in enumerate((F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 != 0)):
+        results_io.write_results(done.where(part), f"{run}/out/batch={number}")
+        stream = ingest.read_results_stream(own, f"{run}/out", ids)
+        ingest.running_summary(stream, f"{run}/summary", f"{run}/checkpoint").awaitTermination()
+    totals = spark.read.schema(summary.batch_summary(done).schema).json(f"{run}/summary")
+    return totals.withColumns({"success_rate": r6("success_rate"), "average_confidence": r6("average_confidence")})
 
 
 # --- text and pages --------------------------------------------------------------------------

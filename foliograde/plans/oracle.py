@@ -588,18 +588,15 @@ SELECT doc_id, 'phone' AS kind, value, pos::BIGINT AS pos
 FROM shapes CROSS JOIN (VALUES ('555-123-4567', 0), ('+1 555-123-4567', 1)) v(value, pos)
 WHERE c IN (2, 4, 5, 6, 7) AND o % 5 <> 0""")
 
-CTE["raw_hits"] = f"""
-  SELECT doc_id, text, {", ".join(f"{hits(t, 'lower(text)')} AS {t}" for t in fv.DOC_TYPES)}, 0 AS words FROM documents"""
-CTE["raw_routed"] = routed("raw_hits")
-put("stream_ingest", f"""
-SELECT doc_id, t AS doc_type, CASE WHEN blank THEN 0.0::DOUBLE WHEN t = 'unknown' THEN 0.5 ELSE 0.35 END AS overall_confidence,
-  CASE WHEN blank THEN 'Processing failed: {fv.NO_TEXT_ERROR}'
-    WHEN t = 'unknown' THEN '0 validation rules passed - Document appears valid'
-    WHEN t = 'prescription' THEN '1 validation rules passed, 4 failed - Document has validation issues'
-    ELSE '0 validation rules passed, 5 failed - Document has validation issues' END AS notes
-FROM (SELECT h.doc_id, regexp_matches(text, {text_literal(BLANK)}) AS blank,
-        CASE WHEN regexp_matches(text, {text_literal(BLANK)}) THEN 'unknown' ELSE doc_type END AS t
-      FROM raw_hits h JOIN raw_routed r ON h.doc_id = r.doc_id)""")
+CTE["last_events"] = """
+  SELECT '/in/u' || user_id AS path, max(event_id) AS entry, arg_max(CASE event_id % 3 WHEN 0 THEN 'Invoice total '
+    WHEN 1 THEN 'patient, hospital: ' ELSE '' END || event_type || ' ' || props, event_id) AS text FROM events GROUP BY user_id"""
+CTE["event_hits"] = f"""
+  SELECT path AS doc_id, entry, text, {", ".join(f"{hits(t, 'lower(text)')} AS {t}" for t in fv.DOC_TYPES)}, 0 AS words FROM last_events"""
+CTE["event_routed"] = routed("event_hits")
+put("stream_dedup", """
+SELECT h.doc_id AS path, entry, doc_type, CASE WHEN doc_type = 'unknown' THEN 0.5::DOUBLE ELSE 0.35 END AS overall_confidence
+FROM event_hits h JOIN event_routed r ON h.doc_id = r.doc_id""")
 
 CTE["claims"] = """
   SELECT doc_id, unnest([vendor_name, customer_address, vendor_address || ' depot nowhere']) AS value FROM invoice
@@ -779,6 +776,8 @@ CTE["chain_results"] = f"""
 put("document_results", f"""
 SELECT doc_id, doc_type, extraction_method, field_count, passed_rules, failed_rules, notes,
   {r6('overall')} AS overall_confidence, error FROM chain_results""")
+put("stream_ingest", f"""
+SELECT doc_id, doc_type, extraction_method, {r6('overall')} AS overall_confidence, notes FROM chain_results""")
 put("error_rows", """
 SELECT doc_id, doc_type, overall AS overall_confidence, failed_rules, notes, field_count
 FROM chain_results WHERE error IS NOT NULL""")
@@ -787,6 +786,10 @@ SELECT count(*) AS total_files, count(*) FILTER (overall > 0) AS successful, cou
   {r6('count(*) FILTER (overall > 0) / count(*)')} AS success_rate,
   {r6('avg(overall) FILTER (overall > 0)')} AS average_confidence FROM chain_results""")
 SQL["batch_run"] = SQL["batch_summary"]
+put("stream_summary", f"""
+SELECT count(*) AS total_files, count(*) FILTER (overall > 0) AS successful, count(*) FILTER (overall <= 0) AS failed,
+  {r6('count(*) FILTER (overall > 0) / count(*)')} AS success_rate,
+  {r6('avg(overall) FILTER (overall > 0)')} AS average_confidence FROM results""")
 put("doc_type_counts", "SELECT doc_type, count(*) AS documents FROM chain_results GROUP BY doc_type")
 put("batch_digest", f"""
 SELECT '/in/' || doc_id || '.pdf' AS path, doc_type, {r6('overall')} AS confidence, field_count FROM chain_results""")
