@@ -96,6 +96,7 @@ SCAN_CHARS_PER_PAGE = 50
 DEFAULT_OCR_QUALITY = 0.8
 TEXT_LAYER_QUALITY = 1.0
 DEFAULT_FIELD_CONFIDENCE = 0.5
+UNSCORED_ERROR = "the record has no readable leaves"
 DEFAULT_CURRENCY = "USD"
 MONEY_TOLERANCE = 0.01
 

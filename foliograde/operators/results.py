@@ -79,6 +79,7 @@ def publish(df: DataFrame, *ids: str,
         F.when(ok, F.size("scored")).otherwise(0).cast("long").alias("field_count"),
         F.when(ok, scoring.distribution(F.col("confidences"), F.col("avg_field_confidence")))
         .cast(DISTRIBUTION).alias("confidence_distribution"),
+        F.when(ok, F.col("scoring_metadata")).alias("scoring_metadata"),
         F.col("error"))
     return df.select(
         *ids,

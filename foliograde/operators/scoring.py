@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliograde import fixed_values as fv
 from foliograde.functions import confidence as cf
 from foliograde.functions.confidence import Weights
 from foliograde.functions.once import with_once
+from foliograde.schemas import LEAF, SCORING_METADATA
 
 
 def rule_text(rules: Column) -> Column:
@@ -87,20 +89,39 @@ def distribution(values: Column, centre: Column) -> Column:
     ))
 
 
+def scoring_metadata(ocr_quality: Column, method: Column, valid: Column, error: Column, weights: Weights) -> Column:
+    """Quality (its default if null), method, whether all rules passed, and the weights, scaled to add up to 1; or the
+    error alone."""
+    used = F.struct(*[F.lit(w).alias(f"{name}_weight") for name, w in zip(("llm", "ocr", "validation"), weights.normalised())])
+    fine = error.isNull()
+    return F.struct(
+        F.when(fine, F.coalesce(ocr_quality, F.lit(fv.DEFAULT_OCR_QUALITY))).alias("ocr_quality"),
+        F.when(fine, method).alias("extraction_method"), F.when(fine, valid).alias("validation_passed"),
+        F.when(fine, used).alias("weights_used"), error.alias("error")).cast(SCORING_METADATA)
+
+
 def score(df: DataFrame, weights: Weights = Weights()) -> DataFrame:
-    """Add ``scored`` (leaves with confidence), ``confidences``, ``avg_field_confidence`` and
-    ``overall_confidence``.
+    """Add ``scored`` (leaves with confidence), ``confidences``, ``avg_field_confidence``, ``overall_confidence`` and
+    ``scoring_metadata``.
 
-    Needs ``leaves``, ``passed_rules``, ``failed_rules``, ``ocr_quality`` and ``extraction_method``.
+    Needs ``leaves``, ``passed_rules``, ``failed_rules``, ``ocr_quality`` and ``extraction_method``, and takes
+    ``overall_valid`` if it is there.  A field whose confidence cannot be worked out gets 0.5.  A document whose leaves
+    are unknown (null) is not scored: it has no fields, 0.5 for both confidences, without adjustment, and an error.
     """
     df = with_once(df, {"_passed": rule_text(F.col("passed_rules")),
-                        "_failed": rule_text(F.col("failed_rules"))})
+                        "_failed": rule_text(F.col("failed_rules")),
+                        "_unscored": F.when(F.col("leaves").isNull(), fv.UNSCORED_ERROR)})
+    known = F.coalesce("leaves", F.array().cast(T.ArrayType(LEAF)))
     df = with_once(df, {"scored": score_leaves(
-        F.col("leaves"), F.col("_passed"), F.col("_failed"), F.col("ocr_quality"), weights,
+        known, F.col("_passed"), F.col("_failed"), F.col("ocr_quality"), weights,
     )}).drop("_passed", "_failed")
     df = df.withColumn("confidences", F.transform("scored", lambda f: f["confidence"]))
     average = F.when(F.size("scored") > 0, mean(F.col("confidences"))).otherwise(
         fv.DEFAULT_FIELD_CONFIDENCE)
     df = with_once(df, {"avg_field_confidence": average})
-    return with_once(df, {"overall_confidence": adjusted(
-        F.col("avg_field_confidence"), F.col("failed_rules"), F.col("extraction_method"))})
+    overall = adjusted(F.col("avg_field_confidence"), F.col("failed_rules"), F.col("extraction_method"))
+    valid = F.col("overall_valid") if "overall_valid" in df.columns else F.size("failed_rules") == 0
+    return with_once(df, {
+        "overall_confidence": F.when(F.col("_unscored").isNotNull(), fv.DEFAULT_FIELD_CONFIDENCE).otherwise(overall),
+        "scoring_metadata": scoring_metadata(F.col("ocr_quality"), F.col("extraction_method"), valid, F.col("_unscored"), weights),
+    }).drop("_unscored")

@@ -34,8 +34,12 @@ class Outcome:
 
 @dataclass(frozen=True)
 class Rule:
+    """A named check.  ``guarded``: whatever goes wrong in evaluating it is an error of the rule, not of the job; a check
+    that cannot raise, and gives null for "not passed" only, may go without."""
+
     name: str
     check: Callable[[Record], Outcome]
+    guarded: bool = True
 
 
 # --- rule kinds -------------------------------------------------------------------
@@ -127,30 +131,31 @@ def _differs(a: Column, b: Column) -> Column:
 
 RULES: dict[str, list[Rule]] = {
     fv.INVOICE: [
-        Rule("invoice_number_present", present("invoice_number")),
-        Rule("total_amount_valid", amount("total_amount")),
-        Rule("line_items_total_match", totals_match),
-        Rule("vendor_name_present", present("vendor_name")),
-        Rule("date_format_valid", date("date")),
+        Rule("invoice_number_present", present("invoice_number"), guarded=False),
+        Rule("total_amount_valid", amount("total_amount"), guarded=False),
+        Rule("line_items_total_match", totals_match, guarded=False),
+        Rule("vendor_name_present", present("vendor_name"), guarded=False),
+        Rule("date_format_valid", date("date"), guarded=False),
     ],
     fv.MEDICAL_BILL: [
-        Rule("patient_name_present", present("patient_name")),
-        Rule("hospital_name_present", present("hospital_name")),
-        Rule("total_amount_valid", amount("total_amount")),
-        Rule("bill_date_valid", date("bill_date")),
-        Rule("balance_calculation_valid", balance_matches),
+        Rule("patient_name_present", present("patient_name"), guarded=False),
+        Rule("hospital_name_present", present("hospital_name"), guarded=False),
+        Rule("total_amount_valid", amount("total_amount"), guarded=False),
+        Rule("bill_date_valid", date("bill_date"), guarded=False),
+        Rule("balance_calculation_valid", balance_matches, guarded=False),
     ],
     fv.PRESCRIPTION: [
-        Rule("patient_name_present", present("patient_name")),
-        Rule("doctor_name_present", present("doctor_name")),
-        Rule("medicines_present", medicines_named),
-        Rule("prescription_date_valid", date("prescription_date")),
-        Rule("medicine_dosages_valid", dosages_usual),
+        Rule("patient_name_present", present("patient_name"), guarded=False),
+        Rule("doctor_name_present", present("doctor_name"), guarded=False),
+        Rule("medicines_present", medicines_named, guarded=False),
+        Rule("prescription_date_valid", date("prescription_date"), guarded=False),
+        Rule("medicine_dosages_valid", dosages_usual, guarded=False),
     ],
 }
 
 _NO_WARNINGS = "array<string>"
-_RULE_ROWS = "array<struct<name:string,outcome:string,warnings:array<string>>>"
+_RULE_ROW = "struct<name:string,outcome:string,warnings:array<string>>"
+_RULE_ROWS = f"array<{_RULE_ROW}>"
 
 
 def _rule_row(name: Column, outcome: Column, warnings: Column | None) -> Column:
@@ -158,18 +163,37 @@ def _rule_row(name: Column, outcome: Column, warnings: Column | None) -> Column:
     return F.struct(name.alias("name"), outcome.alias("outcome"), kept.alias("warnings"))
 
 
+def tried(text: Column) -> Column:
+    """The value of a text expression; null if anything in it raises, as division by zero and failed casts do.
+
+    A ``try_`` function turns whatever its argument raises into null, so the text takes the way through one.
+    """
+    return F.try_to_binary(text, F.lit("utf-8")).cast("string")
+
+
 def rule_outcomes(record: Record, rules: list[Rule]) -> Column:
-    """Outcomes of the rules, in list order."""
+    """Outcomes of the rules, in list order.
+
+    A rule passes, fails or errs.  It errs if it says so, and, if it is guarded, also if its outcome is null or if its
+    evaluation raises; then it has no warnings.  Unguarded rules fail where their outcome is null.
+    """
     rows = []
     for rule in rules:
-        result = rule.check(record)
-        outcome = F.when(F.coalesce(result.passed, F.lit(False)), "passed").otherwise("failed")
+        name, result = F.lit(rule.name), rule.check(record)
+        passed = result.passed if rule.guarded else F.coalesce(result.passed, F.lit(False))
+        outcome = F.when(passed, "passed").when(~passed, "failed").otherwise("error")
+        if result.error is not None:
+            outcome = F.when(F.coalesce(result.error, F.lit(False)), "error").otherwise(outcome)
+        if rule.guarded:
+            broken = _rule_row(name, F.lit("error"), None).cast(_RULE_ROW)
+            whole = tried(F.to_json(_rule_row(name, outcome, result.warnings)))
+            read = F.from_json(whole, _RULE_ROW)
+            rows.append(F.coalesce(F.get(F.filter(F.array(read), lambda row: row["outcome"] != "error"), F.lit(0)), broken))
+            continue
         warnings = result.warnings
         if result.error is not None:
-            failed = F.coalesce(result.error, F.lit(False))
-            outcome = F.when(failed, "error").otherwise(outcome)
-            warnings = F.when(failed, F.array().cast(_NO_WARNINGS)).otherwise(warnings)
-        rows.append(_rule_row(F.lit(rule.name), outcome, warnings))
+            warnings = F.when(outcome == "error", F.array().cast(_NO_WARNINGS)).otherwise(warnings)
+        rows.append(_rule_row(name, outcome, warnings))
     return F.array(*rows)
 
 

@@ -598,6 +598,35 @@ def validation_warnings(spark, sf):
         "doc_id", F.col("pos").cast("long").alias("pos"), "warning")
 
 
+def _date_from(field: str) -> Callable[[validation.Record], validation.Outcome]:
+    """A date must be one and lie after 1991: a cast that raises on anything else."""
+    return lambda record: validation.Outcome(record.cell(field).text.cast("date") > F.lit("1991-12-31").cast("date"))
+
+
+def _tax_share(record: validation.Record) -> validation.Outcome:
+    """Tax over tax: raises where there is none, and warns of the amount."""
+    tax, subtotal = record.cell("tax_amount").number, record.cell("subtotal").number
+    share = subtotal / (tax - tax * F.when(subtotal % 2 < 1, 1.0).otherwise(0.0))
+    return validation.Outcome(share < 25, F.array_compact(F.array(F.when(share >= 20, F.concat(F.lit("Low tax: "), (share - share % 1).cast("int").cast("string"))))))
+
+
+#: Rules of a user's own, some of which raise on some records.
+OWN_RULES = {
+    fv.INVOICE: [validation.Rule("date_real", _date_from("date")), validation.Rule("tax_share_usual", _tax_share),
+                 validation.Rule("vendor_name_present", validation.present("vendor_name"))],
+    fv.MEDICAL_BILL: [validation.Rule("bill_date_real", _date_from("bill_date")), *validation.RULES[fv.MEDICAL_BILL]],
+    fv.PRESCRIPTION: [validation.Rule("age_usual", lambda record: validation.Outcome(record.cell("patient_age").text.cast("int") < 75))],
+}
+
+
+@query
+def validate_own_rules(spark, sf):
+    """Rules that divide by zero and cast: where they raise the rule is in error, and the job goes on."""
+    checked = validation.validate(inputs.typed_records(spark, sf, text=False), OWN_RULES, freeform=False)
+    return checked.select("doc_id", "doc_type", F.array_join("passed_rules", ",").alias("passed"), F.array_join("failed_rules", ",").alias("failed"),
+                          F.array_join("rule_warnings", ",").alias("warnings"), "overall_valid")
+
+
 @query
 def validate_common(spark, sf):
     """E-mail and phone rules over free-form records."""
@@ -610,6 +639,18 @@ def validate_common(spark, sf):
         F.array_join("rule_warnings", ",").alias("warnings"), F.col("rule_notes").alias("notes"))
 
 
+@query
+def validate_unreadable(spark, sf):
+    """The same records, every sixth cut short: it cannot be read, which is an error of the validation as a whole."""
+    cut = F.when(F.col("doc_id").cast("long") % 6 == 0, F.expr("left(freeform, length(freeform) - 2)")).otherwise(F.col("freeform"))
+    df = inputs.event_records(spark, sf).withColumns({
+        "freeform": cut, "doc_type": F.lit(fv.UNKNOWN), "extraction_method": F.lit(fv.METHOD_FALLBACK)})
+    checked = validation.validate(df, {}, {})
+    return checked.select(
+        "doc_id", F.array_join("failed_rules", ",").alias("failed"), F.array_join("rule_warnings", ",").alias("warnings"),
+        F.col("rule_notes").alias("notes"), "overall_valid")
+
+
 @query
 def structural_check(spark, sf):
     """Published results, some of them damaged, checked for their shape."""
@@ -682,6 +723,18 @@ def score_documents(spark, sf):
         r6("overall_confidence").alias("overall_confidence"))
 
 
+@query
+def scoring_metadata(spark, sf):
+    """What the scores were made of; every 50th document has unknown leaves, which is a failure of scoring."""
+    df = fields.flatten_records(validation.validate(inputs.typed_records(spark, sf), freeform=False), with_freeform=False)
+    lost = df.withColumn("leaves", F.when(F.col("o_orderkey") % 50 != 0, F.col("leaves")))
+    m = "scoring_metadata"
+    return scoring.score(lost, Weights(llm=2.0, ocr=1.0, validation=1.0)).select(
+        "doc_id", F.size("scored").cast("long").alias("field_count"), r6("avg_field_confidence").alias("avg_field_confidence"),
+        r6("overall_confidence").alias("overall_confidence"), r6(f"{m}.ocr_quality").alias("ocr_quality"), f"{m}.extraction_method",
+        f"{m}.validation_passed", f"{m}.weights_used.llm_weight", f"{m}.weights_used.ocr_weight", f"{m}.weights_used.validation_weight", f"{m}.error")
+
+
 @query
 def confidence_distribution(spark, sf):
     out = summary.confidence_distribution(scored_fields(spark, sf))

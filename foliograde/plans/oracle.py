@@ -640,6 +640,13 @@ SELECT doc_id, concat_ws(',', CASE WHEN m = 0 THEN 'email_format_valid' END, CAS
   CASE WHEN p = 1 THEN 'Unusual phone number format: 12-34' ELSE '' END AS warnings,
   {note(*[f"({c})" for c in _common_counts])} AS notes FROM contacts""")
 
+SQL["validate_unreadable"] = f"""
+SELECT doc_id, CASE WHEN cut THEN 'validation_system_error' ELSE failed END AS failed,
+  CASE WHEN cut THEN 'Validation system error: unreadable record' ELSE warnings END AS warnings,
+  CASE WHEN cut THEN 'Validation could not be completed due to system error' ELSE notes END AS notes,
+  NOT cut AND failed = '' AS overall_valid
+FROM (SELECT *, doc_id::BIGINT % 6 = 0 AS cut FROM ({SQL["validate_common"]}))"""
+
 
 def looks(value: str) -> str:
     shape = (f"CASE WHEN regexp_matches(regexp_replace({value}, '[.,]', '', 'g'), '^[\\p{{Nd}}²³¹]+$') THEN 0.9::DOUBLE "
@@ -712,6 +719,36 @@ put("document_distribution", f"""
 SELECT doc_id, high, medium, low, {r6('min_c')} AS min_confidence, {r6('max_c')} AS max_confidence,
   {r6('std_c')} AS std_deviation FROM results""")
 
+CTE["reweighted"] = f"""
+  SELECT s.doc_id AS w_id, count(*) AS fields, avg({score('0.5', '0.25', '0.25')}) AS mean
+  FROM statuses s JOIN docs d ON s.doc_id = d.doc_id GROUP BY s.doc_id"""
+put("scoring_metadata", f"""
+SELECT doc_id, CASE WHEN lost THEN 0 ELSE coalesce(fields, 0) END AS field_count,
+  CASE WHEN lost THEN 0.5::DOUBLE ELSE {r6('coalesce(mean, 0.5)')} END AS avg_field_confidence,
+  CASE WHEN lost THEN 0.5::DOUBLE ELSE {r6(overall('coalesce(mean, 0.5)', 'critical', "'llm_structured'"))} END AS overall_confidence,
+  CASE WHEN NOT lost THEN {r6('quality')} END AS ocr_quality, CASE WHEN NOT lost THEN 'llm_structured' END AS extraction_method,
+  CASE WHEN NOT lost THEN failed = 0 END AS validation_passed, CASE WHEN NOT lost THEN 0.5::DOUBLE END AS llm_weight,
+  CASE WHEN NOT lost THEN 0.25::DOUBLE END AS ocr_weight, CASE WHEN NOT lost THEN 0.25::DOUBLE END AS validation_weight,
+  CASE WHEN lost THEN 'the record has no readable leaves' END AS error
+FROM (SELECT c.doc_id, failed, critical, fields, mean, quality, o % 50 = 0 AS lost FROM checked c JOIN docs d ON c.doc_id = d.doc_id
+      LEFT JOIN reweighted ON c.doc_id = w_id)""")
+CTE["own_rules"] = """
+  SELECT doc_id, 0 AS pos, 'date_real' AS rule, CASE WHEN date = 'n/a' THEN 'error' ELSE 'passed' END AS outcome, NULL AS warning FROM invoice
+  UNION ALL SELECT doc_id, 1, 'tax_share_usual', CASE WHEN share IS NULL THEN 'error' WHEN share < 25 THEN 'passed' ELSE 'failed' END,
+    CASE WHEN share >= 20 THEN 'Low tax: ' || floor(share)::INT END
+    FROM (SELECT doc_id, CASE WHEN tax_amount <> 0 AND subtotal % 2 >= 1 THEN subtotal / tax_amount END AS share FROM invoice)
+  UNION ALL SELECT doc_id, 2, rule, outcome, NULL FROM rules WHERE doc_type = 'invoice' AND rule = 'vendor_name_present'
+  UNION ALL SELECT doc_id, 0, 'bill_date_real', CASE WHEN bill_date = 'soon' THEN 'error' ELSE 'passed' END, NULL FROM medical_bill
+  UNION ALL SELECT doc_id, pos + 1, rule, outcome, NULL FROM rules WHERE doc_type = 'medical_bill'
+  UNION ALL SELECT doc_id, 0, 'age_usual', CASE WHEN patient_age::INT < 75 THEN 'passed' ELSE 'failed' END, NULL FROM prescription"""
+CTE["own_warnings"] = "SELECT doc_id AS x_id, string_agg(warning, ',') AS warned FROM rule_warnings JOIN medical_bill USING (doc_id) GROUP BY doc_id"
+put("validate_own_rules", """
+SELECT doc_id, doc_type, coalesce(passed, '') AS passed, coalesce(failed, '') AS failed, coalesce(warned, own, '') AS warnings, failed IS NULL AS overall_valid
+FROM (SELECT doc_id, any_value(kind) AS doc_type, string_agg(rule, ',' ORDER BY pos) FILTER (outcome = 'passed') AS passed,
+        string_agg(CASE outcome WHEN 'error' THEN rule || ' (error)' ELSE rule END, ',' ORDER BY pos) FILTER (outcome <> 'passed') AS failed,
+        string_agg(warning, ',') AS own FROM own_rules JOIN (SELECT doc_id AS k, kind FROM docs) ON doc_id = k GROUP BY doc_id)
+  LEFT JOIN own_warnings ON doc_id = x_id""")
+
 # --- the whole chain ----------------------------------------------------------------------------------------------
 
 CTE["chain"] = f"""

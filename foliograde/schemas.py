@@ -100,6 +100,15 @@ DISTRIBUTION = _struct(
     *_doubles("min_confidence", "max_confidence", "std_deviation"),
 )
 
+#: What the score was made of; only ``error`` is filled where scoring failed.
+SCORING_METADATA = _struct(
+    *_doubles("ocr_quality"),
+    *_strings("extraction_method"),
+    ("validation_passed", T.BooleanType()),
+    ("weights_used", _struct(*_doubles("llm_weight", "ocr_weight", "validation_weight"))),
+    *_strings("error"),
+)
+
 METADATA = _struct(
     *_strings("source_file"),
     *_doubles("ocr_quality"),
@@ -107,6 +116,7 @@ METADATA = _struct(
     *_doubles("routing_confidence"),
     ("field_count", T.LongType()),
     ("confidence_distribution", DISTRIBUTION),
+    ("scoring_metadata", SCORING_METADATA),
     *_strings("error"),
 )
 

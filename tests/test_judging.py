@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foliograde.operators import fields, results, validation
+from foliograde.functions.confidence import Weights
+from foliograde.operators import fields, responses, results, scoring, validation
 
 SCHEMA = ("doc_id string, source_file string, text string, ocr_quality double, response string, "
           "fallback_response string")
@@ -150,3 +151,57 @@ def test_own_rule_lists(spark):
     df = spark.createDataFrame([("d", "f", INVOICE_TEXT, 1.0, invoice(), None)], SCHEMA)
     row = results.process_documents(df, "doc_id", rules=rules).first()
     assert row.validation.passed_rules == ["currency_present"]
+
+
+def own_rule(check, **columns):
+    return validation.Rule("own", lambda record: validation.Outcome(check(record), **columns))
+
+
+@pytest.mark.parametrize("check,outcome", [
+    (lambda r: r.cell("total_amount").number > 0, "passed"),
+    (lambda r: r.cell("total_amount").number < 0, "failed"),
+    (lambda r: F.lit(1) / (r.cell("total_amount").number - 10.5) > 0, "error"),  # divides by zero
+    (lambda r: r.cell("vendor_name").text.cast("int") > 0, "error"),  # no number
+    (lambda r: F.element_at(r.elements("line_items"), 9)["confidence"] > 0, "error"),  # out of bounds
+    (lambda r: F.exists(r.elements("line_items"), lambda x: x["description"].cast("double") > 0), "error"),  # inside a list
+    (lambda r: F.raise_error(F.concat(F.lit("broken "), r.cell("vendor_name").text)).isNull(), "error"),
+    (lambda r: F.lit(None).cast("boolean"), "error"),
+    (lambda r: r.cell("no_such_key").number > 0, "error"),
+])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_any_rule_is_isolated(spark, check, outcome, ansi):
+    df = responses.extract(spark.createDataFrame([("1", "invoice", invoice(), None)], "doc_id string, doc_type string, response string, fallback_response string"))
+    plain = validation.Rule("vendor_name_present", validation.present("vendor_name"))
+    rules = {t: [] for t in validation.RULES} | {"invoice": [own_rule(check, warnings=F.array(F.lit("w,1"), F.lit('"2"'))), plain]}
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        row = validation.validate(df, rules, freeform=False).first()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    own, other = row.rules
+    assert (other.name, other.outcome) == ("vendor_name_present", "passed")
+    assert own.outcome == outcome
+    assert own.warnings == ([] if outcome == "error" else ["w,1", '"2"'])
+    assert row.failed_rules == {"passed": [], "failed": ["own"], "error": ["own (error)"]}[outcome]
+    assert row.overall_valid == (outcome == "passed")
+
+
+def test_warnings_that_raise_are_an_error(spark):
+    df = responses.extract(spark.createDataFrame([("1", "invoice", invoice(), None)], "doc_id string, doc_type string, response string, fallback_response string"))
+    share = F.lit(1) / (F.col("invoice.total_amount") - 10.5)
+    rule = validation.Rule("own", lambda record: validation.Outcome(F.lit(True), F.array(share.cast("string"), share.cast("string"))))
+    assert validation.validate(df, {t: [rule] for t in validation.RULES}).first().failed_rules == ["own (error)"]
+
+
+def test_scoring_metadata_and_failure(spark):
+    leaf = "array<struct<path:string,key:string,value:string,llm_conf:double,falsy:boolean>>"
+    df = spark.createDataFrame([
+        (1, [("a", "a", "x", 0.9, False)], ["p"], [], None, "llm_structured"), (2, None, [], ["total_bad"], 0.5, "fallback_json"),
+        (3, [], [], ["f"], 0.25, "failed")], f"i long, leaves {leaf}, passed_rules array<string>, failed_rules array<string>, ocr_quality double, extraction_method string")
+    fine, lost, empty = sorted(scoring.score(df, Weights(llm=2.0, ocr=1.0, validation=1.0)).collect(), key=lambda r: r.i)
+    assert fine.scoring_metadata.asDict(True) == {
+        "ocr_quality": 0.8, "extraction_method": "llm_structured", "validation_passed": True, "error": None,
+        "weights_used": {"llm_weight": 0.5, "ocr_weight": 0.25, "validation_weight": 0.25}}
+    assert (lost.overall_confidence, lost.avg_field_confidence, lost.scored) == (0.5, 0.5, [])
+    assert lost.scoring_metadata.error and lost.scoring_metadata.weights_used is None
+    assert empty.scoring_metadata.error is None and empty.scoring_metadata.validation_passed is False
