@@ -19,6 +19,12 @@ def _piece(position: Column, size: int | None) -> Column:
     return F.lit(0).cast("long") if size is None else (position / size).cast("long")
 
 
+def in_order(text: str, between: str, *order: str) -> Column:
+    """Aggregate: the texts of a group in order, ties by the text itself, joined; null if there are none."""
+    keys = ", ".join(f"`{name}`" for name in (*order, text))
+    return F.expr(f"listagg(`{text}`, '{between}') WITHIN GROUP (ORDER BY {keys})")
+
+
 def page_piece(page_num: Column, text: Column) -> Column:
     """One page as it appears in the cleaned document text, ending in a blank.
 
@@ -39,10 +45,8 @@ def assemble_pages(pages: DataFrame, doc_id: str = "doc_id",
     """
     pieces = pages.select(
         doc_id, _piece(F.col("page_num") - 1, pages_per_segment).alias("segment"),
-        F.struct("page_num", page_piece(F.col("page_num"), F.col("text")).alias("piece")).alias("_p"))
-    joined = pieces.groupBy(doc_id, "segment").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
-    joined = joined.select(doc_id, "segment", F.size("_ps").cast("long").alias("pages"),
-                           F.array_join(F.col("_ps.piece"), "").alias("_t"))
+        "page_num", page_piece(F.col("page_num"), F.col("text")).alias("piece"))
+    joined = pieces.groupBy(doc_id, "segment").agg(F.count("*").alias("pages"), in_order("piece", "", "page_num").alias("_t"))
     return joined.select(
         doc_id, "segment", "pages", F.rtrim("_t").alias("text"),
         (F.length("_t") - F.length(F.rtrim("_t"))).cast("long").alias("tail_blanks"))
@@ -102,8 +106,7 @@ def ocr_page_text(pages: DataFrame, tokens: DataFrame, doc_id: str = "doc_id",
     """
     parts = _usable_tokens(tokens).groupBy(
         doc_id, "page_num", _piece(F.col("pos"), tokens_per_part).alias("part"),
-    ).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_ws"))
-    parts = parts.select(doc_id, "page_num", "part", F.array_join(F.col("_ws.word"), " ").alias("text"))
+    ).agg(in_order("word", " ", "pos").alias("text"))
     failed = tx.filled(fv.OCR_FAILED_PAGE, error=F.col("error"))
     good = pages.filter(F.col("error").isNull()).select(doc_id, "page_num").join(
         parts, [doc_id, "page_num"], "left")

@@ -17,7 +17,7 @@ from foliograde.functions import confidence as cf
 from foliograde.functions import text as tx
 from foliograde.functions.confidence import Weights
 from foliograde.operators import (
-    batch, fields, pages, requests, responses, results, routing, scoring, summary, validation,
+    batch, fields, pages, requests, responses, results, routing, scoring, similarity, summary, validation,
 )
 from foliograde.plans import inputs
 from foliograde.session import shared_folder
@@ -329,10 +329,18 @@ def extract_phones(spark, sf):
 @query
 def char_jaccard(spark, sf):
     bench = inputs.table(spark, sf, "benchmark", "item_id", F.col("text").alias("other"))
-    pairs = documents(spark, sf).join(bench, F.col("doc_id") % bench.count() == F.col("item_id"))
+    size = bench.select(F.count("*").alias("n")).scalar()
+    pairs = documents(spark, sf).withColumn("size", size).join(bench, F.col("doc_id") % F.col("size") == F.col("item_id"))
     return pairs.select("doc_id", "item_id", r6(tx.char_jaccard(F.col("text"), F.col("other"))).alias("similarity"))
 
 
+@query
+def char_best_items(spark, sf):
+    """For each document the benchmark item with the most similar set of characters."""
+    found = similarity.best_items(documents(spark, sf), inputs.table(spark, sf, "benchmark", "item_id", "text"))
+    return found.withColumn("similarity", r6("similarity"))
+
+
 @query
 def bbox_struct(spark, sf):
     """Boxes from embedding vectors: every fifth row has too few numbers."""

@@ -335,10 +335,12 @@ def layer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents the pages belong to, with a short reply each."""
+    """The documents the pages belong to, with replies of four shapes: typed, typed with a repeated key, free-form, none."""
+    c = F.floor(F.col("doc_id") / 3) % 4
+    first = (F.when(c == 0, '{"currency": "EUR"}').when(c == 1, '{"currency": 5, "currency": "EUR"}').when(c == 2, "Nothing to report."))
     return conversation_pages(spark, sf_dir).select("doc_id").distinct().select(
         "doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"),
-        F.lit('{"currency": "EUR"}').alias("response"), F.lit(None).cast("string").alias("fallback_response"))
+        first.alias("response"), F.when(c == 2, 'Sure: {"currency": "EUR", "level": 2, "none": null} as asked').alias("fallback_response"))
 
 
 def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +371,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.money(x.total_price)))
     raw = F.when(F.size("lines") > 0, F.concat(F.array(header), body)).otherwise(
         F.array().cast("array<array<string>>"))
-    return order_documents(spark, sf_dir).select(
+    return order_documents(spark, sf_dir, notes=False).select(
         "doc_id", F.col("o_orderkey"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("page"),
         F.lit(0).alias("table_index"), raw.alias("raw"))
 

@@ -404,16 +404,16 @@ SELECT s.doc_id, CASE WHEN scanned THEN 'ocr' ELSE 'text' END AS text_source,
 FROM scans s LEFT JOIN doc_quality d ON s.doc_id = d.doc_id""")
 
 CTE["page_docs"] = f"""
-  SELECT c.doc_id, q, density, c.doc_id % 5 <> 0 AS routed, c.doc_id % 3 AS kind
+  SELECT c.doc_id, q, density, c.doc_id % 5 <> 0 AS routed, c.doc_id % 3 AS kind, c.doc_id // 3 % 4 AS shape
   FROM (SELECT DISTINCT doc_id FROM convo) c LEFT JOIN scan_check s ON c.doc_id = s.doc_id
   LEFT JOIN doc_quality d ON c.doc_id = d.doc_id"""
 put("pages_to_results", f"""
 SELECT doc_id, CASE WHEN NOT routed THEN 'unknown' WHEN kind = 0 THEN 'invoice' WHEN kind = 1 THEN 'medical_bill'
     ELSE 'prescription' END AS doc_type,
   {r6("CASE WHEN density >= 50 THEN 1.0::DOUBLE ELSE coalesce(q, 0.8) END")} AS ocr_quality,
-  CASE WHEN routed THEN 'llm_structured' ELSE 'failed' END AS extraction_method,
+  CASE WHEN routed AND shape < 2 THEN 'llm_structured' WHEN routed AND shape = 2 THEN 'fallback_json' ELSE 'failed' END AS extraction_method,
   {r6("CASE WHEN routed THEN 0.75::DOUBLE ELSE 0.0 END")} AS routing_confidence,
-  CASE WHEN routed AND kind <> 2 THEN 1 ELSE 0 END::BIGINT AS field_count
+  CASE WHEN routed AND shape = 2 THEN 2 WHEN routed AND shape < 2 AND kind <> 2 THEN 1 ELSE 0 END::BIGINT AS field_count
 FROM page_docs""")
 
 CTE["table_rows"] = """
@@ -455,6 +455,12 @@ SELECT doc_id, item_id, {r6('len(list_intersect(a, b)) / len(list_distinct(list_
 FROM (SELECT doc_id, item_id, list_distinct(string_split(lower(d.text), '')) AS a,
       list_distinct(string_split(lower(b.text), '')) AS b
       FROM documents d JOIN benchmark b ON doc_id % (SELECT count(*) FROM benchmark) = item_id)""")
+put("char_best_items", f"""
+SELECT doc_id, item_id, {r6('s')} AS similarity FROM (
+  SELECT doc_id, item_id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS s
+  FROM (SELECT doc_id, list_distinct(string_split(lower(text), '')) AS a FROM documents WHERE text <> ''),
+    (SELECT item_id, list_distinct(string_split(lower(text), '')) AS b FROM benchmark WHERE text <> ''))
+WHERE s >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, item_id) = 1""")
 put("bbox_struct", "SELECT vec_id, " + ", ".join(
     f"{r6(f'CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE embedding[{i + 1}]::DOUBLE END')} AS {n}"
     for i, n in enumerate(("x0", "y0", "x1", "y1"))) + " FROM embeddings")
