@@ -16,8 +16,9 @@ from foliograde import fixed_values as fv
 from foliograde.functions import confidence as cf
 from foliograde.functions import text as tx
 from foliograde.functions.confidence import Weights
+from foliograde.functions.once import with_once
 from foliograde.operators import (
-    batch, fields, pages, requests, responses, results, routing, scoring, similarity, summary, validation,
+    batch, fields, freeform, pages, requests, responses, results, routing, scoring, similarity, summary, validation,
 )
 from foliograde.plans import inputs
 from foliograde.session import shared_folder
@@ -471,7 +472,8 @@ def response_rejects(spark, sf):
 def fallback_json(spark, sf):
     """What the second reply holds between its outer braces, read key by key."""
     df = inputs.replies(spark, sf).withColumn("span", responses.braced(F.col("fallback_response")))
-    data = F.try_parse_json("span")
+    df = with_once(df, {"read": freeform.read(F.col("span"))})
+    data = F.try_parse_json("read.json")
     return df.filter(F.col("fallback_response").isNotNull()).select(
         "doc_id", F.col("span").isNotNull().alias("has_span"), data.isNotNull().alias("is_json"),
         F.try_variant_get(data, "$.vendor_email", "string").alias("vendor_email"),
@@ -661,17 +663,19 @@ def validate_unreadable(spark, sf):
 
 @query
 def structural_check(spark, sf):
-    """Published results, some of them damaged, checked for their shape."""
-    e = F.col("event_id")
-    whole = F.concat(
-        F.lit('{"doc_type": "invoice", "overall_confidence": '), (F.col("value") / 50.0).cast("string"),
-        F.lit(', "fields": [{"name": "k", "value": "1", "confidence": 0.5}'),
-        F.when(e % 5 == 0, ', {"name": "x"}').when(e % 5 == 1, ", 7").otherwise(""), F.lit("]}"))
-    record = F.when(e % 7 == 0, '{"overall_confidence": 0.5}').otherwise(whole)
-    df = inputs.table(spark, sf, "events", "event_id", "value").select(
-        "event_id", validation.structural_issues(record).alias("issues"))
-    return df.select("event_id", (F.size("issues") == 0).alias("is_valid"),
-                     F.array_join("issues", "; ").alias("issues"))
+    """Published results as JSON, some of them damaged, checked for their shape."""
+    o = F.col("doc_id").cast("long")
+    done = published(spark, sf).select("doc_id", "doc_type", "fields", "overall_confidence")
+    listed = F.to_json("fields")
+    odd = F.when(o % 5 == 0, '{"name": "x"}').when(o % 5 == 1, "7")
+    more = F.concat(F.expr("left(_fields, length(_fields) - 1)"), F.when(F.length("_fields") > 2, ", ").otherwise(""), odd, F.lit("]"))
+    done = with_once(done, {"_fields": listed})
+    number = F.when(o % 11 == 0, F.lit("5.5")).when(o % 11 == 1, '"high"').otherwise(F.col("overall_confidence").cast("string"))
+    whole = F.concat(F.lit('{"doc_type": "'), F.col("doc_type"), F.lit('", "overall_confidence": '), number,
+                     F.lit(', "fields": '), F.coalesce(more, F.col("_fields")), F.lit("}"))
+    record = F.when(o % 7 == 0, F.to_json(F.struct("overall_confidence"))).otherwise(whole)
+    df = with_once(done.select("doc_id", record.alias("record")), {"issues": validation.structural_issues(F.col("record"))})
+    return df.select("doc_id", (F.size("issues") == 0).alias("is_valid"), F.array_join("issues", "; ").alias("issues"))
 
 
 # --- scoring ---------------------------------------------------------------------------------------

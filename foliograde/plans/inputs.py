@@ -248,7 +248,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Shapes: 0 all keys, half of them with a key repeated, 1 null keys left out, half of them with a NaN, 2 prose around the JSON, 3 code fence, 4 null in
     place of the list, 5 a list element without its name, 6 a confidence above 1, 7 an amount
-    with a thousands separator, 8 no JSON at all, 9 broken JSON.
+    with a thousands separator, 8 no JSON at all, 9 broken JSON.  Of the second replies every fourth holds repeated keys,
+    a NaN and half surrogate pairs, or, in shape 5, two objects.
     """
     df = records(spark, sf_dir).withColumn("case", case())
     record = F
@@ -270,6 +271,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "vendor_email": "'), F.when(every(2), "sales@example.com").otherwise("sales at example"),
         F.lit('", "contact_phone": "'), F.when(every(5), "12").otherwise("+1 555-123-4567"),
         F.lit('", "total_amount_confidence": 0.85, "extra": {"checked": true, "codes": [1, 2], "level": 1500.0}'))
+    # a NaN, half a surrogate pair and repeated keys, none of which leaves a field
+    extras = F.concat(F.when(every(4), ', "vendor_email": 7').otherwise(""), extras, F.when(
+        every(4), ', "odd_confidence": NaN, "half_confidence": "\\ud800", "half_confidence": "\\udc00"').otherwise(""))
     c = F.col("case")
     rest = F.substring("_full", F.lit(2), F.length("_full"))
     first = (
@@ -284,7 +288,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise('{"currency": "USD", ')
     )
     second = (
-        F.when(c.isin(2, 4, 5, 6), F.concat(F.lit("Sure: "), plus(extras), F.lit(" Done.")))
+        F.when((c == 5) & every(4), 'Either {"a": "x"} or {"b": "y"}')
+        .when(c.isin(2, 4, 5, 6), F.concat(F.lit("Sure: "), plus(extras), F.lit(" Done.")))
         .when(c == 7, F.concat(plus(extras)))
         .when(c == 8, "Sorry, nothing found.")
         .when(c == 9, 'Almost: {"currency": "USD", }')

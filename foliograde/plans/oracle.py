@@ -563,36 +563,38 @@ CTE["records"] = """
 put("parse_typed_response", f"""
 SELECT doc_id, kind AS doc_type, code, date, total_amount, currency, items, {r6('item_total')} AS item_total
 FROM records WHERE o // 3 % 10 IN (0, 1, 3) AND o % 40 <> 0""")
+#: Shapes whose second reply holds one JSON object.
+FREE = "(c IN (2, 4, 5, 6, 7) AND NOT (c = 5 AND o % 4 = 0))"
 put("response_rejects", """
 SELECT doc_id, kind AS doc_type, c AS "case" FROM shapes WHERE c NOT IN (0, 1, 3) AND o % 40 <> 0""")
-put("fallback_json", """
-SELECT doc_id, c <> 8 AS has_span, c IN (2, 4, 5, 6, 7) AS is_json,
-  CASE WHEN c IN (2, 4, 5, 6, 7) THEN CASE WHEN o % 2 = 0 THEN 'sales@example.com' ELSE 'sales at example' END END AS vendor_email,
-  CASE WHEN c IN (2, 4, 5, 6, 7) THEN CASE WHEN o % 5 = 0 THEN '12' ELSE '+1 555-123-4567' END END AS contact_phone,
-  CASE WHEN c IN (2, 4, 5, 6, 7) THEN 1500.0::DOUBLE END AS level
+put("fallback_json", f"""
+SELECT doc_id, c <> 8 AS has_span, {FREE} AS is_json,
+  CASE WHEN {FREE} THEN CASE WHEN o % 2 = 0 THEN 'sales@example.com' ELSE 'sales at example' END END AS vendor_email,
+  CASE WHEN {FREE} THEN CASE WHEN o % 5 = 0 THEN '12' ELSE '+1 555-123-4567' END END AS contact_phone,
+  CASE WHEN {FREE} THEN 1500.0::DOUBLE END AS level
 FROM shapes WHERE c NOT IN (0, 1, 3)""")
 
 
 def outcome(known: str) -> str:
     return (f"CASE WHEN NOT ({known}) THEN 'failed' WHEN c IN (0, 1, 3) THEN 'llm_structured' "
-            f"WHEN c IN (2, 4, 5, 6, 7) THEN 'fallback_json' ELSE 'failed' END")
+            f"WHEN {FREE} THEN 'fallback_json' ELSE 'failed' END")
 
 
 put("extraction_outcome", f"""
 SELECT doc_id, CASE WHEN o % 40 = 0 THEN 'unknown' ELSE kind END AS doc_type,
   {outcome('o % 40 <> 0')} AS extraction_method,
   CASE WHEN o % 40 = 0 THEN 'Unknown document type: unknown' WHEN c = 8 THEN
-    'All extraction methods failed: No valid JSON found in response' WHEN c = 9 THEN
+    'All extraction methods failed: No valid JSON found in response' WHEN c = 9 OR c = 5 AND o % 4 = 0 THEN
     'All extraction methods failed: Invalid JSON' END AS error FROM shapes""")
 put("model_apply_stub", f"""
 SELECT doc_id, 'invoice' AS doc_type, 0.5::DOUBLE AS confidence,
   (length({text_literal(fv.ROUTING_USER_PROMPT)}) + least(length(text), 2003))::VARCHAR AS reasoning
 FROM (SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS text FROM documents)
 WHERE NOT regexp_matches(text, {text_literal(BLANK)})""")
-put("extract_phones", """
+put("extract_phones", f"""
 SELECT doc_id, 'phone' AS kind, value, pos::BIGINT AS pos
 FROM shapes CROSS JOIN (VALUES ('555-123-4567', 0), ('+1 555-123-4567', 1)) v(value, pos)
-WHERE c IN (2, 4, 5, 6, 7) AND o % 5 <> 0""")
+WHERE {FREE} AND o % 5 <> 0""")
 
 CTE["last_events"] = """
   SELECT '/in/u' || user_id AS path, max(event_id) AS entry, arg_max(CASE event_id % 3 WHEN 0 THEN 'Invoice total '
@@ -680,15 +682,6 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS pos,
   {r6(f"coalesce(stated, CASE WHEN key = 'n' AND value = '0' THEN 0.0::DOUBLE ELSE {looks('value')} END)")} AS llm_conf
 FROM event_leaves WHERE value IS NOT NULL""")
 
-put("structural_check", """
-SELECT event_id, issues = '' AS is_valid, issues FROM (
-  SELECT event_id, concat_ws('; ', CASE WHEN s THEN 'Missing required key: doc_type' END,
-    CASE WHEN s THEN 'Missing required key: fields' END,
-    CASE WHEN NOT s AND NOT (value / 50.0 BETWEEN 0 AND 1) THEN 'Overall confidence not between 0 and 1' END,
-    CASE WHEN NOT s AND e = 0 THEN 'Field 1 missing key: value; Field 1 missing key: confidence' END,
-    CASE WHEN NOT s AND e = 1 THEN 'Field 1 is not a dictionary' END) AS issues
-  FROM (SELECT event_id, value, event_id % 7 = 0 AS s, event_id % 5 AS e FROM events))""")
-
 # --- scoring -----------------------------------------------------------------------------------------------------
 
 put("score_fields", f"SELECT doc_id, pos, path, {r6('confidence')} AS confidence FROM scored")
@@ -755,6 +748,15 @@ FROM (SELECT doc_id, any_value(kind) AS doc_type, string_agg(rule, ',' ORDER BY
         string_agg(warning, ',') AS own FROM own_rules JOIN (SELECT doc_id AS k, kind FROM docs) ON doc_id = k GROUP BY doc_id)
   LEFT JOIN own_warnings ON doc_id = x_id""")
 
+put("structural_check", """
+SELECT doc_id, issues = '' AS is_valid, issues FROM (
+  SELECT doc_id, concat_ws('; ', CASE WHEN s THEN 'Missing required key: doc_type' END,
+    CASE WHEN s THEN 'Missing required key: fields' END,
+    CASE WHEN NOT s AND o % 11 IN (0, 1) THEN 'Overall confidence not between 0 and 1' END,
+    CASE WHEN NOT s AND o % 5 = 0 THEN 'Field ' || field_count || ' missing key: value; Field ' || field_count || ' missing key: confidence' END,
+    CASE WHEN NOT s AND o % 5 = 1 THEN 'Field ' || field_count || ' is not a dictionary' END) AS issues
+  FROM (SELECT r.doc_id, field_count, o, o % 7 = 0 AS s FROM results r JOIN docs d ON r.doc_id = d.doc_id))""")
+
 # --- the whole chain ----------------------------------------------------------------------------------------------
 
 CTE["chain"] = f"""
