@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
-from foliograde.operators import results
-from foliograde.plans import inputs
+from foliograde.operators import batch, results
+from foliograde.plans import catalog, inputs
 from foliograde.streaming import ingest
 
 ID_SCHEMA = "doc_id string, source_file string, text string, ocr_quality double, response string, fallback_response string"
@@ -90,3 +90,25 @@ def test_stream_equals_batch_and_stores_once(spark, stored_replies, tmp_path):
     batch = sorted(map(tuple, results.process_documents(df, "doc_id").select(columns).collect()))
     assert stored == batch
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 2
+
+
+@pytest.mark.parametrize("name", ["route_with_fallback", "pages_to_results", "extraction_outcome", "validate_own_rules"])
+def test_code_is_generated_whole(spark, sf, name):
+    """No stage is too large to compile, which would quietly interpret it."""
+    settings = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        assert catalog.QUERIES[name](spark, sf).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_metrics_of_a_batch(spark, tmp_path):
+    rows = [(i, f"/in/{i % 6}", text, None, reply, None) for i, (text, reply) in enumerate(
+        [("an invoice", '{"vendor_name": "a", "currency": null}'), ("  ", None), ("rx", None), ("an invoice", "{}"), ("nothing", None), ("hospital", None)] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source_file string, text string, ocr_quality double, response string, fallback_response string")
+    totals, metrics = batch.run_batch(docs, str(tmp_path), "doc_id", "doc_id")
+    assert metrics == {"documents": 6, "errors": 1, "fields": 2}  # the last entry of each path; one without text
+    assert (totals.first().total_files, totals.first().failed) == (6, 1)
