@@ -165,6 +165,24 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.where("text IS NULL")).count() >= 0
 
 
+def test_mix_takes_repeated_rows_by_number(spark):
+    equal = [(1, "w " * 100, "a")] * 10 + [(None, "v " * 70, "b")] * 31 + [(3, "u " * 90, "b"), (4, "t " * 11, "b"), (5, "", "b")] + [(6, "s " * 40, "c")] * 4
+    docs = spark.createDataFrame(equal, "doc_id long, text string, source string").repartition(7)
+    report = mixing.mix_report(docs, weights=(1, 1, 1), factor=1.2).collect()
+    assert len(report) == len(equal)
+    by_size = collections.defaultdict(list)
+    for r in report:
+        by_size[(r.source_size, r.target)].append(r)
+    for (_, target), rows in by_size.items():
+        assert abs(sum(r.taken for r in rows) - target) <= max(r.size for r in rows) / 2 + 1
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in rows)
+    whole = mixing.mixed_documents(docs, weights=(1, 1, 1), factor=1.2)
+    assert whole.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.source) for r in whole.collect())
+    assert got[(1, "a")] == sum(r.taken for r in report if r.doc_id == 1) // 100
+    assert got[(None, "b")] == sum(r.taken for r in report if r.doc_id is None) // 70
+
+
 def test_toxicity_learns_words(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(["lo", "rem", "ip", "sum", "do", "lor"], 12)) + (" filth" if i % 5 == 0 else "") for i in range(400)]
