@@ -275,19 +275,26 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that link, directly or over others, to a document with a smaller id.
+    """The rows of ``docs`` without those that link, directly or over others, to a row that stays.
 
-    All columns are kept.  Documents without words and rows without an id stay.  Of rows repeated in full one stays;
-    different texts under one id are one document, and stay or go together.
+    All columns are kept.  A row is told by its id and text, so two texts under one id are judged apart, and rows without
+    an id like others.  Of linked rows the one with the smallest id stays, null last; of rows with equal id and text
+    one stays, with or without words; other documents without words stay; no rows give no rows.
     """
-    found = saved(similar_documents(docs, size, percent), "similar")
-    gone = saved(found.where("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    again = saved(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "again")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
-    kept = rows.join(_sized(gone), "_id", "left_anti")
+    key = F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"], docs["text"].isNull(), docs["text"])
+    found = saved(similar_documents(docs.select(key.alias("doc_id"), docs["text"].alias("text")), size, percent), "similar")
+    each = found.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("component_id").alias("part"), F.count("*").alias("rows"))
+    ids = docs.select(key.alias("doc_id"), docs["doc_id"].cast("long").alias("own")).groupBy("doc_id").agg(F.min("own").alias("own"))
+    facts = saved(each.join(ids, "doc_id"), "facts")
+    linked = facts.where("n > 0")
+    stays = linked.groupBy("part").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")).alias("first")).select("first.doc_id")
+    gone = saved(linked.join(stays, "doc_id", "left_anti").select(F.col("doc_id").alias("_key")), "gone")
+    again = saved(facts.where("rows > 1").select(F.col("doc_id").alias("_key")), "again")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("_key"))
+    kept = rows.join(_sized(gone), "_key", "left_anti")
     if not again.isEmpty():
-        once = kept.join(_sized(again), "_id", "left_anti")
-        kept = once.unionByName(kept.join(_sized(again), "_id", "left_semi").dropDuplicates(["_id", "_text"]))
+        once = kept.join(_sized(again), "_key", "left_anti")
+        kept = once.unionByName(kept.join(_sized(again), "_key", "left_semi").dropDuplicates(["_key"]))
     return kept.select("row.*")
 
 
