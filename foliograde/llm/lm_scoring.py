@@ -284,7 +284,8 @@ def _model(train: DataFrame) -> dict:
     top = counts.orderBy(F.desc("n"), "word").limit(sizes.own - 1).toArrow()  # about half the root of the distinct words
     own = {int(w): i + 1 for i, w in enumerate(x for x in top.column("word").to_pylist() if x != int(END.view(np.int64)))}
     own[int(END.view(np.int64))] = 0
-    table = counts.where(F.col("n") >= least).toArrow()  # TABLE_WORDS rows at most
+    is_end = F.col("word") == int(END.view(np.int64))  # always in the table: the later join looks up words only
+    table = counts.where((F.col("n") >= least) | is_end).toArrow()  # TABLE_WORDS rows at most, and the end
     hashes = table.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     hashes, n, shapes = hashes[order], table.column("n").to_numpy()[order], table.column("shape").to_numpy()[order]
