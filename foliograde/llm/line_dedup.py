@@ -29,6 +29,14 @@ BROADCAST_GONE, BROADCAST_REMOVED = 1_000_000, 300_000
 _U = np.uint64
 
 
+def ordered(key: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """An order by key, then hash.  Keys hold most of the hash, so that only keys that meet need the whole of it."""
+    order = np.argsort(key, kind="stable")
+    if np.any((key[order[1:]] == key[order[:-1]]) & (hashes[order[1:]] != hashes[order[:-1]])):
+        order = np.lexsort((hashes, key))
+    return order
+
+
 class Lines:
     """Lines with words of an array of texts: their words in order of rarity, each word once."""
 
@@ -41,7 +49,7 @@ class Lines:
         if rarity is not None:
             level = np.minimum(np.log2(rarity.count(words.hash) + 1.0) * 8, 255).astype(np.uint64)
             order_key = (line.astype(np.uint64) << _U(40)) | (level << _U(32)) | (words.hash >> _U(32))
-        order = np.argsort(order_key, kind="stable")
+        order = ordered(order_key, words.hash)
         line, hashes = line[order], words.hash[order]
         fresh = np.ones(len(line), bool)
         fresh[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])

@@ -420,4 +420,21 @@ def test_line_dedup_of_more_lines_than_a_task_holds(spark):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_words_with_equal_keys_are_told_apart():
+    key, hashes = np.array([7, 7, 7, 3], np.uint64), np.array([1, 2, 1, 9], np.uint64)
+    assert hashes[line_dedup.ordered(key, hashes)].tolist() == [9, 1, 1, 2]
+    many = np.random.default_rng(0).integers(0, 50, 2000).astype(np.uint64)
+    by_key = many[line_dedup.ordered(many // np.uint64(7), many)]
+    assert (np.flatnonzero(np.diff(by_key.astype(np.int64))).size + 1) == len(set(many.tolist()))
+
+
+def test_the_end_of_texts_is_known_however_rare(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TABLE_WORDS", 30)
+    text = " ".join(f"w{i}" for i in range(40)) + " " + " ".join(f"w{i}" for i in range(40))
+    row = lm_scoring.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), F.lit(False)).first()
+    counts, total, distinct = collections.Counter(text.split()) + collections.Counter({None: 1}), 81, 41
+    assert (row.n_tokens, row.n_known, row.train_tokens) == (81, 81, 81)
+    assert row.base_score == pytest.approx(sum(n * math.log10((n + 1) / (total + distinct + 1)) for n in counts.values()))
