@@ -51,7 +51,9 @@ NAMED = re.compile(
     r"newsletter|subscribe|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|skip|search|copyright)(?:$|[\s_-])", re.I)
 ROLES = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar)\b""", re.I)
 MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
+#: ``hidden`` as an attribute of its own, or a style that hides; what other attributes say does not count.
+HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|/|$)|style\s*=\s*(?:"[^"]*display\s*:\s*none[^"]*"|'[^']*display\s*:\s*none[^']*'|[^\s"'>]*display:none))""", re.I)
+QUOTED = re.compile(r"""(?<![^\s=])((?!style\b)[^\s="'>]+\s*=\s*)(?:"[^"]*"|'[^']*')""", re.I)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|repl(?:y|ies))(?:$|[\s_-])", re.I)
 MARKUP = re.compile(
@@ -140,7 +142,7 @@ class Page:
             if attributes and not drop:
                 names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
                 named = COMMENTS if tag in KEPT else NAMED
-                drop = bool(tag not in ("html", "body") and (names and named.search(names) or HIDDEN.search(attributes) or tag not in KEPT and ROLES.search(attributes)))
+                drop = bool(tag not in ("html", "body") and (names and named.search(names) or HIDDEN.search(QUOTED.sub(r"\1", attributes)) or tag not in KEPT and ROLES.search(attributes)))
             self.dropped[node] = drop
             if not drop and not self.inside[node] and (tag in ("article", "main") or attributes and MAIN_ROLE.search(attributes)):
                 self.inside[node] = True

@@ -438,3 +438,12 @@ def test_the_end_of_texts_is_known_however_rare(spark, monkeypatch):
     counts, total, distinct = collections.Counter(text.split()) + collections.Counter({None: 1}), 81, 41
     assert (row.n_tokens, row.n_known, row.train_tokens) == (81, 81, 81)
     assert row.base_score == pytest.approx(sum(n * math.log10((n + 1) / (total + distinct + 1)) for n in counts.values()))
+
+
+@pytest.mark.parametrize("attributes,shown", [
+    ('title="the hidden gem"', True), ("title='not hidden at all' lang=en", True), ('data-x="display: none"', True), ("data-hidden=1", True), ('class="x" title="a style=\'display:none\' b"', True),
+    ("hidden", False), ('lang="en" hidden', False), ('hidden="until-found" title="x"', False), ('style="color: red; display : none"', False),
+    ("STYLE='display:none'", False), ("style=display:none", False), ('title="y" style="display:none"', False), ("hidden/", False)])
+def test_only_the_attribute_hides(attributes, shown):
+    page = html_text.Page(f"<div><p {attributes}>Gem text</p><p>and more</p></div>")
+    assert page.text(frozenset()) == ("Gem text and more" if shown else "and more")
