@@ -1,8 +1,9 @@
 """Log-probabilities of whole texts under a log-bilinear model trained by noise-contrastive estimation.
 
 Every word belongs to a class: the most frequent words and the end of a text have one of their own, all others one
-by their last three bytes, and in it a slot by their hash.  Classes and slots grow with the root of the number of
-distinct words, so that there are about half as many pairs of class and slot as words.  A log-bilinear model predicts
+by their last three bytes, and in it a slot by their hash.  Classes and slots each grow with the cube root of the number
+of distinct words, as the words within a pair of both then do, so that the work for a token grows no faster and each
+vector is met often enough to be learned.  A log-bilinear model predicts
 the class of a token and then its slot within the class, both from the four tokens before it, each of which has the
 sum of a vector for its class and one for its slot.  Within a slot of a class a word has its add-one share of the
 training count, and one share stands for the words never seen.  Scores are matrix products over batches of tokens,
@@ -23,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ BATCH, NOISE, NOISE_RATIO, RATE, ROUNDS = 2048, 48, 8.0, 0.15, 2
 END = np.uint64(0x6A09E667F3BCC908)
 #: Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 1_000_000
+#: Tasks that add up the parameters of all training tasks before one adds up theirs.
+FAN = 64
 
 
 class Sizes(NamedTuple):
@@ -65,8 +69,8 @@ class Sizes(NamedTuple):
 
 
 def sizes_for(distinct: int) -> Sizes:
-    """About the root of the distinct words, for classes and for slots."""
-    classes = max(CLASSES, math.isqrt(distinct))
+    """About the cube root of the distinct words, for classes and for slots."""
+    classes = max(CLASSES, round(distinct ** (1 / 3)))
     return Sizes(classes, classes // 2, classes)
 
 
@@ -281,7 +285,7 @@ def _model(train: DataFrame) -> dict:
             least = math.ceil(2 ** ((b + 1) / 4) - 1e-9)
             break
     sizes = sizes_for(distinct)
-    top = counts.orderBy(F.desc("n"), "word").limit(sizes.own - 1).toArrow()  # about half the root of the distinct words
+    top = counts.orderBy(F.desc("n"), "word").limit(sizes.own - 1).toArrow()  # about half the cube root of the distinct words
     own = {int(w): i + 1 for i, w in enumerate(x for x in top.column("word").to_pylist() if x != int(END.view(np.int64)))}
     own[int(END.view(np.int64))] = 0
     is_end = F.col("word") == int(END.view(np.int64))  # always in the table: the later join looks up words only
@@ -300,7 +304,7 @@ def _model(train: DataFrame) -> dict:
     sums, cells = np.zeros(sizes.classes), np.ones((sizes.classes - sizes.own, sizes.slots), np.float32)
     shape, slot = sizes.cell_columns()
     many = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word long")), "word", "left_anti")
-    found = many.groupBy(shape.alias("shape"), slot.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("words")).toArrow()  # half as many rows as words
+    found = many.groupBy(shape.alias("shape"), slot.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("words")).toArrow()  # a row per cell: half the power 2/3 of the words
     at, place, counted = (found.column(x).to_numpy() for x in ("shape", "slot", "n"))
     cells[at, place] += counted + found.column("words").to_numpy()
     sums[sizes.own:] = np.bincount(at, counted, sizes.classes - sizes.own)
@@ -336,17 +340,32 @@ def _averaged(part: DataFrame, start, shares: np.ndarray, small_table, before_ro
                 words = words_of(texts, PLAIN)
                 trainer.learn(*_tokens(words, lookup.find(words)[0], sizes)[0])
         if trainer.tokens:
-            yield pa.record_batch(
-                [pa.array(np.arange(len(trainer.flat))), pa.array(trainer.flat.astype(np.float64)), pa.array(np.full(len(trainer.flat), float(trainer.tokens)))],
-                names=["place", "value", "weight"])
+            yield _sum_row(TaskContext.get().partitionId(), trainer.flat * float(trainer.tokens), float(trainer.tokens))
 
-    found = (
-        part.mapInArrow(trained, "place long, value double, weight double")
-        .groupBy("place").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value")).toArrow()  # a row per parameter
-    )
-    flat = before_round.copy()
-    flat[found.column("place").to_numpy()] = found.column("value").to_numpy()
-    return flat
+    sums = part.mapInArrow(trained, _SUM).repartition(FAN, "task").mapInArrow(_added, _SUM)
+    found = sums.repartition(1).mapInArrow(_added, _SUM).collect()  # one row, of all parameters
+    return np.divide(np.frombuffer(found[0]["total"]), found[0]["weight"]).astype(np.float32) if found else before_round.copy()
+
+
+_SUM = "task long, total binary, weight double"
+
+
+def _sum_row(task: int, total: np.ndarray, weight: float) -> pa.RecordBatch:
+    return pa.record_batch(
+        [pa.array([task], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary()), pa.array([weight])], names=["task", "total", "weight"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all rows of a task: sums of parameters, weighted by tokens; one row is held at a time."""
+    total, weight, task = None, 0.0, 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = np.frombuffer(batch.column(1)[i].as_buffer())
+            total = own.copy() if total is None else total + own
+            weight += batch.column(2)[i].as_py()
+            task = batch.column(0)[i].as_py()
+    if total is not None:
+        yield _sum_row(task, total, weight)
 
 
 def scored(docs: DataFrame, held_out) -> DataFrame:
