@@ -40,6 +40,8 @@ BATCH, NOISE, NOISE_RATIO, RATE, ROUNDS = 2048, 48, 8.0, 0.15, 2
 END = np.uint64(0x6A09E667F3BCC908)
 #: Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 1_000_000
+#: Tokens scored at once: few enough that their scores stay in a core's cache.
+BLOCK = 1024
 #: Tasks that add up the parameters of all training tasks before one adds up theirs.
 FAN = 64
 
@@ -177,7 +179,7 @@ class Trainer:
         self.context, self.out, self.bias, *self.slot = _tables(self.flat, self.sizes)
         self.squares = _tables(np.full(len(flat), 1e-2, np.float32), self.sizes)
         self.offset = np.log(NOISE_RATIO * shares).astype(np.float32)
-        self.shares, self.tokens, self.rng = shares, 0, np.random.default_rng(11)
+        self.steps, self.tokens, self.rng = np.cumsum(shares) / np.sum(shares), 0, np.random.default_rng(11)
         if slots:
             self.bounds = np.cumsum(cells.astype(np.float64))
 
@@ -191,7 +193,7 @@ class Trainer:
             w, c = token[i:i + BATCH], before[:, i:i + BATCH]
             n = len(w)
             self.tokens += n
-            drawn = self.rng.choice(self.sizes.classes, NOISE, p=self.shares)
+            drawn = np.searchsorted(self.steps, self.rng.random(NOISE), side="right")
             r = sum(self.context[j][c[j]] for j in range(CONTEXT))
             if slot is not None:
                 d = slots_before[:, i:i + BATCH]
@@ -232,7 +234,7 @@ class Trainer:
 
 def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and the sums of the rows that share one, by sorting instead of one addition after the other."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")  # short numbers are sorted digit by digit
     places = at[order]
     first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
     return places[first], np.add.reduceat(rows[order], first, axis=0).astype(np.float32)
@@ -250,21 +252,21 @@ def class_log_probs(flat: np.ndarray, token: np.ndarray, before: np.ndarray, slo
     own = classes - (0 if cells is None else len(cells))
     context, out, bias, *more = _tables(flat, Sizes(classes, own, slots))
     found = np.empty(len(token))
-    for i in range(0, len(token), 4096):
-        w = token[i:i + 4096]
-        r = sum(context[j][before[j, i:i + 4096]] for j in range(CONTEXT))
+    for i in range(0, len(token), BLOCK):
+        w = token[i:i + BLOCK]
+        r = sum(context[j][before[j, i:i + BLOCK]] for j in range(CONTEXT))
         if slots:
-            r += sum(more[0][j][slots_before[j, i:i + 4096]] for j in range(CONTEXT))
+            r += sum(more[0][j][slots_before[j, i:i + BLOCK]] for j in range(CONTEXT))
         scores = r @ out.T
         scores += bias
         scores -= scores.max(axis=1, keepdims=True)
         mine = scores[np.arange(len(w)), w].astype(np.float64)
         np.exp(scores, out=scores)
-        found[i:i + 4096] = mine - np.log(scores.sum(axis=1, dtype=np.float64))
+        found[i:i + BLOCK] = mine - np.log((scores @ np.ones(classes, np.float32)).astype(np.float64))
         if slots and len(at := np.flatnonzero(w >= own)):
             scores = r[at] @ more[1].T
             scores -= scores.max(axis=1, keepdims=True)
-            mine = scores[np.arange(len(at)), slot[i:i + 4096][at]].astype(np.float64)
+            mine = scores[np.arange(len(at)), slot[i:i + BLOCK][at]].astype(np.float64)
             np.exp(scores, out=scores)
             found[i + at] += mine - np.log(np.maximum(np.einsum("ij,ij->i", scores, cells[w[at] - own]), 1e-30))
     return found
