@@ -9,6 +9,7 @@ Documents with equal sets are one node.  Nodes that share a prefix n-gram form a
 most central node (fewest rare n-grams) is paired with the others, the pairs that pass the length, positional and suffix
 filters are verified once, and the links give components.  Only lists that still hold several components are looked at
 again, and there every pair across components is verified, so no component is split for want of a comparison.
+Such pairs also pass a suffix filter over whole sets: parities of 256 parts by hash bound how many n-grams differ.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ HELD = 1_000_000
 BROADCAST_IDS = 1_000_000
 #: Most pairs that are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1_000_000
+#: Nodes of a component from which on its number is broadcast instead of moving the nodes to it.
+LARGE = 10_000
 #: Rounds that join components over their most central nodes before all pairs across components are looked at.
 MERGES = 2
 _U = np.uint64
@@ -59,6 +62,15 @@ def gram_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def parities(grams: np.ndarray) -> list[int]:
+    """Whether a set has an odd number of n-grams in each of 256 parts by hash, as four words.
+
+    Where two sets differ in parity they differ in at least one n-gram of that part.
+    """
+    odd = np.bincount((grams >> _U(8) & _U(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def node_of(grams: np.ndarray) -> int:
     """One number for a set; equal sets get the same."""
     return int(np.array([mix(grams ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + _U(len(grams))], np.uint64).view(np.int64)[0])
@@ -74,12 +86,15 @@ def count_grams(docs: DataFrame, size: int) -> Rarity:
     return count_keys(docs, lambda part: np.concatenate([np.zeros(0, np.uint64), *gram_sets(part, size)]), text_bytes(docs) // 5 + 1)
 
 
-_POSTING = "doc_id long, node long, n int, gram long, place int, rare int, profile long"
+_POSTING = "doc_id long, node long, n int, gram long, place int, rank int, rare int, profile long, " + ", ".join(f"s{i} long" for i in range(4))
+#: Parities of a set by hash: the columns of the four words.
+SKETCH = [f"s{i}" for i in range(4)]
 
 
 def postings(docs: DataFrame, size: int, percent: int, rarity: Rarity) -> DataFrame:
-    """A row per document (doc_id, node, n; gram null) and one per prefix n-gram that may be repeated, with its place
-    (from 1), the number of rare n-grams of the document and the profile of its set: eight counts by hash, a byte each."""
+    """A row per document (doc_id, node, n, and for a set listed here its parities by hash; gram null) and one per prefix
+    n-gram that may be repeated, with its place (from 1), its rank among those that may be, the number of rare n-grams
+    of the document and the profile of its set: eight counts by hash, a byte each."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity.parts())
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +105,14 @@ def postings(docs: DataFrame, size: int, percent: int, rarity: Rarity) -> DataFr
             for part in parts_of(batch.column(1)):
                 ids = batch.column(0).slice(done, len(part)).to_pylist()
                 done += len(part)
-                rows: list[list] = [[] for _ in range(7)]
+                rows: list[list] = [[] for _ in range(12)]
                 for doc_id, grams in zip(ids, gram_sets(part, size)):
                     n = len(grams)
                     node = node_of(grams) if n else None
-                    for column, value in zip(rows, (doc_id, node, n, None, None, None, None)):
+                    again = not n or node in seen  # a task lists a set once, however many copies there are
+                    for column, value in zip(rows, (doc_id, node, n, *[None] * 5, *([None] * 4 if again else parities(grams)))):
                         column.append([value])
-                    if not n or node in seen:  # a task lists a set once, however many copies there are
+                    if again:
                         continue
                     seen.add(node)
                     if len(seen) > HELD:
@@ -109,10 +125,10 @@ def postings(docs: DataFrame, size: int, percent: int, rarity: Rarity) -> DataFr
                         profile = np.minimum(np.bincount((grams & _U(7)).astype(np.int64), minlength=8), 255).astype(np.uint8).view(np.int64)[0]
                         k = len(place)
                         for column, value in zip(rows, ([None] * k, [node] * k, [n] * k, prefix[place].view(np.int64).tolist(), (place + 1).tolist(),
-                                                        [int((counts == 0).sum())] * k, [int(profile)] * k)):
+                                                        list(range(1, k + 1)), [int((counts == 0).sum())] * k, [int(profile)] * k, *[[None] * k] * 4)):
                             column.append(value)
                 arrays = [pa.array([v for chunk in column for v in chunk], t) for column, t in zip(
-                    rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+                    rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 5))]
                 yield pa.record_batch(arrays, names=[f.split(" ")[0] for f in _POSTING.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(mapped, _POSTING)
@@ -123,12 +139,20 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     p, q = F.col(f"{a}.place"), F.col(f"{b}.place")
     overlap = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
-    at_most = F.least(p, q) + F.least(n - p, m - q)
+    at_most = F.least(f"{a}.rank", f"{b}.rank") + F.least(n - p, m - q)  # what cannot be repeated is not common
     apart = sum((F.abs(F.shiftrightunsigned(f"{a}.profile", 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(f"{b}.profile", 8 * i).bitwiseAND(F.lit(255)))
                  for i in range(8)), F.lit(0))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (at_most >= overlap) & (apart <= n + m - 2 * overlap)
 
 
+def _may_be_alike(a: str, b: str, percent: int) -> Column:
+    """Suffix filter by the parities of whole sets: no more n-grams may differ than the least overlap leaves over."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    overlap = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+    return differ <= n + m - 2 * overlap
+
+
 def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
     x, y = F.col(f"{a}.node"), F.col(f"{b}.node")
     return joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -203,7 +227,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(lists: DataFrame, heads: DataFrame, parts: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+def _across(lists: DataFrame, heads: DataFrame, parts: DataFrame, sketches: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Pairs of nodes of one list that are still in different components.
 
     First only the most central node of each component with the list's head; in the end, with ``all_pairs``, every node
@@ -214,13 +238,13 @@ def _across(lists: DataFrame, heads: DataFrame, parts: DataFrame, percent: int,
     named = heads.join(split, "gram").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     if not all_pairs:
         central = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").where("part <> head_part").groupBy("gram", "part").agg(
-            F.min(F.struct("rare", "node", "n", "place", "profile")).alias("first")).select("gram", "first.*")
+            F.min(F.struct("rare", "node", "n", "place", "rank", "profile")).alias("first")).select("gram", "first.*")
         joined = central.alias("e").join(named.alias("o"), "gram").where(_may_link("e", "o", percent))
         return _pairs(joined, "e", "o")
-    still = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").distinct()
+    still = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").distinct().join(sketches, "node")
     once = (F.col("o.part") == F.col("o.head_part")) | (F.col("e.node") < F.col("o.node"))
     joined = still.where("part <> head_part").alias("e").join(still.alias("o"), F.col("e.gram") == F.col("o.gram")).where(
-        (F.col("e.part") != F.col("o.part")) & once & _may_link("e", "o", percent))
+        (F.col("e.part") != F.col("o.part")) & once & _may_link("e", "o", percent) & _may_be_alike("e", "o", percent))
     # every n-gram that two prefixes share has been seen here once; the others lie behind one of the prefixes
     n, m, x, y = F.col("e.n"), F.col("o.n"), F.col("e.node"), F.col("o.node")
     overlap = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
@@ -242,10 +266,11 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     listed = saved(postings(docs, size, percent, count_grams(docs, size)), "postings")
     facts = listed.where("gram IS NULL").select("doc_id", "node", "n")
     firsts = saved(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
-    entries = listed.where("gram IS NOT NULL").select("gram", "node", "n", "place", "rare", "profile")
+    sketches = listed.where("s0 IS NOT NULL").groupBy("node").agg(*[F.first(s).alias(s) for s in SKETCH])
+    entries = listed.where("gram IS NOT NULL").select("gram", "node", "n", "place", "rank", "rare", "profile")
 
     heads = entries.groupBy("gram").agg(
-        F.min(F.struct("rare", "node", "n", "place", "profile")).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+        F.min(F.struct("rare", "node", "n", "place", "rank", "profile")).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     heads = saved(heads.select("gram", "head.*"), "heads")
     star = entries.alias("e").join(heads.alias("h"), "gram").where((F.col("e.node") != F.col("h.node")) & _may_link("e", "h", percent))
     # each node with the one head it shares most lists with
@@ -258,7 +283,7 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     lists = entries.join(heads.select("gram"), "gram", "left_semi")
     lists = saved(lists, "lists")
     for step in range(MERGES + 1):
-        across = _across(lists, heads, parts, percent, all_pairs=step == MERGES)
+        across = _across(lists, heads, parts, sketches, percent, all_pairs=step == MERGES)
         pairs = saved(across.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if step < MERGES:
@@ -268,12 +293,25 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
         links = saved(links.unionByName(verified(pairs, docs, firsts, size, percent)), "links")
         parts = components(links)
 
-    of_part = firsts.join(parts, "node").groupBy("part").agg(F.min("first").alias("component"))
-    of_node = saved(firsts.join(parts, "node", "left").join(of_part, "part", "left").select("node", F.coalesce("component", "first").alias("component")), "nodes")
+    in_part = firsts.join(parts, "node", "left")
+    of_part = saved(in_part.where("part IS NOT NULL").groupBy("part").agg(F.min("first").alias("component"), F.count("*").alias("nodes")), "parts")
+    of_node = saved(_named(in_part, of_part).select("node", F.coalesce("component", "first").alias("component")), "nodes")
+    discard(of_part)
     return facts.join(of_node, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _named(in_part: DataFrame, of_part: DataFrame) -> DataFrame:
+    """The nodes with their part's component.  Parts of many nodes are few and go to all tasks; the others move by part."""
+    if of_part.count() <= BROADCAST_IDS:
+        return in_part.join(F.broadcast(of_part.select("part", "component")), "part", "left")
+    large = of_part.where(F.col("nodes") > LARGE).select("part", F.col("component").alias("of_large"))  # a node in LARGE at most
+    marked = in_part.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "part", "left")
+    small = of_part.where(F.col("nodes") <= LARGE).select(F.col("part").alias("small"), F.col("component").alias("of_small"))
+    rest = marked.where("of_large IS NULL").join(small, F.col("part") == F.col("small"), "left").withColumn("component", F.col("of_small")).drop("small", "of_small")
+    return marked.where("of_large IS NOT NULL").withColumn("component", F.col("of_large")).unionByName(rest)
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that link, directly or over others, to a row that stays.
 
