@@ -2,8 +2,7 @@
 
 Every word belongs to a class: the most frequent words and the end of a text have one of their own, all others one
 by their last three bytes, and in it a slot by their hash.  Classes and slots each grow with the cube root of the number
-of distinct words, as the words within a pair of both then do, so that the work for a token grows no faster and each
-vector is met often enough to be learned.  A log-bilinear model predicts
+of distinct words, as the words within a pair of both then do, so that the work for a token grows no faster.  A log-bilinear model predicts
 the class of a token and then its slot within the class, both from the four tokens before it, each of which has the
 sum of a vector for its class and one for its slot.  Within a slot of a class a word has its add-one share of the
 training count, and one share stands for the words never seen.  Scores are matrix products over batches of tokens,
