@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
-from foliograde.operators import batch, results
+from foliograde.functions.once import with_once
+from foliograde.operators import batch, results, validation
 from foliograde.plans import catalog, inputs
+from foliograde.sources import results_io
 from foliograde.streaming import ingest
 
 ID_SCHEMA = "doc_id string, source_file string, text string, ocr_quality double, response string, fallback_response string"
@@ -112,3 +114,42 @@ def test_metrics_of_a_batch(spark, tmp_path):
     totals, metrics = batch.run_batch(docs, str(tmp_path), "doc_id", "doc_id")
     assert metrics == {"documents": 6, "errors": 1, "fields": 2}  # the last entry of each path; one without text
     assert (totals.first().total_files, totals.first().failed) == (6, 1)
+
+
+def test_costly_columns_are_made_by_a_projection(spark):
+    """Not by the generator, which may interpret them."""
+    df = with_once(spark.range(3), {"a": F.transform(F.array("id"), lambda x: x + 1)})
+    assert "inline(array(_once" in plan(df)
+    assert [r.a for r in df.orderBy("id").collect()] == [[1], [2], [3]]
+
+
+def test_results_are_stored_compressed(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    results_io.write_results(spark.createDataFrame([(1, "invoice")], "doc_id long, doc_type string"), folder)
+    names = [f for _, _, files in os.walk(folder) for f in files if f.startswith("part-")]
+    assert names and all(f.endswith(".json.gz") for f in names)
+    assert spark.read.json(folder).select("doc_id", "doc_type").collect() == [(1, "invoice")]
+
+
+def test_tables_meet_their_texts_where_they_lie(spark, sf):
+    """Texts are not shuffled once more to be joined with the tables of the same order."""
+    assert "hashpartitioning(doc_id" not in plan(spark_entry.queries()["extraction_requests"](spark, sf))
+
+
+def test_routing_replies_are_joined_without_the_texts(spark, sf):
+    df = spark_entry.queries()["route_with_fallback"](spark, sf)
+    join = next(n for n in plan(df).split("\n") if "Join [doc_id" in n)
+    above = plan(df).split(join)[0]
+    assert " text#" not in above and "_lower" not in above and "_has_text#" in above
+
+
+def test_a_published_record_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"doc_type": "x", "fields": [], "overall_confidence": 0.5}',)], "record string")
+    checked = df.select(validation.structural_issues(F.col("record")).alias("issues"))
+    assert plan(checked).count("parse_json") + plan(checked).count("parseJson") == 1
+    assert checked.first().issues == []
+
+
+def test_rule_texts_are_made_per_document(spark, sf):
+    text = plan(spark_entry.queries()["field_rule_status"](spark, sf))
+    assert "array_join" not in text.split("explode")[0] and "array_join" in text
