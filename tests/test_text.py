@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliograde import fixed_values as fv
 from foliograde.functions import text as tx
 
 SAMPLE = ("Due 2024-01-15 or 1/2/24, 15 Jan 2024 and March 3, 2024; call 555-123-4567 (555) 123-4567 "
@@ -33,6 +34,23 @@ def test_word_edges_see_letters_of_all_scripts(value):
     assert value(tx.extract_dates, "t string", "(5 jan 2024)") == ["5 jan 2024"]
 
 
+def test_dates_are_found_as_the_patterns_say(spark):
+    """The faster forms of the date patterns match what the stated ones match."""
+    rng = random.Random(11)
+    parts = ["1", "12", "123", "2024", "12345", "-", "/", " ", "\u00a0", ",", "Jan", "JUNE", "mAy", "Decx", "Mar1", "\u0661", "\u00e9", "_", "x", "\n", "\U0001d7d9"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    texts += [f"{a}{d}{s}{m}{t}{y}{z}" for a in ("", "x", "(") for d in ("1", "15", "115") for s in (" ", "") for m in ("Jan", "may", "Marchx") for t in (" ", "\t ") for y in ("24", "2024", "20245") for z in ("", "a", ".")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all("(?<=" not in p for p in tx._DATES)
+    rows = df.select("t", tx.extract_dates(F.col("t")).alias("got"), tx._all_matches(F.col("t"), fv.DATE_PATTERNS).alias("stated")).collect()
+    assert [r.t for r in rows if r.got != r.stated] == [] and sum(map(bool, (r.got for r in rows))) > 50
+
+
+def test_text_is_told_from_white_space(value):
+    for text, expected in ((None, False), ("", False), (" \t\x1c\u00a0", False), ("\x7f", True), (" a", True), ("!", True), ("\u00e9", True), ("~~", True)):
+        assert value(tx.has_text, "t string", text) is expected
+
+
 def test_words_and_cuts(value):
     assert value(tx.word_count, "t string", " a b  c ") == 3
     assert value(tx.word_count, "t string", "  ") == 0
