@@ -153,3 +153,15 @@ def test_a_published_record_is_parsed_once(spark):
 def test_rule_texts_are_made_per_document(spark, sf):
     text = plan(spark_entry.queries()["field_rule_status"](spark, sf))
     assert "array_join" not in text.split("explode")[0] and "array_join" in text
+
+
+@pytest.mark.parametrize("name", ["extraction_outcome", "parse_typed_response"])
+def test_queries_on_replies_do_not_make_texts(spark, sf, name):
+    scans = [line for line in plan(spark_entry.queries()[name](spark, sf)).splitlines() if "documents.parquet" in line]
+    assert scans and not any("text" in line.partition("ReadSchema")[2] for line in scans)
+
+
+def test_leaves_are_walked_once(spark, sf):
+    """Evidence and scores are worked out in one pass over the leaves, which are filtered once."""
+    text = plan(spark_entry.queries()["score_documents"](spark, sf))
+    assert "zip_with" not in text
