@@ -9,6 +9,8 @@ Documents with equal sets are one node.  Nodes that share a prefix n-gram form a
 most central node (fewest rare n-grams) is paired with the others, the pairs that pass the length, positional and suffix
 filters are verified once, and the links give components.  Only lists that still hold several components are looked at
 again, and there every pair across components is verified, so no component is split for want of a comparison.
+Lists of the same nodes, as the n-grams of one shared passage make, are one list that counts as many, so that two nodes
+meet once for each different list they share and not once for each n-gram.
 Such pairs also pass a suffix filter over whole sets: parities of 256 parts by hash bound how many n-grams differ.
 """
 
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograde.llm.common import discard, saved
@@ -35,6 +37,8 @@ BROADCAST_PAIRS = 1_000_000
 LARGE = 10_000
 #: Rounds that join components over their most central nodes before all pairs across components are looked at.
 MERGES = 2
+#: Lists of a node that each of its entries remembers, so that two nodes do not meet in one list after the other.
+LATELY = 8
 _U = np.uint64
 
 
@@ -89,6 +93,8 @@ def count_grams(docs: DataFrame, size: int) -> Rarity:
 _POSTING = "doc_id long, node long, n int, gram long, place int, rank int, rare int, profile long, " + ", ".join(f"s{i} long" for i in range(4))
 #: Parities of a set by hash: the columns of the four words.
 SKETCH = [f"s{i}" for i in range(4)]
+#: What a list holds of a node; the first of a list by these columns is its most central node.
+ENTRY = ["rare", "node", "n", "place", "rank", "profile"]
 
 
 def postings(docs: DataFrame, size: int, percent: int, rarity: Rarity) -> DataFrame:
@@ -227,6 +233,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _different(lists: DataFrame) -> DataFrame:
+    """One of all lists (rows of gram and node, each once) that hold the same nodes, with the number of nodes (members) and of lists (copies).
+
+    Nodes are told by two 64-bit sums of their hashes.
+    """
+    members = lists.groupBy("gram").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("_one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_two"))
+    kept = members.groupBy("members", "_one", "_two").agg(F.min("gram").alias("gram"), F.count("*").alias("copies"))
+    return lists.join(kept.select("gram", "members", "copies"), "gram")
+
+
 def _across(lists: DataFrame, heads: DataFrame, parts: DataFrame, sketches: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Pairs of nodes of one list that are still in different components.
 
@@ -238,20 +255,34 @@ def _across(lists: DataFrame, heads: DataFrame, parts: DataFrame, sketches: Data
     named = heads.join(split, "gram").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     if not all_pairs:
         central = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").where("part <> head_part").groupBy("gram", "part").agg(
-            F.min(F.struct("rare", "node", "n", "place", "rank", "profile")).alias("first")).select("gram", "first.*")
+            F.min(F.struct(*ENTRY)).alias("first")).select("gram", "first.*")
         joined = central.alias("e").join(named.alias("o"), "gram").where(_may_link("e", "o", percent))
         return _pairs(joined, "e", "o")
-    still = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram").distinct().join(sketches, "node")
-    once = (F.col("o.part") == F.col("o.head_part")) | (F.col("e.node") < F.col("o.node"))
-    joined = still.where("part <> head_part").alias("e").join(still.alias("o"), F.col("e.gram") == F.col("o.gram")).where(
-        (F.col("e.part") != F.col("o.part")) & once & _may_link("e", "o", percent) & _may_be_alike("e", "o", percent))
-    # every n-gram that two prefixes share has been seen here once; the others lie behind one of the prefixes
-    n, m, x, y = F.col("e.n"), F.col("o.n"), F.col("e.node"), F.col("o.node")
+    still = of_list.join(named.select("gram", F.col("part").alias("head_part")), "gram")
+    small_first = Window.partitionBy("node").orderBy("members", "gram")
+    still = still.withColumns({
+        "before": F.sum("copies").over(small_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("copies"),
+        "held": F.sum("copies").over(Window.partitionBy("node")),
+        "lately": F.collect_list("gram").over(small_first.rowsBetween(-LATELY, -1))}).join(sketches, "node")
+    return _pairs(_meetings(still, percent), "e", "o")
+
+
+def _meetings(still: DataFrame, percent: int) -> DataFrame:
+    """Rows (e, o) of nodes of one list in different components: at least one for every pair that may be linked.
+
+    Of the n-grams that two linked sets have in common, only so many lie behind one of the prefixes; so many at least are
+    in both.  In any order of lists, then, the first that both are in has room for the others behind it, in what each
+    node holds; the order is smallest lists first, and lists too late in it are not paired.  Nor are two nodes that were
+    together in one of the last few lists of both, as they have met there or earlier.
+    """
+    n, m = F.col("e.n"), F.col("o.n")
     overlap = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
-    behind = F.greatest(needed(n, percent), needed(m, percent)) - 1
-    counted = joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (overlap - behind).alias("missing")).groupBy("a", "b").agg(
-        F.count("*").alias("shared"), F.max("missing").alias("missing"))
-    return counted.where("shared >= missing").select("a", "b")
+    shared = overlap - F.greatest(needed(n, percent), needed(m, percent)) + 1
+    early = (F.col("e.held") - F.col("e.before") >= shared) & (F.col("o.held") - F.col("o.before") >= shared)
+    new = ~F.arrays_overlap("e.lately", "o.lately")
+    once = (F.col("o.part") == F.col("o.head_part")) | (F.col("e.node") < F.col("o.node"))
+    return still.where("part <> head_part").alias("e").join(still.alias("o"), F.col("e.gram") == F.col("o.gram")).where(
+        (F.col("e.part") != F.col("o.part")) & once & early & new & _may_link("e", "o", percent) & _may_be_alike("e", "o", percent))
 
 
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -267,21 +298,21 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
     facts = listed.where("gram IS NULL").select("doc_id", "node", "n")
     firsts = saved(facts.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
     sketches = listed.where("s0 IS NOT NULL").groupBy("node").agg(*[F.first(s).alias(s) for s in SKETCH])
-    entries = listed.where("gram IS NOT NULL").select("gram", "node", "n", "place", "rank", "rare", "profile")
-
-    heads = entries.groupBy("gram").agg(
-        F.min(F.struct("rare", "node", "n", "place", "rank", "profile")).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    heads = saved(heads.select("gram", "head.*"), "heads")
-    star = entries.alias("e").join(heads.alias("h"), "gram").where((F.col("e.node") != F.col("h.node")) & _may_link("e", "h", percent))
+    entries = listed.where("gram IS NOT NULL").select("gram", *ENTRY)
+
+    several = entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("gram")
+    every = saved(entries.join(several, "gram", "left_semi").groupBy("gram", "node").agg(*[F.first(c).alias(c) for c in ENTRY if c != "node"]), "every-list")
+    lists = saved(_different(every), "lists")
+    discard(every)
+    heads = saved(lists.groupBy("gram").agg(F.min(F.struct(*ENTRY)).alias("head")).select("gram", "head.*"), "heads")
+    star = lists.alias("e").join(heads.alias("h"), "gram").where((F.col("e.node") != F.col("h.node")) & _may_link("e", "h", percent))
     # each node with the one head it shares most lists with
-    shares = star.groupBy(F.col("e.node").alias("node"), F.col("h.node").alias("head")).agg(F.count("*").alias("lists"))
+    shares = star.groupBy(F.col("e.node").alias("node"), F.col("h.node").alias("head")).agg(F.sum("e.copies").alias("lists"))
     closest = shares.groupBy("node").agg(F.max_by("head", F.struct("lists", "head")).alias("head"))
     done = pairs = saved(closest.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
     links = verified(pairs, docs, firsts, size, percent)
     parts = components(links)
 
-    lists = entries.join(heads.select("gram"), "gram", "left_semi")
-    lists = saved(lists, "lists")
     for step in range(MERGES + 1):
         across = _across(lists, heads, parts, sketches, percent, all_pairs=step == MERGES)
         pairs = saved(across.join(done, ["a", "b"], "left_anti"), "pairs")

@@ -324,6 +324,36 @@ def test_similar_documents(spark):
     assert ngram_join.similar_documents(docs_of(spark, ["x y"])).where("doc_id IS NULL").first().component_id is None
 
 
+def test_nodes_of_many_lists_meet_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base, texts, rows = [f"v{i}" for i in range(400)], [], []
+
+    def changed(words, times):
+        words = list(words)
+        for at in rng.choice(400, times, replace=False):
+            words[at] = f"n{rng.integers(0, 10**9)}"
+        return words
+
+    for i in range(24):  # all a little too different, and every fourth with a near copy
+        words = changed(base, 5)
+        texts += [" ".join(words), *([" ".join(changed(words, 2))] if i % 4 == 0 else [])]
+    meetings = ngram_join._meetings
+
+    def counted(still, percent):
+        met = meetings(still, percent)
+        pairs = met.select(F.least("e.node", "o.node").alias("a"), F.greatest("e.node", "o.node").alias("b"))
+        rows.append((met.count(), pairs.distinct().count()))
+        return met
+
+    monkeypatch.setattr(ngram_join, "_meetings", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.component_id for r in ngram_join.similar_documents(docs).orderBy("doc_id").collect()]
+    sets, part = brute_components(texts, 4, 85)
+    assert found == [part.index(p) for p in part]
+    assert len(set(found)) < len(texts) and len(rows) == 1
+    assert 0 < rows[0][0] <= 3 * rows[0][1]  # they share up to 40 lists
+
+
 def test_pages(spark):
     shell = "<html><head><title>t</title></head><body><div class='top-menu'>menu</div><div>Site &amp; motto</div>{}<div id='footer'>f</div></body></html>"
     pages = [(i, "http://h.example/%d" % i, shell.format(f"<div><p>Own text {i}<p>Second&nbsp;par <b>bo</b>ld<br>line {i}</div>")) for i in range(12)]
