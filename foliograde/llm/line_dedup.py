@@ -3,12 +3,14 @@
 A line is the set of its words.  Words are put in order of rarity, from counts over all lines.  Of two lines that are
 similar enough the longer one has, among its first ``n - ceil(t n) + 1`` words, one of the first
 ``m - ceil(2 t m / (1 + t)) + 1`` words of the shorter one; only these are joined, under the length filter, the
-positional filter and a filter on counts of words by hash.  What passes is verified once per pair of distinct lines.
+positional filter and a filter on parities of words by hash: where two lines differ in parity they differ in a word, and
+few may.  What passes is verified once per pair of distinct lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograde.llm.common import saved
+from foliograde.llm.common import discard, saved
 from foliograde.llm.rarity import Rarity, count_keys, text_bytes
-from foliograde.llm.words import PLAIN, mix, parts_of, words_of
+from foliograde.llm.words import PLAIN, mix, words_of
+from foliograde.llm.words import pieces_of as parts_of
 
 #: Most documents whose wanted lines are broadcast (about 100 bytes each).
 BROADCAST_DOCS = 200_000
@@ -26,6 +29,10 @@ BROADCAST_DOCS = 200_000
 HELD, HELD_WORDS = 1_000_000, 1_000_000
 #: Most removed lines, or documents with some, that are broadcast (9 and about 100 bytes each).
 BROADCAST_GONE, BROADCAST_REMOVED = 1_000_000, 300_000
+#: Shares of the words whose lines are joined one after the other.
+ROUNDS = 2
+#: Words of a line from which on it has parities of 128 parts instead of 64.
+LONG = 48
 _U = np.uint64
 
 
@@ -67,16 +74,18 @@ class Lines:
         else:
             self.number, self.node = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def profiles(self) -> np.ndarray:
-        """Eight counts of a line's words by hash, four bits each."""
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a line has an odd number of words in each of 64 parts by hash, and, for lines of ``LONG`` words, of those
+        among them that lie in one half by hash (0 for others)."""
         if not len(self.first):
-            return np.zeros(0, np.int32)
-        counts = np.bincount(self.index * 8 + (self.words & _U(7)).astype(np.int64), minlength=8 * len(self.first))
-        packed = np.minimum(counts, 15).astype(np.uint32).reshape(-1, 8) << (4 * np.arange(8, dtype=np.uint32))
-        return np.bitwise_or.reduce(packed, axis=1).view(np.int32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bit = _U(1) << (self.words & _U(63))
+        odd = np.bitwise_xor.reduceat(bit, self.first)
+        half = np.bitwise_xor.reduceat(bit * (self.words >> _U(6) & _U(1)), self.first)
+        return odd.view(np.int64), np.where(self.size >= LONG, half, _U(0)).view(np.int64)
 
 
-_LISTED = "doc_id long, text_hash long, line int, node long, n int, word int, place int, profile int, other long"
+_LISTED = "doc_id long, text_hash long, line int, node long, n int, word int, place int, odd long, half long, other long"
 
 
 class _Held:
@@ -107,7 +116,7 @@ class _Held:
         number = np.cumsum(fresh) - 1
         keep = fresh[lines.index]
         self.parts.append((
-            lines.node[fresh], lines.size[fresh], order[fresh], lines.profiles()[fresh], lines.words[keep],
+            lines.node[fresh], lines.size[fresh], order[fresh], *(p[fresh] for p in lines.parities()), lines.words[keep],
             number[lines.index[use]], lines.words[use], place[use] + 1))
         self.many += int(keep.sum())
 
@@ -118,12 +127,12 @@ class _Held:
         if not self.parts:
             return
         counts = np.cumsum([0, *(len(p[0]) for p in self.parts)])
-        node, size, order, profile, words = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
-        index = np.concatenate([p[5] + c for p, c in zip(self.parts, counts)])
-        word, place = (np.concatenate([p[i] for p in self.parts]) for i in (6, 7))
+        node, size, order, odd, half, words = (np.concatenate([p[i] for p in self.parts]) for i in range(6))
+        index = np.concatenate([p[6] + c for p, c in zip(self.parts, counts)])
+        word, place = (np.concatenate([p[i] for p in self.parts]) for i in (7, 8))
         bounds = np.r_[0, np.cumsum(size)]
         self.start_over()
-        yield _rows(node=node[index], n=size[index], word=(word >> _U(32)).astype(np.uint32).view(np.int32), place=place, profile=profile[index])
+        yield _rows(node=node[index], n=size[index], word=(word >> _U(32)).astype(np.uint32).view(np.int32), place=place, odd=odd[index], half=half[index])
         by = np.lexsort((order[index], word))
         head = np.r_[True, word[by][1:] != word[by][:-1]] if len(by) else np.zeros(0, bool)
         x, y = index[by], index[by][np.flatnonzero(head)][np.cumsum(head) - 1] if len(by) else index
@@ -188,8 +197,9 @@ def _candidates(entries: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     n, m, p, q = F.col("e.n"), F.col("i.n"), F.col("e.place"), F.col("i.place")
     overlap = F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
     at_most = F.least(p, q) + F.least(n - p, m - q)
-    nibble = lambda side, i: F.shiftrightunsigned(f"{side}.profile", 4 * i).bitwiseAND(F.lit(15))
-    apart = sum((F.abs(nibble("e", i) - nibble("i", i)) for i in range(8)), F.lit(0))
+    odd, half = F.col("e.odd").bitwiseXOR(F.col("i.odd")), F.col("e.half").bitwiseXOR(F.col("i.half"))
+    # of long lines both halves by hash are told apart, which makes 128 parts
+    apart = F.when(m >= LONG, F.bit_count(half) + F.bit_count(odd.bitwiseXOR(half))).otherwise(F.bit_count(odd))
     ordered = (m < n) | ((m == n) & (F.col("i.node") < F.col("e.node")))
     asked = F.col("e.gone").isNull() | F.col("i.gone").isNull()
     joined = entries.alias("e").join(
@@ -262,7 +272,11 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
 
     gone = saved(later(listed.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "gone")
-    pairs = saved(_candidates(listed.where("word IS NOT NULL").select("word", "node", "n", "place", "profile"), gone, percent), "line-pairs")
+    entries = listed.where("word IS NOT NULL").select("word", "node", "n", "place", "odd", "half")
+    # all words meet, one share of them after the other, so that no more than a share is shuffled at a time
+    rounds = [saved(_candidates(entries.where(F.pmod("word", F.lit(ROUNDS)) == i), gone, percent), "line-pairs") for i in range(ROUNDS)]
+    pairs = saved(reduce(DataFrame.unionByName, rounds).distinct(), "line-pairs")
+    discard(*rounds)
     gone = gone.unionByName(later(_verified(pairs, docs, firsts, percent))).distinct().withColumn("gone", F.lit(True))
     removed = (
         lines.join(firsts.join(gone, "node", "left"), "node").where(F.col("gone").isNotNull() | ~F.col("first").eqNullSafe(place))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from foliograde.llm.common import discard, saved
 from foliograde.llm.rarity import Rarity, count_keys, text_bytes
-from foliograde.llm.words import PLAIN, mix, parts_of, words_of
+from foliograde.llm.words import PLAIN, mix, words_of
+from foliograde.llm.words import pieces_of as parts_of
 
 #: Sets that a task remembers to list each once.
 HELD = 1_000_000

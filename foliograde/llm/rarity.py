@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograde.llm.words import parts_of
+from foliograde.llm.words import pieces_of as parts_of
 
 #: Most keys whose counts every task gets (16 bytes each); the bitmap of repeated keys has 2**MAP_BITS bits.
 FREQUENT, MAP_BITS = 1 << 19, 27
 #: Keys that a task holds before it passes them on, and about as many as a range of hashes holds.
-HELD, RANGE_KEYS = 1_000_000, 1_500_000
+HELD, RANGE_KEYS = 500_000, 1_500_000
 _U = np.uint64
 
 

@@ -132,3 +132,8 @@ def parts_of(texts: pa.Array, most: int = 4 * PIECE) -> Iterator[pa.Array]:
     """The array in slices of at most ``most`` text bytes, or a single text each."""
     for part in split_batch(pa.record_batch([texts], names=["text"]), "text", most):
         yield part.column(0)
+
+
+def pieces_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """The same in smaller slices, a piece each, for tasks that hold much besides."""
+    return parts_of(texts, PIECE)

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliograde.llm import (
-    ball_tree, decontaminate, html_text, line_dedup, lm_scoring, mixing, ngram_join, queries, sharding, toxicity, warc)
+    ball_tree, common, decontaminate, html_text, line_dedup, lm_scoring, mixing, ngram_join, queries, sharding, toxicity, warc)
 from foliograde.llm.words import ALNUM, PLAIN, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, node long, _id long"
@@ -450,6 +452,59 @@ def test_line_dedup_of_more_lines_than_a_task_holds(spark):
     assert found == expected
 
 
+def test_lines_of_common_words_are_not_verified(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(120)]
+    lines = [" ".join(rng.permutation(words)[:n]) for n in rng.integers(30, 60, 80)]  # prefixes meet, sets are far apart
+    lines += [line + f" n{i}" for i, line in enumerate(lines[:10])]
+    candidates, rows = line_dedup._candidates, []
+
+    def counted(entries, gone, percent):
+        assert {r[0] % line_dedup.ROUNDS for r in entries.select("word").distinct().collect()} == {len(rows)}
+        rows.append(found := candidates(entries, gone, percent))
+        return found
+
+    monkeypatch.setattr(line_dedup, "_candidates", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(20)
+    expected = plain_line_dedup(list(enumerate(lines)), 80)
+    found = line_dedup.without_repeated_lines(docs).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in found} == expected
+    assert sum(r.n_removed for r in found) == 10
+    assert sum(r.count() for r in rows) <= 200  # of 4,005
+
+
+def test_parities_bound_how_many_words_differ():
+    rng = np.random.default_rng(6)
+    words = [f"v{i}" for i in range(400)]
+    texts = [" ".join(rng.permutation(words)[:n]) for n in [1, 5, 40, 47, 48, 49, 130, 300] * 3]
+    lines = line_dedup.Lines(pa.array(texts))
+    odd, half = lines.parities()
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            differ = len(set(tokens(texts[i])) ^ set(tokens(texts[j])))
+            x, y = int(odd[i] ^ odd[j]) & 2**64 - 1, int(half[i] ^ half[j]) & 2**64 - 1
+            assert x.bit_count() <= differ
+            if min(lines.size[i], lines.size[j]) >= line_dedup.LONG:
+                assert y.bit_count() + (x ^ y).bit_count() <= differ
+
+
+def test_shuffles_of_saved_tables_go(spark):
+    before = spark.conf.get(common.SHUFFLES_GO)
+
+    def files():
+        return {name for _, _, names in os.walk(root) for name in names if name.startswith("shuffle_")}
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getParent()
+    there = files()
+    table = common.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert table.count() == 7 and spark.conf.get(common.SHUFFLES_GO) == before
+    for _ in range(50):
+        if not files() - there:
+            break
+        time.sleep(0.1)
+    assert not files() - there
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
