@@ -46,7 +46,9 @@ def assemble_pages(pages: DataFrame, doc_id: str = "doc_id",
     pieces = pages.select(
         doc_id, _piece(F.col("page_num") - 1, pages_per_segment).alias("segment"),
         "page_num", page_piece(F.col("page_num"), F.col("text")).alias("piece"))
-    joined = pieces.groupBy(doc_id, "segment").agg(F.count("*").alias("pages"), in_order("piece", "", "page_num").alias("_t"))
+    # the one segment of a document is no part of the key, so that later steps by document need no other shuffle
+    keys, one = ([doc_id, "segment"], "segment") if pages_per_segment is not None else ([doc_id], _piece(F.lit(0), None).alias("segment"))
+    joined = pieces.groupBy(*keys).agg(F.count("*").alias("pages"), in_order("piece", "", "page_num").alias("_t")).select(doc_id, one, "pages", "_t")
     return joined.select(
         doc_id, "segment", "pages", F.rtrim("_t").alias("text"),
         (F.length("_t") - F.length(F.rtrim("_t"))).cast("long").alias("tail_blanks"))
